@@ -30,9 +30,11 @@ from pyspark.sql import types as T
 
 from .wordpieces import chunks, lay_out
 
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 16 << 20
 LONG_WORD = 256
 SLOTS = 1 << 19
+ID_BITS = 20
+NO_RANK = 1 << 20
 
 CHUNK_SCHEMA = "ids array<bigint>, counts binary, codes binary, words array<array<tinyint>>, long_codes array<int>, long_tokens array<array<int>>"
 
@@ -76,39 +78,41 @@ def let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, tables: Column) -> Column:
-    """Ids of one word (array<tinyint>): the lowest-ranked adjacent pair is merged until none is left."""
+    """Ids of one word (array<tinyint>): the lowest-ranked adjacent pair is merged until none is left.
+
+    The state is one array<bigint>: element i is ``rank << ID_BITS | id``, with the rank of the pair that
+    its id makes with the next one (``NO_RANK``: none), so the smallest element is the next merge.
+    """
     shift, owner, merged, of_byte = (tables[x] for x in ("shift", "owner", "merged", "of_byte"))
+    mask, none = F.lit((1 << ID_BITS) - 1).cast("bigint"), F.lit(NO_RANK << ID_BITS).cast("bigint")
+
+    def cell(left: Column, right: Column) -> Column:
+        """The element of ``left`` before ``right`` (null: last)."""
+        slot = (F.get(shift, left) + right).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+        rank = F.when(F.get(owner, slot) == left, F.get(merged, slot).cast("bigint"))
+        return F.coalesce(F.shiftleft(rank, ID_BITS), none).bitwiseOR(left.cast("bigint"))
 
-    def rank(left: Column, right: Column) -> Column:
-        slot = F.pmod(F.get(shift, left) + right, F.lit(SLOTS))
-        return F.when(F.get(owner, slot) == left, F.get(merged, slot))
+    def part(state: Column, i: Column) -> Column:
+        return F.get(state, i).bitwiseAND(mask).cast("int")
 
     def merge(state: Column, best: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
+        new = F.shiftright(best, ID_BITS).cast("int")
 
         def at(i: Column) -> Column:
-            before = F.when(i > 1, F.array(rank(F.get(parts, i - 2), best))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), i - 1), F.array(best), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, F.array(rank(best, F.get(parts, i + 1))), F.slice(ranks, i + 2, F.size(ranks))
-                ).alias("ranks"),
-            )
+            last = cell(new, part(state, i + 1))
+            pair = F.when(i > 1, F.array(cell(part(state, i - 2), new), last)).otherwise(F.array(last))
+            return F.concat(F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))), pair, F.slice(state, i + 2, F.size(state)))
 
-        return let(F.array_position(ranks, best).cast("int"), at)
+        return let(F.array_position(state, best).cast("int"), at)
 
-    parts = F.transform(word, lambda b: F.get(of_byte, b.cast("int") + 128))
-    begin = let(
-        parts,
-        lambda p: F.struct(p.alias("parts"), F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(0))), rank).alias("ranks")),
-    ).cast("struct<parts:array<int>,ranks:array<int>>")
+    bytes_ = F.transform(word, lambda b: F.get(of_byte, b.cast("int") + 128))
+    begin = let(bytes_, lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), cell))
+    steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(
-        F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.array().cast("array<int>")),
+        steps,
         begin,
-        lambda state, _: let(
-            F.array_min(state["ranks"]), lambda best: F.when(best.isNull(), state).otherwise(merge(state, best))
-        ).cast("struct<parts:array<int>,ranks:array<int>>"),
-        lambda state: state["parts"],
+        lambda state, _: F.when(F.array_min(state) >= none, state).otherwise(let(F.array_min(state), lambda best: merge(state, best))),
+        lambda state: F.transform(state, lambda x: x.bitwiseAND(mask).cast("int")),
     )
 
 

@@ -14,8 +14,8 @@ with Jaccard similarity of at least 3/4 differ in at most ``(a + b) / 7`` shingl
   a key of any number of documents is at most one entry a task in the shuffle. Entries are packed arrays.
 * Candidates are verified from whole texts. A run is first verified as a star around its smallest document;
   runs whose members then are in one class are settled. For the others, members of different classes are
-  paired in blocks; a 1024-bit parity sketch (its Hamming distance is at most the symmetric difference)
-  and the sizes drop pairs before they leave the task, and the rest is verified.
+  paired in blocks; parity sketches (their Hamming distance is at most the symmetric difference) of 1024,
+  then of 8192 bits and the sizes drop pairs, and the rest is verified, a star first.
 * Documents with equal sets are linked by a digest of the set without any pairs.
 
 Null texts and texts without words have no shingles and link with nothing. A text of fewer words is one
@@ -40,8 +40,9 @@ WIDTH = 5
 COMMON_SHINGLES = 100_000
 COMMON_FROM = 40
 CHUNK_BYTES = 16 << 20
-SKETCH_WORDS = 16
+SKETCH_WORDS, FINE_WORDS = 16, 128
 BLOCK = 256
+SMALL_RUN = 32
 KEYS_A_BUCKET = 2_000_000
 
 U = np.uint64
@@ -135,10 +136,10 @@ def set_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def parity_sketch(own: np.ndarray) -> np.ndarray:
-    """1024 bits; each shingle flips one."""
-    bit = mix(own ^ U(77)) >> U(54)
-    odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+def parity_sketch(own: np.ndarray, words: int) -> np.ndarray:
+    """``64 * words`` bits; each shingle flips one."""
+    bit = mix(own ^ U(77)) % U(64 * words)
+    odd = (np.bincount(bit.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.uint64)
 
 
@@ -155,10 +156,6 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
-    return np.asarray(batch.column(0).fill_null(-1)), batch.column(1)
-
-
 def describe(docs: DataFrame) -> DataFrame:
     """``(doc_id, n, set_key)`` of each row, and rows with a chunk's common shingles (``hashes, counts``)."""
 
@@ -203,11 +200,8 @@ def _emit(ids: np.ndarray, sets: list[np.ndarray], common: np.ndarray, buckets:
     n = sizes[owner]
     flat = np.concatenate([sets[i] for i in owner])
     row = np.repeat(np.arange(len(owner)), n)
-    parts = np.where(level < 6, 8 << level, 2 << level).astype(np.uint64)
-    if singles:
-        part = flat >> U(26)
-    else:
-        part = mix(flat ^ U(5)) % parts[row]
+    small = singles | (level < 6)
+    part = np.where(small[row], flat >> U(26), mix(flat ^ U(5)) % (U(2) << level.astype(np.uint64))[row])
     if len(common):
         at = np.minimum(np.searchsorted(common["hash"], flat), len(common) - 1)
         late = common["hash"][at] == flat
@@ -352,47 +346,85 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
+    """``(doc_id, n, sketch, fine)``: size and two parity sketches, of 1024 and of 8192 bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sketch = [], []
+            n, sketch, fine = [], [], []
             for own in shingle_sets(batch.column(1)):
                 n.append(len(own))
-                sketch.append(parity_sketch(own).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "sketch"])
+                sketch.append(parity_sketch(own, SKETCH_WORDS).tobytes())
+                fine.append(parity_sketch(own, FINE_WORDS).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "sketch", "fine"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch binary, fine binary")
+
+
+def _bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of 64-bit words of a binary column whose values all have ``width`` words."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, width)
+
+
+def _close_sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sketches allow a link."""
+        for batch in batches:
+            a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
+            ok = 7 * np.bitwise_count(_bytes_matrix(batch.column(4), width) ^ _bytes_matrix(batch.column(5), width)).sum(axis=1, dtype=np.int64) <= na + nb
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch binary")
+    return run
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different classes in two blocks whose sizes and sketches allow a link."""
     for batch in batches:
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            take = lambda side: (
-                np.array([x["doc"] for x in side], np.int64), np.array([x["label"] for x in side], np.int64), np.array([x["n"] for x in side], np.int64),
-                np.array([np.frombuffer(x["sketch"], np.uint64) for x in side]).reshape(-1, SKETCH_WORDS),
-            )
-            (da, la, na, sa), (db, lb, nb, sb) = take(left), take(right)
-            for i in range(len(da)):
-                apart = np.bitwise_count(sa[i] ^ sb).sum(axis=1, dtype=np.int64)
-                ok = (la[i] != lb) & (7 * apart <= na[i] + nb) & (4 * np.minimum(na[i], nb) >= 3 * np.maximum(na[i], nb))
-                if ok.any():
-                    a, b = np.minimum(da[i], db[ok]), np.maximum(da[i], db[ok])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def unsettled_pairs(runs: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of members of one run that are in different classes so far."""
-    members = runs.select("key", F.explode("docs").alias("doc")).distinct().join(labels, F.col("doc") == F.col("node"))
+        sides = []
+        for c in (0, 1):
+            values, offsets = batch.column(c).flatten(), np.concatenate([[0], np.cumsum(np.asarray(batch.column(c).value_lengths().fill_null(0)))])
+            sides.append((offsets, *(np.asarray(values.field(i)) for i in range(3)), _bytes_matrix(values.field(3), SKETCH_WORDS)))
+        for row in range(batch.num_rows):
+            (da, la, na, sa), (db, lb, nb, sb) = ([x[o[row] : o[row + 1]] for x in rest] for o, *rest in sides)
+            for lo in range(0, len(da), 32):
+                d, label, n, sketch = (x[lo : lo + 32, None] for x in (da, la, na, sa))
+                apart = np.bitwise_count(sketch ^ sb).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero((label != lb) & (7 * apart <= n + nb) & (4 * np.minimum(n, nb) >= 3 * np.maximum(n, nb)))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[i, 0], db[j])), pa.array(np.maximum(d[i, 0], db[j]))], names=["a", "b"])
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame, column: str, width: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and sketches in ``column`` allow a link."""
+    sa, sb = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"s{x}")) for x in "ab")
+    met = pairs.join(sa, "a").join(sb, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close_sketches(width), "a bigint, b bigint")
+
+
+def unsettled_pairs(runs: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of members of one run that are in different classes so far, and may link by size and sketch."""
+    counted = runs.groupBy("key").agg(F.count("*").alias("rows"), F.min("docs").alias("docs"))
+    # most keys are one run, and many runs hold the same documents
+    one = counted.filter("rows = 1").select("docs").distinct().select(F.xxhash64("docs").alias("key"), "docs")
+    several = runs.join(counted.filter("rows > 1").select("key"), "key", "left_semi").select("key", "docs")
+    members = one.unionByName(several).select("key", F.explode("docs").alias("doc")).distinct().join(labels, F.col("doc") == F.col("node"))
+    members = materialize(members.select("key", "doc", "label"), "members")
     spread = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
-    members = members.join(spread, "key").select("key", "doc", "label", F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int").alias("blocks"))
-    members = members.join(materialize(_sketched(texts), "sketches"), F.col("doc") == F.col("doc_id"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    placed = members.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.struct("doc", "label", "n", "sketch").alias("x"))
+    members = members.join(spread, "key")
+    few = members.filter(F.col("m") <= SMALL_RUN).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "label"))).alias("x")).select("x").distinct()
+    near = F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (b["doc"] > a["doc"]) & (b["label"] != a["label"])), lambda b: F.struct(a["doc"].alias("a"), b["doc"].alias("b"))))
+    pairs = few.select(F.explode(F.flatten(near)).alias("p")).select("p.a", "p.b").distinct()
+    close = close_pairs(pairs, sketches, "sketch", SKETCH_WORDS)
+
+    many = members.filter(F.col("m") > SMALL_RUN).select("key", "doc", "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    many = many.join(sketches.drop("fine"), F.col("doc") == F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = many.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.struct("doc", "label", "n", "sketch").alias("x"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    left = (F.col("own") <= F.col("other"))
-    right = (F.col("own") >= F.col("other"))
-    blocks = placed.groupBy("key", i.alias("i"), j.alias("j")).agg(F.collect_list(F.when(left, F.col("x"))).alias("left"), F.collect_list(F.when(right, F.col("x"))).alias("right"))
-    return blocks.select("left", "right").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    left = F.when(F.col("own") <= F.col("other"), F.col("x"))
+    right = F.when(F.col("own") >= F.col("other"), F.col("x"))
+    blocks = placed.groupBy("key", i.alias("i"), j.alias("j")).agg(F.collect_list(left).alias("left"), F.collect_list(right).alias("right"))
+    return close.unionByName(blocks.select("left", "right").mapInArrow(_block_pairs, "a bigint, b bigint")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -449,13 +481,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         edges = links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
         return components(edges if more is None else edges.unionByName(more))
 
-    links = materialize(verified(star, texts), "links")
-    grown = joined(links, None)
-    now = labels.join(grown.withColumnRenamed("node", "g"), F.col("label") == F.col("g"), "left").select("node", F.coalesce("component", "label").alias("label"))
-    rest = materialize(unsettled_pairs(runs, now, texts), "pairs")
-    if rest.limit(1).count():
-        rest = rest.join(star, ["a", "b"], "left_anti")
-        more = materialize(verified(rest, texts), "links")
+    def labels_after(grown: DataFrame) -> DataFrame:
+        return labels.join(grown.withColumnRenamed("node", "g"), F.col("label") == F.col("g"), "left").select("node", F.coalesce("component", "label").alias("label"))
+
+    grown = joined(materialize(verified(star, texts), "links"), None)
+    sketches = materialize(_sketched(texts), "sketches")
+    rest = materialize(unsettled_pairs(runs, labels_after(grown), sketches), "pairs")
+    rest = materialize(close_pairs(rest, sketches, "fine", FINE_WORDS).join(star, ["a", "b"], "left_anti"), "pairs")
+    # again a star first: most pairs that are left are links of a few classes
+    for take in (lambda pairs: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda pairs: pairs):
+        now = labels_after(grown)
+        na, nb = (now.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        rest = materialize(rest.join(na, "a").join(nb, "b").filter("la <> lb").select("a", "b"), "pairs")
+        if rest.limit(1).count() == 0:
+            break
+        more = materialize(verified(take(rest), texts), "links")
         grown = joined(more, grown.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
     whole = labelled.join(grown, F.col("label") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "label").alias("component"))

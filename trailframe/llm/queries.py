@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, jaccard, rans, suffixes, urls, warc
+from . import ann, bpe, decontam, jaccard, rans, secrets, suffixes, toxicity, urls, warc
 from .common import scratch_path, table
 
 END_ID = 2
@@ -32,6 +32,16 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, toxicity.severity_grades(table(spark, sf_dir, "labels"))))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.redacted(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_candidates", "n_secrets", F.sha2(F.col("text").cast("binary"), 256).alias("redacted_sha256"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -67,6 +77,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_url_reputation": op2_url_reputation,
+    "op3_toxicity_severity": op3_toxicity_severity,
+    "op4_secret_scan": op4_secret_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_suffix_dedup": op7_suffix_dedup,
