@@ -34,12 +34,13 @@ FEATURES = (
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """``(doc_id, path, word, core, before2, before, after)``: each candidate with its word and neighbours."""
+    # no filter stands over w: Spark would push it below, with the split inside the lambda, once a word
     w = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), F.split("text", r"\s+").alias("w"))
-    long = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.length(F.get("w", i)) >= LEAST_LENGTH)
-    at = w.filter(F.size("w") > 0).select("doc_id", "path", "w", F.filter(long, lambda i: F.get("w", i).rlike(CORE)).alias("hits")).filter(F.size("hits") > 0)
+    at = F.sequence(F.lit(0), F.greatest(F.size("w"), F.lit(1)) - 1)
+    hits = F.filter(at, lambda i: (F.length(F.get("w", i)) >= LEAST_LENGTH) & F.get("w", i).rlike(CORE))
     near = lambda i, d: F.coalesce(F.get("w", i + d), F.lit(""))
-    spots = F.transform("hits", lambda i: F.struct(F.get("w", i).alias("word"), near(i, -2).alias("before2"), near(i, -1).alias("before"), near(i, 1).alias("after")))
-    one = at.select("doc_id", "path", F.explode(spots).alias("s")).select("doc_id", "path", "s.*")
+    spots = F.transform(hits, lambda i: F.struct(F.get("w", i).alias("word"), near(i, -2).alias("before2"), near(i, -1).alias("before"), near(i, 1).alias("after")))
+    one = w.select("doc_id", "path", F.explode_outer(spots).alias("s")).filter("s IS NOT NULL").select("doc_id", "path", "s.*")
     return one.select("*", F.explode(F.regexp_extract_all("word", F.lit(CORE), F.lit(0))).alias("core"))
 
 
