@@ -136,7 +136,8 @@ def redacted(docs: DataFrame, findings: DataFrame | None = None, path: str = "so
     )
     # longer secrets first: one may hold another
     order = F.array_sort("secrets", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    met = docs.join(per_doc.withColumn("secrets", order), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    # this side grows with the table: never broadcast; texts need no sort
+    met = docs.join(per_doc.withColumn("secrets", order).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
     text = F.when(F.size("secrets") > 0, F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))).otherwise(F.col("text"))
     return met.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
