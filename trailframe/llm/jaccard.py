@@ -14,8 +14,8 @@ with Jaccard similarity of at least 3/4 differ in at most ``(a + b) / 7`` shingl
   a key of any number of documents is at most one entry a task in the shuffle. Entries are packed arrays.
 * Candidates are verified from whole texts. A run is first verified as a star around its smallest document;
   runs whose members then are in one class are settled. For the others, members of different classes are
-  paired in blocks; parity sketches (their Hamming distance is at most the symmetric difference) of 1024,
-  then of 8192 bits and the sizes drop pairs, and the rest is verified, a star first.
+  paired in blocks; sizes and parity sketches (their Hamming distance is at most the symmetric difference)
+  with two bits or more a shingle by size band drop pairs, and the rest is verified, a star first.
 * Documents with equal sets are linked by a digest of the set without any pairs.
 
 Null texts and texts without words have no shingles and link with nothing. A text of fewer words is one
@@ -40,8 +40,8 @@ WIDTH = 5
 COMMON_SHINGLES = 100_000
 COMMON_FROM = 40
 CHUNK_BYTES = 16 << 20
-SKETCH_WORDS, FINE_WORDS = 16, 128
-BLOCK = 256
+LEAST_BITS = 512
+BLOCK = 512
 SMALL_RUN = 32
 KEYS_A_BUCKET = 2_000_000
 
@@ -136,13 +136,19 @@ def set_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def parity_sketch(own: np.ndarray, words: int) -> np.ndarray:
-    """``64 * words`` bits; each shingle flips one."""
-    bit = mix(own ^ U(77)) % U(64 * words)
-    odd = (np.bincount(bit.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """At least two bits for each shingle, a power of two by size band; each shingle flips one."""
+    bits = max(LEAST_BITS, 1 << (2 * len(own) - 1).bit_length()) if len(own) else LEAST_BITS
+    bit = mix(own ^ U(77)) & U(bits - 1)
+    odd = (np.bincount(bit.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.uint64)
 
 
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Rows of a wider band as the sketches of ``width`` words that their sets have."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
+
+
 def most_differing(n: int | np.ndarray) -> int | np.ndarray:
     """Shingles in which a set of size n and a partner of any size may differ at most."""
     return (n + 4 * n // 3) // 7
@@ -346,36 +352,46 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """``(doc_id, n, sketch, fine)``: size and two parity sketches, of 1024 and of 8192 bits."""
+    """``(doc_id, n, sketch)``: size and parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sketch, fine = [], [], []
+            n, sketch = [], []
             for own in shingle_sets(batch.column(1)):
                 n.append(len(own))
-                sketch.append(parity_sketch(own, SKETCH_WORDS).tobytes())
-                fine.append(parity_sketch(own, FINE_WORDS).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "sketch", "fine"])
+                sketch.append(parity_sketch(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "sketch"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch binary, fine binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch binary")
 
 
-def _bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of 64-bit words of a binary column whose values all have ``width`` words."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, width)
+class _Sketches:
+    """A binary column of sketches of several widths."""
 
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        self.offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
+        self.width = np.diff(self.offsets) // 8
+
+    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The sketches of these rows, all of one width, folded to ``width``."""
+        own = int(self.width[at[0]])
+        return folded(self.data[self.offsets[at][:, None] + np.arange(8 * own)].view(np.uint64), width)
 
-def _close_sketches(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose sketches allow a link."""
-        for batch in batches:
-            a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
-            ok = 7 * np.bitwise_count(_bytes_matrix(batch.column(4), width) ^ _bytes_matrix(batch.column(5), width)).sum(axis=1, dtype=np.int64) <= na + nb
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    return run
+def _close_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a link."""
+    for batch in batches:
+        a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
+        sa, sb = _Sketches(batch.column(4)), _Sketches(batch.column(5))
+        ok = np.zeros(len(a), bool)
+        for wa, wb in {*zip(sa.width.tolist(), sb.width.tolist(), strict=True)}:
+            rows, width = np.flatnonzero((sa.width == wa) & (sb.width == wb)), min(wa, wb)
+            step = max(1, (1 << 20) // max(wa, wb))
+            for at in (rows[i : i + step] for i in range(0, len(rows), step)):
+                ok[at] = 7 * np.bitwise_count(sa.rows(at, width) ^ sb.rows(at, width)).sum(axis=1, dtype=np.int64) <= na[at] + nb[at]
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,22 +400,32 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = []
         for c in (0, 1):
             values, offsets = batch.column(c).flatten(), np.concatenate([[0], np.cumsum(np.asarray(batch.column(c).value_lengths().fill_null(0)))])
-            sides.append((offsets, *(np.asarray(values.field(i)) for i in range(3)), _bytes_matrix(values.field(3), SKETCH_WORDS)))
+            sides.append((offsets, *(np.asarray(values.field(i)) for i in range(3)), _Sketches(values.field(3))))
+        (oa, da, la, na, sa), (ob, db, lb, nb, sb) = sides
         for row in range(batch.num_rows):
-            (da, la, na, sa), (db, lb, nb, sb) = ([x[o[row] : o[row + 1]] for x in rest] for o, *rest in sides)
-            for lo in range(0, len(da), 32):
-                d, label, n, sketch = (x[lo : lo + 32, None] for x in (da, la, na, sa))
-                apart = np.bitwise_count(sketch ^ sb).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero((label != lb) & (7 * apart <= n + nb) & (4 * np.minimum(n, nb) >= 3 * np.maximum(n, nb)))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[i, 0], db[j])), pa.array(np.maximum(d[i, 0], db[j]))], names=["a", "b"])
-
-
-def close_pairs(pairs: DataFrame, sketches: DataFrame, column: str, width: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sizes and sketches in ``column`` allow a link."""
-    sa, sb = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"s{x}")) for x in "ab")
+            mine, others = np.arange(oa[row], oa[row + 1]), np.arange(ob[row], ob[row + 1])
+            # sizes within 3/4 of each other are of one band or of neighbouring ones
+            for wa in np.unique(sa.width[mine]).tolist():
+                for wb in np.unique(sb.width[others]).tolist():
+                    if wa > 2 * wb or wb > 2 * wa:
+                        continue
+                    width, y = min(wa, wb), others[sb.width[others] == wb]
+                    second = sb.rows(y, width)
+                    step = max(1, (1 << 21) // (len(y) * width))
+                    left = mine[sa.width[mine] == wa]
+                    for x in (left[i : i + step] for i in range(0, len(left), step)):
+                        apart = np.bitwise_count(sa.rows(x, width)[:, None] ^ second).sum(axis=2, dtype=np.int64)
+                        n, m = na[x][:, None], nb[y]
+                        i, j = np.nonzero((la[x][:, None] != lb[y]) & (7 * apart <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da[x[i]], db[y[j]])), pa.array(np.maximum(da[x[i]], db[y[j]]))], names=["a", "b"])
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and sketches allow a link."""
+    sa, sb = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     met = pairs.join(sa, "a").join(sb, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close_sketches(width), "a bigint, b bigint")
+    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close_sketches, "a bigint, b bigint")
 
 
 def unsettled_pairs(runs: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -410,15 +436,18 @@ def unsettled_pairs(runs: DataFrame, labels: DataFrame, sketches: DataFrame) ->
     several = runs.join(counted.filter("rows > 1").select("key"), "key", "left_semi").select("key", "docs")
     members = one.unionByName(several).select("key", F.explode("docs").alias("doc")).distinct().join(labels, F.col("doc") == F.col("node"))
     members = materialize(members.select("key", "doc", "label"), "members")
-    spread = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
+    # keys of the same members (each twice hashed, in any order) are one
+    same = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"same{i}") for i in (1, 2)]
+    spread = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), *same).filter("lo <> hi")
+    spread = spread.groupBy("m", "same1", "same2").agg(F.min("key").alias("key")).select("key", "m")
     members = members.join(spread, "key")
     few = members.filter(F.col("m") <= SMALL_RUN).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "label"))).alias("x")).select("x").distinct()
     near = F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (b["doc"] > a["doc"]) & (b["label"] != a["label"])), lambda b: F.struct(a["doc"].alias("a"), b["doc"].alias("b"))))
     pairs = few.select(F.explode(F.flatten(near)).alias("p")).select("p.a", "p.b").distinct()
-    close = close_pairs(pairs, sketches, "sketch", SKETCH_WORDS)
+    close = close_pairs(pairs, sketches)
 
     many = members.filter(F.col("m") > SMALL_RUN).select("key", "doc", "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    many = many.join(sketches.drop("fine"), F.col("doc") == F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    many = many.join(sketches, F.col("doc") == F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     placed = many.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.struct("doc", "label", "n", "sketch").alias("x"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     left = F.when(F.col("own") <= F.col("other"), F.col("x"))
@@ -486,8 +515,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     grown = joined(materialize(verified(star, texts), "links"), None)
     sketches = materialize(_sketched(texts), "sketches")
-    rest = materialize(unsettled_pairs(runs, labels_after(grown), sketches), "pairs")
-    rest = materialize(close_pairs(rest, sketches, "fine", FINE_WORDS).join(star, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(unsettled_pairs(runs, labels_after(grown), sketches).join(star, ["a", "b"], "left_anti"), "pairs")
     # again a star first: most pairs that are left are links of a few classes
     for take in (lambda pairs: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda pairs: pairs):
         now = labels_after(grown)
