@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import places, tracks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tracks.QUERIES, **places.QUERIES}
+ORACLE: dict[str, str] = {**tracks.ORACLE, **places.ORACLE}
 FLAGSHIP = "ride_totals"
