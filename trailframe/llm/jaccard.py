@@ -42,7 +42,6 @@ COMMON_FROM = 40
 CHUNK_BYTES = 16 << 20
 LEAST_BITS = 512
 BLOCK = 512
-SMALL_RUN = 32
 KEYS_A_BUCKET = 2_000_000
 
 U = np.uint64
@@ -380,55 +379,45 @@ class _Sketches:
         return folded(self.data[self.offsets[at][:, None] + np.arange(8 * own)].view(np.uint64), width)
 
 
-def _close_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches allow a link."""
-    for batch in batches:
-        a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
-        sa, sb = _Sketches(batch.column(4)), _Sketches(batch.column(5))
-        ok = np.zeros(len(a), bool)
-        for wa, wb in {*zip(sa.width.tolist(), sb.width.tolist(), strict=True)}:
-            rows, width = np.flatnonzero((sa.width == wa) & (sb.width == wb)), min(wa, wb)
-            step = max(1, (1 << 20) // max(wa, wb))
-            for at in (rows[i : i + step] for i in range(0, len(rows), step)):
-                ok[at] = 7 * np.bitwise_count(sa.rows(at, width) ^ sb.rows(at, width)).sum(axis=1, dtype=np.int64) <= na[at] + nb[at]
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in two blocks whose sizes and sketches allow a link."""
-    for batch in batches:
-        sides = []
-        for c in (0, 1):
-            values, offsets = batch.column(c).flatten(), np.concatenate([[0], np.cumsum(np.asarray(batch.column(c).value_lengths().fill_null(0)))])
-            sides.append((offsets, *(np.asarray(values.field(i)) for i in range(3)), _Sketches(values.field(3))))
-        (oa, da, la, na, sa), (ob, db, lb, nb, sb) = sides
-        for row in range(batch.num_rows):
-            mine, others = np.arange(oa[row], oa[row + 1]), np.arange(ob[row], ob[row + 1])
-            # sizes within 3/4 of each other are of one band or of neighbouring ones
-            for wa in np.unique(sa.width[mine]).tolist():
-                for wb in np.unique(sb.width[others]).tolist():
-                    if wa > 2 * wb or wb > 2 * wa:
-                        continue
-                    width, y = min(wa, wb), others[sb.width[others] == wb]
-                    second = sb.rows(y, width)
-                    step = max(1, (1 << 21) // (len(y) * width))
-                    left = mine[sa.width[mine] == wa]
-                    for x in (left[i : i + step] for i in range(0, len(left), step)):
-                        apart = np.bitwise_count(sa.rows(x, width)[:, None] ^ second).sum(axis=2, dtype=np.int64)
-                        n, m = na[x][:, None], nb[y]
-                        i, j = np.nonzero((la[x][:, None] != lb[y]) & (7 * apart <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
-                        if len(i):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da[x[i]], db[y[j]])), pa.array(np.maximum(da[x[i]], db[y[j]]))], names=["a", "b"])
-
-
-def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sizes and sketches allow a link."""
-    sa, sb = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    met = pairs.join(sa, "a").join(sb, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close_sketches, "a bigint, b bigint")
-
-
-def unsettled_pairs(runs: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+def _block_pairs(star: bool):
+    """Pairs of different classes in two blocks whose sizes and sketches allow a link; as a star, each document's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for c in (0, 1):
+                values, offsets = batch.column(c).flatten(), np.concatenate([[0], np.cumsum(np.asarray(batch.column(c).value_lengths().fill_null(0)))])
+                sides.append((offsets, *(np.asarray(values.field(i)) for i in range(3)), _Sketches(values.field(3))))
+            (oa, da, la, na, sa), (ob, db, lb, nb, sb) = sides
+            for row in range(batch.num_rows):
+                mine, others = np.arange(oa[row], oa[row + 1]), np.arange(ob[row], ob[row + 1])
+                once = np.array_equal(da[mine], db[others])  # a block with itself
+                # sizes within 3/4 of each other are of one band or of neighbouring ones
+                for wa in np.unique(sa.width[mine]).tolist():
+                    for wb in np.unique(sb.width[others]).tolist():
+                        if wa > 2 * wb or wb > 2 * wa:
+                            continue
+                        width, y = min(wa, wb), others[sb.width[others] == wb]
+                        second = sb.rows(y, width)
+                        step = max(1, (1 << 21) // (len(y) * width))
+                        left = mine[sa.width[mine] == wa]
+                        for x in (left[i : i + step] for i in range(0, len(left), step)):
+                            apart = np.bitwise_count(sa.rows(x, width)[:, None] ^ second).sum(axis=2, dtype=np.int64)
+                            n, m = na[x][:, None], nb[y]
+                            i, j = np.nonzero((la[x][:, None] < lb[y] if once else la[x][:, None] != lb[y]) & (7 * apart <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
+                            if len(i):
+                                a, b = np.minimum(da[x[i]], db[y[j]]), np.maximum(da[x[i]], db[y[j]])
+                                if star:
+                                    order = np.lexsort((a, b))
+                                    a, b = a[order], b[order]
+                                    first = np.concatenate([[True], b[1:] != b[:-1]])
+                                    a, b = a[first], b[first]
+                                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def unsettled_pairs(runs: DataFrame, labels: DataFrame, sketches: DataFrame, star: bool = False) -> DataFrame:
     """Pairs of members of one run that are in different classes so far, and may link by size and sketch."""
     counted = runs.groupBy("key").agg(F.count("*").alias("rows"), F.min("docs").alias("docs"))
     # most keys are one run, and many runs hold the same documents
@@ -441,19 +430,14 @@ def unsettled_pairs(runs: DataFrame, labels: DataFrame, sketches: DataFrame) ->
     spread = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), *same).filter("lo <> hi")
     spread = spread.groupBy("m", "same1", "same2").agg(F.min("key").alias("key")).select("key", "m")
     members = members.join(spread, "key")
-    few = members.filter(F.col("m") <= SMALL_RUN).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "label"))).alias("x")).select("x").distinct()
-    near = F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (b["doc"] > a["doc"]) & (b["label"] != a["label"])), lambda b: F.struct(a["doc"].alias("a"), b["doc"].alias("b"))))
-    pairs = few.select(F.explode(F.flatten(near)).alias("p")).select("p.a", "p.b").distinct()
-    close = close_pairs(pairs, sketches)
-
-    many = members.filter(F.col("m") > SMALL_RUN).select("key", "doc", "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    many = members.select("key", "doc", "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     many = many.join(sketches, F.col("doc") == F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     placed = many.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.struct("doc", "label", "n", "sketch").alias("x"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     left = F.when(F.col("own") <= F.col("other"), F.col("x"))
     right = F.when(F.col("own") >= F.col("other"), F.col("x"))
     blocks = placed.groupBy("key", i.alias("i"), j.alias("j")).agg(F.collect_list(left).alias("left"), F.collect_list(right).alias("right"))
-    return close.unionByName(blocks.select("left", "right").mapInArrow(_block_pairs, "a bigint, b bigint")).distinct()
+    return blocks.select("left", "right").mapInArrow(_block_pairs(star), "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -515,7 +499,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     grown = joined(materialize(verified(star, texts), "links"), None)
     sketches = materialize(_sketched(texts), "sketches")
-    rest = materialize(unsettled_pairs(runs, labels_after(grown), sketches).join(star, ["a", "b"], "left_anti"), "pairs")
+    # a second star, of pairs that their sketches allow, settles most of what is left before all such pairs are listed
+    second = unsettled_pairs(runs, labels_after(grown), sketches, star=True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    second = materialize(second.join(star, ["a", "b"], "left_anti"), "pairs")
+    grown = joined(materialize(verified(second, texts), "links"), grown.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    tried = star.unionByName(second)
+    rest = materialize(unsettled_pairs(runs, labels_after(grown), sketches).join(tried, ["a", "b"], "left_anti"), "pairs")
     # again a star first: most pairs that are left are links of a few classes
     for take in (lambda pairs: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda pairs: pairs):
         now = labels_after(grown)
