@@ -28,6 +28,8 @@ TRAIN_ROWS = 12_000
 FEATURES = 2048
 LEAST_DOCUMENTS = 5
 CHUNK_BYTES = 16 << 20
+#: A grade is given from this probability on: a missed toxic document costs more than twice a wrong rejection.
+LEAST_ODDS = 0.3
 
 
 def features_of(word: str) -> list[str]:
@@ -131,15 +133,15 @@ def train(docs: DataFrame, grades: DataFrame, train_rows: int = TRAIN_ROWS, feat
     return fit(rows, columns, np.array([r.grade for r in found]), chosen)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, severity, grade, toxic)``: expected grade, the largest grade of even odds, and whether that is above 0."""
+def score(docs: DataFrame, model: Model, least: float = LEAST_ODDS) -> DataFrame:
+    """``(doc_id, severity, grade, toxic)``: expected grade, the largest grade of probability ``least``, and whether that is above 0."""
     index = {x: i for i, x in enumerate(model.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, "doc_id", "text", CHUNK_BYTES):
             doc, feature = _present(c, index)
             p = model.at_least(np.bincount(doc, model.weights[feature], len(c["ids"])) if len(doc) else np.zeros(len(c["ids"])))
-            grade = (p >= 0.5).sum(axis=1)
+            grade = (p >= least).sum(axis=1)
             yield pa.RecordBatch.from_arrays([c["ids"], pa.array(p.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)], names=["doc_id", "severity", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, severity double, grade int, toxic boolean")
