@@ -3,8 +3,8 @@
 Encoding: Arrow tasks cut whole texts into words and keep each chunk's distinct words as byte arrays;
 ``aggregate`` folds the ranked merges over the byte array of every distinct word, reading a literal rank
 map; the word ids are then laid out along the documents. Decoding looks every id's bytes up in a literal
-array and concatenates the pieces. No shuffle is needed: chunks are independent, so the plan is one stage
-at any input size, and a lost task is simply run again.
+array and concatenates the pieces. No shuffle is needed: chunks are independent, so the plan is two stages
+without an exchange at any input size, with the chunks' codes and folded words written in between.
 
 The rank map is the vocabulary file's, so its size is fixed. A map lookup in Spark walks all keys; the map
 is therefore laid out as arrays: the pair (left id, right id) sits in slot ``(shift[left] + right) % slots``,
@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
 from .wordpieces import chunks, lay_out
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 LONG_WORD = 256
 SLOTS = 1 << 19
 ID_BITS = 20
@@ -211,7 +212,8 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
     )
     words = distinct_words(docs, id_col, text_col, rank_path, chunk_bytes)
     tokens = let(tables, lambda t: F.transform(F.col("words"), lambda w: fold_merges(w, t)))
-    laid = words.select("ids", "counts", "codes", tokens.alias("tokens"), "long_codes", "long_tokens")
+    # written, so that the splitting and the laying out do not hold Python workers in one task, and a lost task folds nothing twice
+    laid = materialize(words.select("ids", "counts", "codes", tokens.alias("tokens"), "long_codes", "long_tokens"), "folded")
     return laid.mapInArrow(_lay_out, "id bigint, ids array<int>").select(F.col("id").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 

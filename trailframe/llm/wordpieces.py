@@ -15,9 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SLICE_BYTES = 1 << 19
+PART_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=1)
@@ -101,34 +103,45 @@ def split_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, counts
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string array with about ``PART_BYTES`` of text each, one row at least."""
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    row, done = 0, 0
+    while row < len(texts):
+        stop = max(row + 1, int(np.searchsorted(ends, done + PART_BYTES, "right")))
+        yield row, stop
+        row, done = stop, int(ends[stop - 1])
+
+
 def chunks(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, chunk_bytes: int) -> Iterator[dict]:
     """Groups incoming batches up to ``chunk_bytes`` of text.
 
     Yields ids (Arrow), counts (words of each document), words (distinct, binary) and codes (one a word).
-    A chunk holds at least one batch; its memory is a small multiple of its text.
+    Words are kept as codes part by part, so a chunk's memory is its codes and the parts' distinct words.
     """
-    held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+    held: list[tuple[pa.Array, pa.DictionaryArray, np.ndarray]] = []
     size = 0
 
     def flush() -> dict:
-        words = pa.concat_arrays([w for _, w, _ in held]).dictionary_encode()
+        words = pa.chunked_array([w for _, w, _ in held]).unify_dictionaries()
         return {
             "ids": pa.concat_arrays([i for i, _, _ in held]),
             "counts": np.concatenate([c for _, _, c in held]),
-            "words": words.dictionary,
-            "codes": words.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False),
+            "words": words.chunk(0).dictionary,
+            "codes": np.concatenate([c.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False) for c in words.chunks]),
         }
 
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
         ids, texts = batch.column(batch.schema.get_field_index(id_col)), batch.column(batch.schema.get_field_index(text_col))
-        words, counts = split_batch(texts)
-        held.append((ids, words, counts))
-        size += texts.nbytes
-        if size >= chunk_bytes:
-            yield flush()
-            held, size = [], 0
+        for row, stop in _parts(texts):
+            part = texts.slice(row, stop - row)
+            words, counts = split_batch(part)
+            held.append((ids.slice(row, stop - row), words.dictionary_encode(), counts))
+            size += len(words.buffers()[2] or b"")
+            if size >= chunk_bytes:
+                yield flush()
+                held, size = [], 0
     if held:
         yield flush()
 
