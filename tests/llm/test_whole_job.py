@@ -1,0 +1,44 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import random
+import re
+
+import pytest
+
+
+def jaccard_classes_of(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0d]+", t.lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                lo, hi = sorted((top(a), top(b)))
+                up[hi] = lo
+    return [top(x) for x in range(len(sets))]
+
+
+def test_jaccard_links_across_chunks_that_share_keys_with_a_smaller_document(spark):
+    from trailframe.llm import jaccard
+
+    rng = random.Random(5)
+    texts = []
+    for t in range(150):
+        w = [f"t{t}w{i}" for i in range(rng.randint(8, 14))]
+        # the smallest id shares some shingles of the others only, and is in a chunk with one of them
+        shared = rng.randint(5, 6)
+        texts += [" ".join(w[:shared] + ["x", f"y{t}"]), " ".join(w), " ".join(w[:-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (3, 7):
+        # rows of one template are dealt over chunks in all ways
+        dealt = docs.repartition(parts)
+        found = {r.doc_id: r.component_id for r in jaccard.classes(dealt).collect()}
+        assert found == dict(enumerate(jaccard_classes_of(texts)))

@@ -12,6 +12,7 @@ with Jaccard similarity of at least 3/4 differ in at most ``(a + b) / 7`` shingl
   ones are at the end changes cost only, never the links; that list is therefore bounded.
 * A task keeps a key once, with its smallest document, and records its other documents as a local run, so
   a key of any number of documents is at most one entry a task in the shuffle. Entries are packed arrays.
+  Both kinds name a key alike, so that documents of one key meet, whichever chunks they are in.
 * Candidates are verified from whole texts. A run is first verified as a star around its smallest document;
   runs whose members then are in one class are settled. For the others, members of different classes are
   paired in blocks; sizes and parity sketches (their Hamming distance is at most the symmetric difference)
@@ -195,6 +196,11 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, hashes array<bigint>, counts array<bigint>")
 
 
+def _key_name(rest: np.ndarray, bucket: np.ndarray | np.uint64) -> np.ndarray:
+    """The name of a key in runs, of its 48 bits that are shuffled and its bucket; local and cross runs of a key must share it."""
+    return mix((rest & U((1 << 48) - 1)) * U(0x9E3779B97F4A7C15) + bucket)
+
+
 def _emit(ids: np.ndarray, sets: list[np.ndarray], common: np.ndarray, buckets: int, singles: bool) -> Iterator[dict]:
     """Packed keys of a chunk by bucket (kind 0), its local runs (1) and documents without enough parts (2)."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -242,7 +248,7 @@ def _emit(ids: np.ndarray, sets: list[np.ndarray], common: np.ndarray, buckets:
             chosen = np.zeros(len(starts), bool)
             chosen[some] = True
             yield {
-                "bucket": int(key[starts[some[0]]] % U(buckets)), "kind": 1, "keys": key[starts[some]].astype("<u8").tobytes(),
+                "bucket": int(key[starts[some[0]]] % U(buckets)), "kind": 1, "keys": _key_name(key[starts[some]] // U(buckets), key[starts[some]] % U(buckets)).astype("<u8").tobytes(),
                 "docs": doc[np.repeat(chosen, lens) & inside].astype("<i8").tobytes(), "lens": lens[some].astype("<i4").tobytes(),
             }
     key, doc = key[starts], doc[starts]
@@ -310,7 +316,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wide[:, :6] = narrow
                 held.setdefault(r["bucket"], []).append((wide.view("<u8").ravel(), np.repeat(docs, np.frombuffer(r["lens"], "<u2"))))
             elif r["kind"] == 1:
-                yield rows(mix(np.frombuffer(r["keys"], "<u8")), np.cumsum(np.frombuffer(r["lens"], "<i4")), docs, 1)
+                yield rows(np.frombuffer(r["keys"], "<u8"), np.cumsum(np.frombuffer(r["lens"], "<i4")), docs, 1)
             else:
                 yield rows(np.zeros(len(docs), np.uint64), np.arange(1, len(docs) + 1), docs, 2)
     for bucket, entries in held.items():
@@ -326,7 +332,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.cumsum(first) - 1
         order = np.lexsort((doc, group))
-        yield rows(mix(key[first] * U(0x9E3779B97F4A7C15) + U(bucket)), np.cumsum(np.bincount(group)), doc[order], 0)
+        yield rows(_key_name(key[first], U(bucket)), np.cumsum(np.bincount(group)), doc[order], 0)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -473,8 +479,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     loose = runs.filter("kind = 2").select(F.explode("docs").alias("doc")).distinct()
     if loose.limit(1).count():
         again = found(True)
-        touched = again.select("key", "kind", "docs", F.explode("docs").alias("doc")).join(loose, "doc", "left_semi").select("key", "kind", "docs").distinct()
-        runs = runs.unionByName(touched)
+        again = again.filter("kind < 2")
+        # all runs of a key that a loose document has: its partners may be in another chunk's local run
+        touched = again.select("key", F.explode("docs").alias("doc")).join(loose, "doc", "left_semi").select("key").distinct()
+        runs = runs.unionByName(again.join(touched, "key", "left_semi"))
     runs = runs.filter("kind < 2").select("key", "docs")
 
     # equal sets: one class without pairs
