@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import pytest
 
@@ -42,3 +43,24 @@ def test_jaccard_links_across_chunks_that_share_keys_with_a_smaller_document(spa
         dealt = docs.repartition(parts)
         found = {r.doc_id: r.component_id for r in jaccard.classes(dealt).collect()}
         assert found == dict(enumerate(jaccard_classes_of(texts)))
+
+
+def test_added_tokens_in_texts_get_their_ids(spark, tmp_path):
+    import numpy as np
+    from tokenizers import Tokenizer
+    from trailframe.llm import rans
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    end = "<|endoftext|>"
+    texts = [
+        "plain", end, f"one{end}two", f"é  {end}  it's{end}'s", f"{end}{end} x", "cut <|endof", "text|> here", f"<{end}>", None, "",
+        f"don{end}'t  \n{end}", f"<|endoftext<|endoftext|>|>{end}", "long " * 200_000 + end + " tail",
+    ]
+    tok, want, start = Tokenizer.from_file(path), {}, 0
+    for d, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rans.write_tokens(docs, str(tmp_path / "t"), path, 2)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rans.read_tokens(spark, str(tmp_path / "t"), keep_ids=False).collect()} == want

@@ -1,7 +1,7 @@
 """Token ids in a binary file format coded with static range asymmetric numeral systems.
 
 ``write_tokens`` puts documents in ascending id order, encodes whole texts with the tokenizers library and
-writes shard rows (Parquet as container). A shard holds up to ``SHARD_TOKENS`` ids and carries
+writes shard rows (Parquet as container). Added tokens of the tokenizer in a text get their ids. A shard holds up to ``SHARD_TOKENS`` ids and carries
 
 * one frequency table, shared by all its blocks (zlib; token deltas and frequencies that sum to 2**SCALE),
 * its blocks, each independent: magic, counts, a CRC-32 of the ids, the lane states at every checkpoint with
@@ -18,6 +18,7 @@ the end id. Repeated ids keep one row each, ordered by text. An empty table give
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -175,9 +176,17 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; Spark has the cores
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out, {}
+    return Tokenizer.from_file(path), {}
+
+
+@lru_cache(maxsize=2)
+def _added_tokens(path: str) -> re.Pattern[bytes] | None:
+    """A pattern of the tokenizer's added tokens, the longest first; the tokenizer cuts texts at them before it splits words."""
+    tokens = _tokenizer(path)[0].get_added_tokens_decoder().values()
+    if any(t.single_word or t.lstrip or t.rstrip for t in tokens):
+        raise ValueError("added tokens that take in or look at their neighbours are not supported")
+    listed = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, listed))) if listed else None
 
 
 def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +212,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         end = np.array([end_id], np.uint32)
 
         def documents() -> Iterator[tuple[int, np.ndarray]]:
-            for c in chunks(batches, id_col, text_col, chunk_bytes):
+            for c in chunks(batches, id_col, text_col, chunk_bytes, _added_tokens(tokenizer_path)):
                 ids = c["ids"].to_pylist()
                 starts, lens, flat = word_ids(c["words"], tokenizer_path)
                 for doc, stop, ends, values in lay_out(c["counts"], c["codes"], starts, lens, flat):

@@ -10,6 +10,7 @@ words of a chunk with the chunk's word codes, so that a tokenizer sees every dis
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -83,8 +84,18 @@ def split_bytes(data: bytes, doc_starts: np.ndarray) -> np.ndarray:
     return at[cut]
 
 
-def split_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of a string array in order, as binary, and the number of words of each text (null: none)."""
+def _added_spans(data: bytes, bounds: np.ndarray, added: re.Pattern[bytes]) -> np.ndarray:
+    """(begin, end) rows of the added tokens in ``data``, none of them across ``bounds``."""
+    if not added.search(data):
+        return np.zeros((0, 2), np.int64)
+    return np.array([m.span() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for m in added.finditer(data, a, b)], np.int64).reshape(-1, 2)
+
+
+def split_batch(texts: pa.Array, added: re.Pattern[bytes] | None = None) -> tuple[pa.Array, np.ndarray]:
+    """All words of a string array in order, as binary, and the number of words of each text (null: none).
+
+    A match of ``added`` is one word, and the text before and after it is split by itself.
+    """
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
@@ -94,7 +105,14 @@ def split_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     while doc < len(texts):  # about a megabyte at a time, so that the masks stay in cache
         stop = max(doc + 1, int(np.searchsorted(offsets, offsets[doc] + SLICE_BYTES, "right")) - 1)
         base = offsets[doc]
-        pieces.append(base + split_bytes(data[base : offsets[stop]], np.unique(offsets[doc:stop]) - base))
+        piece, begins = data[base : offsets[stop]], np.unique(offsets[doc:stop]) - base
+        spans = _added_spans(piece, offsets[doc : stop + 1] - base, added) if added else ()
+        if len(spans):
+            found = split_bytes(piece, np.union1d(begins, spans[spans < len(piece)]))
+            inside = np.searchsorted(spans[:, 0], found) - 1  # the last token that begins before the word
+            pieces.append(base + found[(inside < 0) | (found >= spans[inside, 1])])
+        else:
+            pieces.append(base + split_bytes(piece, begins))
         doc = stop
     begins = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
     counts = np.diff(np.searchsorted(begins, offsets))
@@ -114,7 +132,7 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         row, done = stop, int(ends[stop - 1])
 
 
-def chunks(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, chunk_bytes: int) -> Iterator[dict]:
+def chunks(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, chunk_bytes: int, added: re.Pattern[bytes] | None = None) -> Iterator[dict]:
     """Groups incoming batches up to ``chunk_bytes`` of text.
 
     Yields ids (Arrow), counts (words of each document), words (distinct, binary) and codes (one a word).
@@ -136,7 +154,7 @@ def chunks(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, chunk_
         ids, texts = batch.column(batch.schema.get_field_index(id_col)), batch.column(batch.schema.get_field_index(text_col))
         for row, stop in _parts(texts):
             part = texts.slice(row, stop - row)
-            words, counts = split_batch(part)
+            words, counts = split_batch(part, added)
             held.append((ids.slice(row, stop - row), words.dictionary_encode(), counts))
             size += len(words.buffers()[2] or b"")
             if size >= chunk_bytes:
