@@ -96,3 +96,49 @@ def test_findings_vary_in_path_for_both_labels(spark):
 
     rows = secrets.with_features(secrets.generated_findings(spark), ["the", "and"]).select("label", "test_path").distinct().collect()
     assert {(r.label, r.test_path) for r in rows} == {(0, 0.0), (0, 1.0), (1, 0.0), (1, 1.0)}
+
+
+def nearest_recall(spark, x, queries, k=20):
+    """Share of the true nearest that are found, and the least number found for a query."""
+    import numpy as np
+    import pyarrow as pa
+    from trailframe.llm import ann
+
+    flat = pa.array(x.ravel())
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), flat)})
+    vectors = spark.createDataFrame(table).repartition(8)
+    got = {}
+    for r in ann.nearest(vectors, vectors.filter(f"vec_id % {len(x) // queries} = 0"), k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    near = []
+    for q in range(0, len(x), len(x) // queries):
+        score = x @ x[q]
+        score[q] = -np.inf
+        near.append(len(got.get(q, set()) & set(np.argpartition(-score, k)[:k].tolist())) / k)
+    return sum(near) / len(near), min(map(len, got.values()))
+
+
+def test_nearest_recall_of_many_lists(spark):
+    import numpy as np
+
+    # 200,000 vectors make 1,000 lists, of which a query probes a share only
+    x = np.random.default_rng(3).standard_normal((200_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    recall, least = nearest_recall(spark, x, 200)
+    print("recall", recall)
+    assert recall >= 0.9 and least == 20
+
+
+def test_a_query_on_its_centroid_probes_as_many_lists_as_others():
+    import numpy as np
+    import pyarrow as pa
+    from trailframe.llm import ann
+
+    x = np.random.default_rng(4).standard_normal((2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centroids = ann.Centroids(np.concatenate([x, np.zeros((2000, 1))], axis=1), 100)
+    centroids.points[5] = [*x[7], 0]
+    centroids.norms[5] = 1.0
+    query = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([x[7]], pa.list_(pa.float64()))], names=["vec_id", "v"])
+    lists = [r.column(0)[0].as_py() for r in ann._blocks(iter([query]), centroids, 1.0, 64)]
+    assert len(set(lists)) == 64 and 5 in lists

@@ -9,9 +9,11 @@ product (for unit vectors the added component is 0).
 * Posting lists: a vector goes to its nearest centroid and to those within ``BOUNDARY`` of that distance, at most
   ``REPLICAS`` in all. Lists are written in blocks of at most ``BLOCK_ROWS`` vectors, so a list that is much larger
   than others is only more blocks: no task holds a whole list.
-* Search: each query walks the centroid graph (best first, ``BEAM`` wide) and selects the lists whose distance is
-  within ``SPREAD`` of the least, at most ``PROBES``. Queries of a list, in blocks, meet the list's blocks; a pair of
-  blocks is one matrix product, of which each query keeps its best rows.
+* Search: each query probes its nearest lists, one in ``PROBED_SHARE`` of all and ``PROBES`` at least, so that the
+  share of the table that is searched does not shrink as lists grow in number. A walk of the centroid graph (best
+  first, a half wider than the lists asked for) finds them; where it would open a good part of all centroids, one
+  matrix product ranks them all. Queries of a list, in blocks, meet the list's blocks; a pair of blocks is one
+  matrix product, of which each query keeps its best rows. A query with fewer than k found probes all lists.
 
 Copies of a vector share one entry with their smallest ids (``KEPT_COPIES``, one more than any query returns):
 a larger id cannot be in a result. Every row is in the index this way.
@@ -39,7 +41,7 @@ REPLICAS = 4
 BOUNDARY = 1.15
 BEAM = 96
 PROBES = 64
-SPREAD = 1.6
+PROBED_SHARE = 8
 NEIGHBOURS = 24
 BLOCK_ROWS = 1024
 
@@ -77,9 +79,19 @@ class Centroids:
 
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, distances), nearest first, that a best-first walk finds for each row."""
-        out = [self._walk(x[i : i + 256], beam) for i in range(0, len(x), 256)]
+        # a walk that opens so many centroids sees most of them
+        step = self._walk if 8 * beam < len(self.points) else self._ranked
+        out = [step(x[i : i + 256], beam) for i in range(0, len(x), 256)]
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
+    def _ranked(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        distances = (x**2).sum(axis=1)[:, None] + self.norms - 2 * x @ self.points.T
+        beam = min(beam, len(self.points))
+        best = np.argpartition(distances, beam - 1, axis=1)[:, :beam]
+        near = np.take_along_axis(distances, best, axis=1)
+        order = np.argsort(near, axis=1)
+        return np.take_along_axis(best, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(near, order, axis=1), 0))
+
     def _walk(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, lists = len(x), len(self.points)
         beam = min(beam, lists)
@@ -138,15 +150,15 @@ def distinct_vectors(vectors: DataFrame, kept: int) -> DataFrame:
     return last.groupBy("key", "v", "norm").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "norm", "ids")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], centroids: Centroids, largest: float, query: bool) -> Iterator[pa.RecordBatch]:
-    """Packed rows (list, ids, data): vectors of the lists they belong to, or queries of the lists they probe."""
+def _blocks(batches: Iterator[pa.RecordBatch], centroids: Centroids, largest: float, probes: int = 0) -> Iterator[pa.RecordBatch]:
+    """Packed rows (list, ids, data): vectors of the lists they belong to, or queries of the ``probes`` lists they probe."""
 
     def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lifted = _lifted(x, largest) if not query else np.concatenate([x / np.linalg.norm(x, axis=1)[:, None] * largest, np.zeros((len(x), 1))], axis=1)
-        lists, distance = centroids.search(lifted)
-        most, ratio = (PROBES, SPREAD) if query else (REPLICAS, BOUNDARY)
+        lifted = _lifted(x, largest) if not probes else np.concatenate([x / np.linalg.norm(x, axis=1)[:, None] * largest, np.zeros((len(x), 1))], axis=1)
+        lists, distance = centroids.search(lifted, probes * 3 // 2 if probes else BEAM)
+        most = probes or REPLICAS
         lists, distance = lists[:, :most], distance[:, :most]
-        chosen = distance <= ratio * distance[:, :1] + 1e-12
+        chosen = np.isfinite(distance) if probes else distance <= BOUNDARY * distance[:, :1] + 1e-12
         return np.nonzero(chosen)[0], lists[chosen]
 
     for batch in batches:
@@ -213,12 +225,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     share = min(1.0, SAMPLE_ROWS / facts.n)
     rows = one.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS).select("v").collect()
     sample = _lifted(np.array([r.v for r in rows]), largest)
-    centroids = Centroids(sample, max(1, min(MAX_LISTS, len(sample), facts.n // LIST_ROWS)))
+    lists = max(1, min(MAX_LISTS, len(sample), facts.n // LIST_ROWS))
+    centroids = Centroids(sample, lists)
+    probes = max(PROBES, -(-lists // PROBED_SHARE))
 
     kind = "list int, ids array<{}>, data binary"
-    listed = one.select("ids", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, False), kind.format("array<bigint>"))
-    asked = asked.select("vec_id", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, True), kind.format("bigint"))
-    met = asked.select("list", F.col("ids").alias("qids"), F.col("data").alias("qdata")).join(listed, "list").select("qids", "qdata", "ids", "data")
-    found = met.mapInArrow(lambda it: _match(it, k), "query_id bigint, vec_id bigint, score double").distinct()
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    listed = one.select("ids", "v").mapInArrow(lambda it: _blocks(it, centroids, largest), kind.format("array<bigint>"))
+    if lists > probes:
+        listed = materialize(listed, "lists")
+
+    def found(some: DataFrame, probes: int) -> DataFrame:
+        probing = some.select("vec_id", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, probes), kind.format("bigint"))
+        met = probing.select("list", F.col("ids").alias("qids"), F.col("data").alias("qdata")).join(listed, "list").select("qids", "qdata", "ids", "data")
+        return met.mapInArrow(lambda it: _match(it, k), "query_id bigint, vec_id bigint, score double").distinct()
+
+    def best(pairs: DataFrame) -> DataFrame:
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if lists <= probes:  # every query has met every list
+        return best(found(asked, probes))
+    first = materialize(best(found(asked, probes)), "nearest")
+    full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = materialize(asked.join(full, "vec_id", "left_anti"), "short")
+    if not short.limit(1).count():
+        return first
+    again = best(found(short, lists))
+    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
