@@ -92,6 +92,14 @@ def elevation_gain(points: DataFrame, hysteresis: int = ELEVATION_HYSTERESIS_M)
     return heights.select("track_id", F.aggregate("x", start, step).alias("s")).select("track_id", F.col("s.up").alias("ascent_m"), F.col("s.down").alias("descent_m"))
 
 
+def ride_statistics(points: DataFrame, pause_us: int) -> DataFrame:
+    """Totals, ascent and descent of each ride over its accepted fixes (AGG-01 after PRJ-11, AGG-02)."""
+    kept = accepted(points)
+    climbed = elevation_gain(kept).withColumnRenamed("track_id", "t")
+    found = ride_totals(legs(kept, pause_us)).join(climbed, F.col("track_id").eqNullSafe(F.col("t")), "left").drop("t")
+    return found.fillna(0, ["ascent_m", "descent_m"])
+
+
 def splits(rows: DataFrame, length_dm: int) -> DataFrame:
     """Distance and time of each split; a leg over a boundary is cut in proportion (AGG-05)."""
     along = F.sum(F.when(F.col("ridden"), F.col("dm")).otherwise(0)).over(in_time())

@@ -48,8 +48,14 @@ def power_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("kind", *[geo.whole(F.col("q")[i], 100.0).alias(f"q{i + 1}") for i in range(4)])
 
 
+def ride_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-11, AGG-01, AGG-02: the whole statistics of each ride, over accepted fixes"""
+    return T.ride_statistics(track_points(spark, sf_dir), PAUSE_US)
+
+
 QUERIES = {
     "ride_totals": lambda s, d: T.ride_totals(_legs(s, d)),
+    "ride_statistics": ride_statistics,
     "accepted_fixes": lambda s, d: T.accepted(track_points(s, d)).select("track_id", "event_id"),
     "elevation_gain": lambda s, d: T.elevation_gain(track_points(s, d)),
     "splits": lambda s, d: T.splits(_legs(s, d), SPLIT_DM),
