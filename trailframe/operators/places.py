@@ -24,14 +24,21 @@ def nearest_within(left: DataFrame, right: DataFrame, radius_e7: int) -> DataFra
 
 
 def merged_by_identity(inputs: Sequence[DataFrame], keys: Sequence[str], importance: str) -> DataFrame:
-    """Rows of several extracts, the first of each identity kept with the greatest importance (SET-03)."""
+    """Rows of several extracts, the first of each identity kept with the greatest importance (SET-03).
+
+    Rows with a null in their keys have no identity: each is passed on by itself.
+    """
     tagged = [d.withColumn("input", F.lit(i)) for i, d in enumerate(inputs)]
     both = tagged[0]
     for more in tagged[1:]:
         both = both.unionByName(more, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (*keys, importance, "input")]
-    best = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), "input").alias("first"), F.max(importance).alias(importance), F.count("*").alias("n_inputs"))
-    return best.select(*keys, "first.*", importance, "n_inputs")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    best = both.filter(known).groupBy(*keys).agg(F.min_by(F.struct(*rest), "input").alias("first"), F.max(importance).alias(importance), F.count("*").alias("n_inputs"))
+    apart = both.filter(~known).select(*keys, *rest, importance, F.lit(1).cast("long").alias("n_inputs"))
+    return best.select(*keys, "first.*", importance, "n_inputs").unionByName(apart)
 
 
 def tokens(text: str = "text"):

@@ -26,6 +26,15 @@ def merged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged_by_identity([o.filter("o_orderkey % 2 = 0"), second], ["o_orderkey"], "importance")
 
 
+def merged_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-03, SET-05: all orders, urgent ones again from a second extract, and a third whose rows have no identity"""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_custkey").alias("importance"), "o_orderstatus")
+    first = o.drop("o_orderstatus")
+    second = first.filter("o_orderpriority = '1-URGENT'").withColumn("o_orderpriority", F.lit("second")).withColumn("importance", F.col("importance") + 7)
+    third = o.filter("o_orderstatus = 'P'").drop("o_orderstatus").withColumn("o_orderkey", F.lit(None).cast(o.schema["o_orderkey"].dataType))
+    return P.merged_by_identity([first, second, third], ["o_orderkey"], "importance")
+
+
 def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-03"""
     return P.orphans(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
@@ -69,6 +78,7 @@ def hours_with_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "nearest_settlement": nearest_settlement,
     "merged_orders": merged_orders,
+    "merged_extracts": merged_extracts,
     "vocabulary": lambda s, d: P.vocabulary(table(s, d, "documents")),
     "ranked_search": lambda s, d: P.search(table(s, d, "documents"), WORDS, 60),
     "customers_without_orders": customers_without_orders,
@@ -90,6 +100,11 @@ ORACLE = {
       SELECT o_orderkey, o_orderpriority, o_custkey AS importance, 0 AS input FROM orders WHERE o_orderkey % 2 = 0
       UNION ALL SELECT o_orderkey, 'second', o_custkey + 7, 1 FROM orders WHERE o_orderkey % 3 = 0)
     SELECT o_orderkey, arg_min(o_orderpriority, input) AS o_orderpriority, max(importance) AS importance, count(*) AS n_inputs FROM both_inputs GROUP BY o_orderkey""",
+    "merged_extracts": """WITH all_inputs AS (
+      SELECT o_orderkey, o_orderpriority, o_custkey AS importance, 0 AS input FROM orders
+      UNION ALL SELECT o_orderkey, 'second', o_custkey + 7, 1 FROM orders WHERE o_orderpriority = '1-URGENT')
+    SELECT o_orderkey, arg_min(o_orderpriority, input) AS o_orderpriority, max(importance) AS importance, count(*) AS n_inputs FROM all_inputs GROUP BY o_orderkey
+    UNION ALL SELECT NULL, o_orderpriority, o_custkey, 1 FROM orders WHERE o_orderstatus = 'P'""",
     "vocabulary": f"WITH t AS (SELECT unnest(list_distinct({_TOKENS})) AS term FROM documents) SELECT term, count(*) AS docs FROM t GROUP BY term",
     "ranked_search": f"""SELECT doc_id, hits, chars FROM (SELECT doc_id, CAST(len(list_intersect(list_distinct({_TOKENS}), {list(WORDS)})) AS INT) AS hits, CAST(length(text) AS INT) AS chars FROM documents)
       WHERE hits > 0 ORDER BY hits DESC, chars, doc_id LIMIT 60""",
