@@ -52,7 +52,7 @@ STAGES = [
     ("byte_level_bpe", encode_and_decode),
 ]
 
-#: The toxicity model and the forest are not expressible in SQL; tests hold the stages against brute force.
+#: The toxicity model and the forest are not expressible in SQL; the stages' operators have their own tests.
 ORACLE_SQL = None
 
 
