@@ -55,7 +55,7 @@ def hint_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)`` with the smallest reachable node.
 
     Each round takes the smallest label among neighbours and then follows one pointer (label of the
@@ -67,7 +67,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = materialize(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
     labels = materialize(labels, "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels, both.b == labels.node)
             .groupBy("a")
@@ -85,4 +85,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "component")
         if jumped.filter("moved").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")

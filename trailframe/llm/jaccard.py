@@ -1,26 +1,32 @@
 """N-gram Jaccard join by parity sketches, and the classes its links form.
 
-A document is the set of its distinct ``WIDTH``-word shingles (64-bit hashes). Two sets of sizes a and b
-with Jaccard similarity of at least 3/4 differ in at most ``(a + b) / 7`` shingles. The join:
-
-* Per size band (sizes 2**k to 2**(k+1); a set that may have partners above its band sketches for both)
-  shingles fall into parts by hash, and a part's sketch is the XOR of its shingles' hashes. A differing
-  shingle changes one part, so of the first ``d + 1`` non-empty parts of a set (``d``: the bound over all
-  partner sizes) one is unchanged in the partner: pigeonhole. Only those sketches are emitted as keys.
-* The order of parts is free as long as all sets share it. Shingles of very many documents get parts of
-  their own at the end, so that passages and lines that many documents share are hardly ever keys. Which
-  ones are at the end changes cost only, never the links; that list is therefore bounded.
-* A task keeps a key once, with its smallest document, and records its other documents as a local run, so
-  a key of any number of documents is at most one entry a task in the shuffle. Entries are packed arrays.
-  Both kinds name a key alike, so that documents of one key meet, whichever chunks they are in.
-* Candidates are verified from whole texts. A run is first verified as a star around its smallest document;
-  runs whose members then are in one class are settled. For the others, members of different classes are
-  paired in blocks; sizes and parity sketches (their Hamming distance is at most the symmetric difference)
-  with two bits or more a shingle by size band drop pairs, and the rest is verified, a star first.
-* Documents with equal sets are linked by a digest of the set without any pairs.
-
-Null texts and texts without words have no shingles and link with nothing. A text of fewer words is one
-shingle. Rows that share an id count as one document. An empty table gives no rows.
+A document is the set of its distinct ``WIDTH``-word shingles. Shingles are compared by 64-bit hashes, of their words
+and then of the word hashes; two different shingles are taken for one with a chance of about 2**-64. Two sets of sizes
+a and b with Jaccard similarity of at least 3/4 differ in at most ``(a + b) / 7`` shingles. The join:
+
+* Documents with equal sets are one class by a digest of the set; only the first of them goes on.
+* Per size band (sizes 2**k to 2**(k+1); a set that may have partners above its band sketches for both) shingles fall
+  into parts by hash, ``SPARE`` times as many as may differ in the band, and a part's sketch is the XOR of its
+  shingles' hashes. A differing shingle changes one part, so of the first ``d + 1`` non-empty parts of a set (``d``:
+  the bound over all partner sizes) one is unchanged in the partner: pigeonhole. Only those sketches are emitted as
+  keys. A set with fewer parts that are not empty can only miss partners that lack parts as well; these few are
+  joined among themselves once more, with a part for each shingle.
+* The order of parts is free as long as all sets share it. Shingles of very many documents get parts of their own at
+  the end, so that passages and lines that many documents share are hardly ever keys. Which ones are at the end
+  changes cost only, never the links; that list is therefore bounded.
+* Keys of up to ``RUN`` documents give pairs. A key of more documents inside a task is written once as a run, and
+  only its smallest document goes on to meet other tasks, so that no key gathers a large group in one task.
+* Pairs are tested by size, by whole parity sketches (two bits or more a shingle by size band; their Hamming distance
+  is at most the symmetric difference), and those that are left are verified from whole texts.
+* Longer runs give a star around their smallest document, verified with the pairs. Runs whose members are then in one
+  class are settled. Documents of the others are grouped by runs that they share; each group is compared sketch by
+  sketch in blocks, first for the nearest document of another class until that links nothing, then for all
+  documents of other classes that sizes and sketches still allow. Groups over ``GROUP`` documents are compared run by
+  run instead.
+
+Null texts and texts without words have no shingles and link with nothing. A text of fewer words is one shingle. Rows
+that share an id are one document with the links of all its texts; repeated rows change nothing. Rows with a null id
+are answered with a null component and link with nothing. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, hint_small, materialize
 
 WIDTH = 5
 #: Shingles that go to the end of the order of parts at most: 8 bytes each in every task.
@@ -44,6 +50,11 @@ CHUNK_BYTES = 16 << 20
 LEAST_BITS = 512
 BLOCK = 512
 KEYS_A_BUCKET = 2_000_000
+SPARE = 1.25
+RUN = 8
+GROUP = 4096
+KEY_BYTES = 5
+PIECE = 1 << 20
 
 U = np.uint64
 _ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -76,25 +87,49 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, blank
 
 
-def _slice_shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes, number of shingles of each document) of concatenated texts."""
+def _word_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word; no word crosses ``edges``."""
     lower, blank = _byte_tables()
-    docs = len(offsets) - 1
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(docs, np.int64)
     gap = blank[raw]
     edge = np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
+    edge[edges] = True
     begin = ~gap
     begin[1:] &= gap[:-1] | edge[1:-1]
     close = ~gap
     close[:-1] &= gap[1:] | edge[1:-1]
     a, b = np.flatnonzero(begin), np.flatnonzero(close)
-    size = 1 << max(20, int(len(raw)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
     total = np.cumsum((lower[raw].astype(np.uint64) + U(1)) * power[: len(raw)])
-    words = mix((total[b] - np.where(a > 0, total[a - 1], U(0))) * inverse[a])
-    ends = np.searchsorted(a, offsets)
+    return mix((total[b] - np.where(a > 0, total[a - 1], U(0))) * inverse[a]), a
+
+
+def _pieces(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts of one long text into about ``PIECE`` bytes, each before a blank (a longer word stays whole)."""
+    blank, lo = _byte_tables()[1], 0
+    while lo < len(raw):
+        hi = lo + PIECE
+        while hi < len(raw):
+            gaps = np.flatnonzero(blank[raw[hi : hi + PIECE]])
+            if len(gaps):
+                hi += int(gaps[0])
+                break
+            hi += PIECE
+        yield lo, min(hi, len(raw))
+        lo = hi
+
+
+def _slice_shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, number of shingles of each document) of concatenated texts."""
+    docs = len(offsets) - 1
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(docs, np.int64)
+    if docs == 1 and len(raw) > 2 * PIECE:
+        parts = [_word_hashes(raw[a:b], np.array([0, b - a])) for a, b in _pieces(raw)]
+        words = np.concatenate([w for w, _ in parts])
+        ends = np.array([0, len(words)])
+    else:
+        words, a = _word_hashes(raw, offsets)
+        ends = np.searchsorted(a, offsets)
     counts = np.diff(ends)
     per_doc = np.where(counts >= WIDTH, counts - WIDTH + 1, (counts > 0).astype(np.int64))
     out = np.zeros(int(per_doc.sum()), np.uint64)
@@ -163,46 +198,43 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, set_key)`` of each row, and rows with a chunk's common shingles (``hashes, counts``)."""
+    """``(doc_id, text_key, n, set_key, sketch)`` of each row, and rows with a chunk's common shingles (``hashes, counts``)."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
-
         def common() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = np.flatnonzero(counts >= 4)
             often = often[np.argsort(-counts[often], kind="stable")[:20_000]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.binary()),
-                 pa.array([values[often].view(np.int64)], pa.list_(pa.int64())), pa.array([counts[often]], pa.list_(pa.int64()))], schema=schema)
+            none = [pa.array([None], f.type) for f in list(schema)[:5]]
+            return pa.RecordBatch.from_arrays([*none, pa.array([values[often].view(np.int64)], pa.list_(pa.int64())), pa.array([counts[often]], pa.list_(pa.int64()))], schema=schema)
 
         held, size = [], 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            n, keys = [], []
-            for own in shingle_sets(texts):
+            n, keys, sketches = [], [], []
+            for own in shingle_sets(batch.column(2)):
                 n.append(len(own))
                 keys.append(set_key(own) if len(own) else None)
+                sketches.append(parity_sketch(own).tobytes() if len(own) else None)
                 held.append(own)
                 size += len(own)
                 if size > 4_000_000:
                     yield common()
                     held, size = [], 0
             empty = pa.array([None] * len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), empty, empty], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), empty, empty], schema=schema)
         if held:
             yield common()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, hashes array<bigint>, counts array<bigint>")
-
-
-def _key_name(rest: np.ndarray, bucket: np.ndarray | np.uint64) -> np.ndarray:
-    """The name of a key in runs, of its 48 bits that are shuffled and its bucket; local and cross runs of a key must share it."""
-    return mix((rest & U((1 << 48) - 1)) * U(0x9E3779B97F4A7C15) + bucket)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, "doc_id bigint, text_key bigint, n bigint, set_key binary, sketch binary, hashes array<bigint>, counts array<bigint>"
+    )
 
 
 def _emit(ids: np.ndarray, sets: list[np.ndarray], common: np.ndarray, buckets: int, singles: bool) -> Iterator[dict]:
-    """Packed keys of a chunk by bucket (kind 0), its local runs (1) and documents without enough parts (2)."""
+    """Packed keys of a chunk by bucket (kind 0), its long runs (1), documents without enough parts (2), keys of long runs (3)."""
     sizes = np.array([len(s) for s in sets], np.int64)
     band = np.frexp(sizes.astype(np.float64))[1] - 1
     above = np.flatnonzero(4 * sizes // 3 >= (1 << (band + 1)))
@@ -211,8 +243,11 @@ def _emit(ids: np.ndarray, sets: list[np.ndarray], common: np.ndarray, buckets:
     n = sizes[owner]
     flat = np.concatenate([sets[i] for i in owner])
     row = np.repeat(np.arange(len(owner)), n)
-    small = singles | (level < 6)
-    part = np.where(small[row], flat >> U(26), mix(flat ^ U(5)) % (U(2) << level.astype(np.uint64))[row])
+    if singles:
+        part = flat >> U(26)
+    else:
+        parts = np.ceil(SPARE * (most_differing(2 << level) + 1)).astype(np.uint64)
+        part = mix(flat ^ U(5)) % parts[row]
     if len(common):
         at = np.minimum(np.searchsorted(common["hash"], flat), len(common) - 1)
         late = common["hash"][at] == flat
@@ -226,8 +261,7 @@ def _emit(ids: np.ndarray, sets: list[np.ndarray], common: np.ndarray, buckets:
     row, part = row[starts], part[starts]
     head = np.searchsorted(row, np.arange(len(owner)))
     need = most_differing(n) + 1
-    have = np.bincount(row, minlength=len(owner))
-    loose = np.unique(ids[owner[have < need]])
+    loose = np.unique(ids[owner[np.bincount(row, minlength=len(owner)) < need]])
     if len(loose):
         yield {"bucket": int(loose[0]) % buckets, "kind": 2, "keys": b"", "docs": loose.astype("<i8").tobytes(), "lens": b""}
     keep = np.arange(len(row)) - head[row] < need[row]
@@ -240,27 +274,33 @@ def _emit(ids: np.ndarray, sets: list[np.ndarray], common: np.ndarray, buckets:
     first[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(first)
     lens = np.diff(np.append(starts, len(key)))
-    many = np.flatnonzero(lens > 1)
-    if len(many):
-        inside = np.repeat(lens > 1, lens)
-        for lo in range(0, len(many), 20_000):
-            some = many[lo : lo + 20_000]
-            chosen = np.zeros(len(starts), bool)
-            chosen[some] = True
-            yield {
-                "bucket": int(key[starts[some[0]]] % U(buckets)), "kind": 1, "keys": _key_name(key[starts[some]] // U(buckets), key[starts[some]] % U(buckets)).astype("<u8").tobytes(),
-                "docs": doc[np.repeat(chosen, lens) & inside].astype("<i8").tobytes(), "lens": lens[some].astype("<i4").tobytes(),
-            }
-    key, doc = key[starts], doc[starts]
-    bucket = (key % U(buckets)).astype(np.int64)
-    order = np.lexsort((doc, bucket))
-    key, doc, bucket = key[order], doc[order], bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else []
-    for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
-        own = doc[a:b]
-        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        narrow = (key[a:b] // U(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        yield {"bucket": int(bucket[a]), "kind": 0, "keys": narrow.tobytes(), "docs": own[heads].astype("<i8").tobytes(), "lens": np.diff(np.append(heads, b - a)).astype("<u2").tobytes()}
+    many = np.flatnonzero(lens > RUN)
+    inside = np.repeat(lens > RUN, lens)
+    for lo in range(0, len(many), 20_000):
+        some = many[lo : lo + 20_000]
+        chosen = np.zeros(len(starts), bool)
+        chosen[some] = True
+        yield {
+            "bucket": int(key[starts[some[0]]] % U(buckets)), "kind": 1, "keys": _key_name(key[starts[some]] // U(buckets), key[starts[some]] % U(buckets)).astype("<u8").tobytes(),
+            "docs": doc[np.repeat(chosen, lens) & inside].astype("<i8").tobytes(), "lens": lens[some].astype("<i4").tobytes(),
+        }
+    for kind, own_key, own_doc in ((0, key[~inside], doc[~inside]), (3, key[starts[many]], doc[starts[many]])):
+        bucket = (own_key % U(buckets)).astype(np.int64)
+        order = np.lexsort((own_doc, bucket))
+        own_key, own_doc, bucket = own_key[order], own_doc[order], bucket[order]
+        if not len(own_key):
+            continue
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(cuts, [*cuts[1:], len(own_key)], strict=True):
+            own = own_doc[a:b]
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            narrow = (own_key[a:b] // U(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+            yield {"bucket": int(bucket[a]), "kind": kind, "keys": narrow.tobytes(), "docs": own[heads].astype("<i8").tobytes(), "lens": np.diff(np.append(heads, b - a)).astype("<u4").tobytes()}
+
+
+def _key_name(rest: np.ndarray, bucket: np.ndarray | np.uint64) -> np.ndarray:
+    """The name of a key in runs, of its bytes that are shuffled and its bucket; long runs of all tasks must share it."""
+    return mix((rest & U((1 << 8 * KEY_BYTES) - 1)) * U(0x9E3779B97F4A7C15) + bucket)
 
 
 PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("lens", pa.binary())])
@@ -274,100 +314,121 @@ def _packed_keys(docs: DataFrame, common: np.ndarray, buckets: int, singles: boo
 
         ids: list[int] = []
         sets: list[np.ndarray] = []
-        seen: dict[bytes, int] = {}
         size = 0
         for batch in batches:
             for doc, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 if not len(own) or doc is None:
                     continue
-                at = seen.setdefault(set_key(own), len(ids))
-                if at < len(ids):  # an equal set is linked by its digest; the chunk needs it once
-                    ids[at] = min(ids[at], doc)
-                    continue
                 ids.append(doc)
                 sets.append(own)
                 size += len(own)
                 if size * 6 >= CHUNK_BYTES:
                     yield from flush()
-                    ids, sets, seen, size = [], [], {}, 0
+                    ids, sets, size = [], [], 0
         if ids:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, kind int, keys binary, docs binary, lens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, kind int, keys binary, docs binary, lens binary")
+
 
+MET = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs ``(key, kind, docs)``: documents of equal keys, smallest first."""
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("docs", pa.list_(pa.int64()))])
 
-    def rows(keys: np.ndarray, ends: np.ndarray, docs: np.ndarray, kind: int) -> pa.RecordBatch:
-        n = len(keys)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(np.full(n, kind, np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(docs))], schema=schema
-        )
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of documents of one key (kind 0), members ``b`` of long runs with the run's smallest ``a`` (1), loose documents (2)."""
 
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    def rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(a), 1 << 18):
+            cut = slice(lo, lo + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[cut]), kind, np.int32)), pa.array(key[cut].view(np.int64)), pa.array(a[cut]), pa.array(b[cut])], schema=MET)
+
+    held: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
     for batch in batches:
         for r in batch.to_pylist():
             docs = np.frombuffer(r["docs"], "<i8")
-            if r["kind"] == 0:
-                narrow = np.frombuffer(r["keys"], np.uint8).reshape(-1, 6)
+            if r["kind"] in (0, 3):
+                narrow = np.frombuffer(r["keys"], np.uint8).reshape(-1, KEY_BYTES)
                 wide = np.zeros((len(narrow), 8), np.uint8)
-                wide[:, :6] = narrow
-                held.setdefault(r["bucket"], []).append((wide.view("<u8").ravel(), np.repeat(docs, np.frombuffer(r["lens"], "<u2"))))
+                wide[:, :KEY_BYTES] = narrow
+                held.setdefault(r["bucket"], []).append((wide.view("<u8").ravel(), np.repeat(docs, np.frombuffer(r["lens"], "<u4")), r["kind"]))
             elif r["kind"] == 1:
-                yield rows(np.frombuffer(r["keys"], "<u8"), np.cumsum(np.frombuffer(r["lens"], "<i4")), docs, 1)
+                lens = np.frombuffer(r["lens"], "<i4")
+                yield from rows(1, np.repeat(np.frombuffer(r["keys"], "<u8"), lens), np.repeat(docs[np.cumsum(lens) - lens], lens), docs)
             else:
-                yield rows(np.zeros(len(docs), np.uint64), np.arange(1, len(docs) + 1), docs, 2)
-    for bucket, entries in held.items():
-        key, doc = np.concatenate([k for k, _ in entries]), np.concatenate([d for _, d in entries])
+                yield from rows(2, np.zeros(len(docs), np.uint64), docs, docs)
+    for bucket in list(held):
+        entries = held.pop(bucket)
+        key, doc = np.concatenate([k for k, _, _ in entries]), np.concatenate([d for _, d, _ in entries])
+        long = np.repeat([kind == 3 for _, _, kind in entries], [len(k) for k, _, _ in entries])
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        key, doc, long = key[order], doc[order], long[order]
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = key[1:] == key[:-1]
         inside = same[:-1] | same[1:]
-        key, doc = key[inside], doc[inside]
+        key, doc, long = key[inside], doc[inside], long[inside]
         if not len(key):
             continue
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.cumsum(first) - 1
-        order = np.lexsort((doc, group))
-        yield rows(_key_name(key[first], U(bucket)), np.cumsum(np.bincount(group)), doc[order], 0)
-
+        order = np.lexsort((doc, key))
+        key, doc, long = key[order], doc[order], long[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lens = np.diff(np.append(starts, len(key)))
+        wide = (lens > RUN) | np.logical_or.reduceat(long, starts)
+        run = np.repeat(wide, lens)
+        yield from rows(1, _key_name(key[run], U(bucket)), np.repeat(doc[starts], lens)[run], doc[run])
+        # pairs of a short run: each document with the ones 1, 2, ... places after it
+        left = np.repeat(starts + lens, lens) - np.arange(len(key)) - 1
+        left[run] = 0
+        for step in range(1, RUN):
+            at = np.flatnonzero(left >= step)
+            other = doc[at + step]
+            apart = doc[at] != other
+            yield from rows(0, np.zeros(int(apart.sum()), np.uint64), doc[at][apart], other[apart])
+
+
+def allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and parity sketches allow a link."""
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that link, decided on whole texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = np.asarray(batch.column(2)), np.asarray(batch.column(4))
+            keep = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+            left, right = _Sketches(batch.column(3)), _Sketches(batch.column(5))
+            width = np.minimum(left.width, right.width)
+            for w, v in {*zip(left.width[keep].tolist(), right.width[keep].tolist(), strict=True)}:
+                at = np.flatnonzero(keep & (left.width == w) & (right.width == v))
+                for some in (at[i : i + 4096] for i in range(0, len(at), 4096)):
+                    k = int(width[some[0]])
+                    apart = np.bitwise_count(left.rows(some, k) ^ right.rows(some, k)).sum(axis=1, dtype=np.int64)
+                    keep[some] = 7 * apart <= n[some] + m[some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    first = materialize(hint_small(pairs).join(a, "a"), "sketched")
+    second = hint_small(first, 20_000).join(b, "b")
+    return second.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that link, decided on whole texts of ``docs``; ``pairs`` is a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            others = shingle_sets(batch.column(3))
             keep = []
-            for i, other in enumerate(others):
-                if a[i] != last:
-                    last, own = a[i], next(shingle_sets(batch.column(2).slice(i, 1)))
+            for i, other in enumerate(shingle_sets(batch.column(4))):
+                key = (a[i], batch.column(2)[i].as_py())
+                if key != last:
+                    last, own = key, next(shingle_sets(batch.column(3).slice(i, 1)))
                 if linked(own, other):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialize(docs.join(hint_small(involved), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("k")), "texts")
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    first = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return first.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def _sketched(texts: DataFrame) -> DataFrame:
-    """``(doc_id, n, sketch)``: size and parity sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, sketch = [], []
-            for own in shingle_sets(batch.column(1)):
-                n.append(len(own))
-                sketch.append(parity_sketch(own).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "sketch"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch binary")
+    first = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("k").alias("k_a")), "a")
+    return first.select("a", "b", "k_a", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 class _Sketches:
@@ -385,8 +446,8 @@ class _Sketches:
         return folded(self.data[self.offsets[at][:, None] + np.arange(8 * own)].view(np.uint64), width)
 
 
-def _block_pairs(star: bool):
-    """Pairs of different classes in two blocks whose sizes and sketches allow a link; as a star, each document's first."""
+def _block_pairs(nearest: bool):
+    """Pairs of different classes in two blocks whose sizes and sketches allow a link; or only each document's nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,48 +472,61 @@ def _block_pairs(star: bool):
                             apart = np.bitwise_count(sa.rows(x, width)[:, None] ^ second).sum(axis=2, dtype=np.int64)
                             n, m = na[x][:, None], nb[y]
                             i, j = np.nonzero((la[x][:, None] < lb[y] if once else la[x][:, None] != lb[y]) & (7 * apart <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
+                            if nearest and len(i):
+                                far = apart[i, j] / (na[x[i]] + nb[y[j]])
+                                best = []
+                                for own in (i, j):
+                                    order = np.lexsort((far, own))
+                                    best.append(order[np.concatenate([[True], own[order][1:] != own[order][:-1]])])
+                                some = np.unique(np.concatenate(best))
+                                i, j = i[some], j[some]
                             if len(i):
-                                a, b = np.minimum(da[x[i]], db[y[j]]), np.maximum(da[x[i]], db[y[j]])
-                                if star:
-                                    order = np.lexsort((a, b))
-                                    a, b = a[order], b[order]
-                                    first = np.concatenate([[True], b[1:] != b[:-1]])
-                                    a, b = a[first], b[first]
-                                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da[x[i]], db[y[j]])), pa.array(np.maximum(da[x[i]], db[y[j]]))], names=["a", "b"])
 
     return run
 
 
-def unsettled_pairs(runs: DataFrame, labels: DataFrame, sketches: DataFrame, star: bool = False) -> DataFrame:
-    """Pairs of members of one run that are in different classes so far, and may link by size and sketch."""
-    counted = runs.groupBy("key").agg(F.count("*").alias("rows"), F.min("docs").alias("docs"))
-    # most keys are one run, and many runs hold the same documents
-    one = counted.filter("rows = 1").select("docs").distinct().select(F.xxhash64("docs").alias("key"), "docs")
-    several = runs.join(counted.filter("rows > 1").select("key"), "key", "left_semi").select("key", "docs")
-    members = one.unionByName(several).select("key", F.explode("docs").alias("doc")).distinct().join(labels, F.col("doc") == F.col("node"))
-    members = materialize(members.select("key", "doc", "label"), "members")
-    # keys of the same members (each twice hashed, in any order) are one
+def _relabelled(rows: DataFrame, grown: DataFrame) -> DataFrame:
+    """``rows(doc, ...)`` with ``label``: the class of the document so far."""
+    now = grown.select(F.col("node").alias("doc"), "component")
+    return rows.drop("label").join(now, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+
+
+def unsettled(met: DataFrame, grown: DataFrame) -> DataFrame:
+    """``(key, doc)``: documents to compare, by the groups or long runs in which several classes meet."""
+    runs = met.filter("kind = 1").select("key", "a", F.col("b").alias("doc"))
+    spread = _relabelled(runs.select("key", "doc"), grown).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    open_runs = materialize(runs.join(spread, "key", "left_semi"), "open-runs")
+    if not open_runs.limit(1).count():
+        return open_runs.select("key", "doc")
+    edges = open_runs.select("a", F.col("doc").alias("b")).distinct()
+    groups = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    large = materialize(groups.groupBy("group").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("group"), "large-groups")
+    grouped = groups.join(large, "group", "left_anti").select(F.col("group").alias("key"), "doc")
+    if not large.limit(1).count():
+        return grouped
+    inside = groups.join(large, "group", "left_semi").select("doc")
+    rest = open_runs.join(inside, "doc", "left_semi").select("key", "doc").distinct()
+    # runs of the same documents (each twice hashed, in any order) are one
     same = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"same{i}") for i in (1, 2)]
-    spread = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), *same).filter("lo <> hi")
-    spread = spread.groupBy("m", "same1", "same2").agg(F.min("key").alias("key")).select("key", "m")
-    members = members.join(spread, "key")
-    many = members.select("key", "doc", "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    one = rest.groupBy("key").agg(F.count("*").alias("m"), *same).groupBy("m", "same1", "same2").agg(F.min("key").alias("key")).select("key")
+    return grouped.unionByName(rest.join(one, "key", "left_semi").select(F.xxhash64("key", F.lit("run")).alias("key"), "doc"))
+
+
+def cross_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of different classes among ``members(key, doc, label)`` of one key that size and sketch allow."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    many = members.join(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
     many = many.join(sketches, F.col("doc") == F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     placed = many.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.struct("doc", "label", "n", "sketch").alias("x"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     left = F.when(F.col("own") <= F.col("other"), F.col("x"))
     right = F.when(F.col("own") >= F.col("other"), F.col("x"))
     blocks = placed.groupBy("key", i.alias("i"), j.alias("j")).agg(F.collect_list(left).alias("left"), F.collect_list(right).alias("right"))
-    return blocks.select("left", "right").mapInArrow(_block_pairs(star), "a bigint, b bigint").distinct()
-
+    return blocks.select("left", "right").mapInArrow(_block_pairs(nearest), "a bigint, b bigint").distinct()
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(describe(docs), "sets")
-    own = described.filter("hashes IS NULL").select("doc_id", "n", "set_key")
 
+def _common_shingles(described: DataFrame) -> np.ndarray:
     counted = (
         described.filter("hashes IS NOT NULL")
         .select(F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
@@ -467,63 +541,60 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     common["hash"] = np.array([r.hash for r in counted], np.int64).view(np.uint64)
     common["order"] = np.arange(len(counted))[::-1]  # the most frequent last
     common.sort(order="hash")
+    return common
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    described = materialize(describe(docs), "sets")
+    own = described.filter("hashes IS NULL")
+    common = _common_shingles(described)
+
+    # equal sets: one class without pairs
+    linkable = own.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    firsts = materialize(linkable.groupBy("set_key").agg(F.min("doc_id").alias("label"), F.count("*").alias("m")).filter("m > 1").drop("m"), "firsts")
+    copies = materialize(linkable.select("doc_id", "text_key", "set_key").join(firsts, "set_key").filter("doc_id <> label").select("doc_id", "text_key", "label"), "copies")
+    again = hint_small(copies.select("doc_id", "text_key").distinct())
+    first_docs = docs.withColumn("text_key", F.xxhash64("text")).join(again, ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
+    sketches = linkable.join(again, ["doc_id", "text_key"], "left_anti").select("doc_id", "n", "sketch")
 
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * KEYS_A_BUCKET)))
 
-    def found(singles: bool) -> DataFrame:
-        packed = _packed_keys(docs, common, buckets, singles).repartition(buckets, "bucket")
-        return materialize(packed.mapInArrow(_runs, "key bigint, kind int, docs array<bigint>"), "runs")
+    def found(some: DataFrame, singles: bool) -> DataFrame:
+        packed = _packed_keys(some, common, buckets, singles).repartition(buckets, "bucket")
+        return materialize(packed.mapInArrow(_met, "kind int, key bigint, a bigint, b bigint"), "met")
 
-    runs = found(False)
-    loose = runs.filter("kind = 2").select(F.explode("docs").alias("doc")).distinct()
+    met = found(first_docs, False)
+    loose = met.filter("kind = 2").select(F.col("b").alias("doc_id")).distinct()
     if loose.limit(1).count():
-        again = found(True)
-        again = again.filter("kind < 2")
-        # all runs of a key that a loose document has: its partners may be in another chunk's local run
-        touched = again.select("key", F.explode("docs").alias("doc")).join(loose, "doc", "left_semi").select("key").distinct()
-        runs = runs.unionByName(again.join(touched, "key", "left_semi"))
-    runs = runs.filter("kind < 2").select("key", "docs")
-
-    # equal sets: one class without pairs
-    firsts = own.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("label"))
-    labelled = materialize(own.filter("set_key IS NOT NULL").join(firsts, "set_key").groupBy("doc_id").agg(F.min("label").alias("label")), "classes")
-
-    involved = runs.select(F.explode("docs").alias("doc_id")).distinct()
-    labels = materialize(involved.join(labelled, "doc_id").select(F.col("doc_id").alias("node"), "label"), "labels")
-    texts = materialize(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    star = runs.select(F.col("docs")[0].alias("a"), F.explode("docs").alias("b")).filter("a <> b")
-    star = star.groupBy("b").agg(F.min("a").alias("a"))
-    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    star = star.join(la, "a").join(lb, "b").filter("la <> lb").select("a", "b")
-
-    def joined(links: DataFrame, more: DataFrame | None) -> DataFrame:
-        edges = links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
-        return components(edges if more is None else edges.unionByName(more))
-
-    def labels_after(grown: DataFrame) -> DataFrame:
-        return labels.join(grown.withColumnRenamed("node", "g"), F.col("label") == F.col("g"), "left").select("node", F.coalesce("component", "label").alias("label"))
-
-    grown = joined(materialize(verified(star, texts), "links"), None)
-    sketches = materialize(_sketched(texts), "sketches")
-    # a second star, of pairs that their sketches allow, settles most of what is left before all such pairs are listed
-    second = unsettled_pairs(runs, labels_after(grown), sketches, star=True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    second = materialize(second.join(star, ["a", "b"], "left_anti"), "pairs")
-    grown = joined(materialize(verified(second, texts), "links"), grown.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    tried = star.unionByName(second)
-    rest = materialize(unsettled_pairs(runs, labels_after(grown), sketches).join(tried, ["a", "b"], "left_anti"), "pairs")
-    # again a star first: most pairs that are left are links of a few classes
-    for take in (lambda pairs: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda pairs: pairs):
-        now = labels_after(grown)
-        na, nb = (now.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        rest = materialize(rest.join(na, "a").join(nb, "b").filter("la <> lb").select("a", "b"), "pairs")
-        if rest.limit(1).count() == 0:
+        met = met.unionByName(found(first_docs.join(hint_small(loose), "doc_id", "left_semi"), True).filter("kind < 2"))
+
+    pairs = materialize(met.filter("kind < 2 AND a <> b").select("a", "b").distinct(), "pairs")
+    tried = materialize(allowed(pairs, sketches), "allowed")
+    # an id with several texts ties their classes
+    tied = linkable.select("doc_id", "text_key").join(copies, ["doc_id", "text_key"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")).distinct()
+    tied = materialize(tied, "classes")
+    edges = tied.groupBy("doc_id").agg(F.min("label").alias("a"), F.collect_set("label").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b"))
+    edges = edges.unionByName(materialize(verified(tried, first_docs), "links"))
+    grown = components(edges)
+
+    members = materialize(unsettled(met, grown), "members")
+    nearest = bool(members.limit(1).count())
+    while members.limit(1).count():
+        more = cross_pairs(materialize(_relabelled(members, grown), "members"), sketches, nearest)
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(verified(more, first_docs), "links")
+        linked_now = bool(links.limit(1).count())
+        if linked_now:
+            grown = components(links.unionByName(grown.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if not nearest:  # all that was left has been tried
             break
-        more = materialize(verified(take(rest), texts), "links")
-        grown = joined(more, grown.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        nearest = linked_now
+        tried = tried.unionByName(more)
 
-    whole = labelled.join(grown, F.col("label") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "label").alias("component"))
-    return own.join(whole, F.col("doc_id") == F.col("d"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    whole = tied.groupBy("doc_id").agg(F.min("label").alias("label")).join(grown, F.col("label") == F.col("node"), "left")
+    whole = whole.select(F.col("doc_id").alias("d"), F.coalesce("component", "label").alias("component"))
+    return own.join(whole, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
