@@ -1,30 +1,33 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Vectors are scaled to unit length for the index and searched with their own values: the index maps each vector
-x to (x, sqrt(M**2 - |x|**2)) with the largest norm M, so that the nearest by distance is the largest by inner
-product (for unit vectors the added component is 0).
+The index maps each vector x to (x, sqrt(M**2 - |x|**2)), scaled by M, so that the nearest by distance is the largest
+by inner product (for unit vectors the added component is 0). M is the largest norm, or ``GIANT`` times the 99 % quantile
+where single norms are far beyond it; vectors over M are kept in lists of their own that every query meets.
 
-* Centroids: k-means on a bounded sample (``SAMPLE_ROWS``), one for about ``LIST_ROWS`` vectors; their number is
-  bounded by ``MAX_LISTS``, so they fit in each task. A graph links each centroid with its nearest ones.
+* Centroids: k-means on a bounded sample (``SAMPLE_ROWS``), one for about ``LIST_ROWS`` vectors; lists with more than
+  twice the mean share of the sample are split in two until none is. Their number is bounded by about ``MAX_LISTS``,
+  so that centroids and their graph fit in each task; beyond that lists have more rows and are cut into sublists.
 * Posting lists: a vector goes to its nearest centroid and to those within ``BOUNDARY`` of that distance, at most
-  ``REPLICAS`` in all. Lists are written in blocks of at most ``BLOCK_ROWS`` vectors, so a list that is much larger
-  than others is only more blocks: no task holds a whole list.
-* Search: each query probes its nearest lists, one in ``PROBED_SHARE`` of all and ``PROBES`` at least, so that the
-  share of the table that is searched does not shrink as lists grow in number. A walk of the centroid graph (best
-  first, a half wider than the lists asked for) finds them; where it would open a good part of all centroids, one
-  matrix product ranks them all. Queries of a list, in blocks, meet the list's blocks; a pair of blocks is one
-  matrix product, of which each query keeps its best rows. A query with fewer than k found probes all lists.
-
-Copies of a vector share one entry with their smallest ids (``KEPT_COPIES``, one more than any query returns):
-a larger id cannot be in a result. Every row is in the index this way.
-
-Vectors that are null, zero, of another length than most or with null or non-finite components take no part.
-Scores are double-precision inner products of the original vectors, ties go to the smaller id. Rows that share
-an id count as one (the smallest vector). Fewer candidates than asked give shorter lists; an empty table none.
+  ``REPLICAS`` in all. A list with more than ``SUBLIST`` rows by its share of the sample (near copies cannot be split
+  by centroids) is dealt over sublists, and its queries meet each of them: no task holds a whole large list.
+* Search: each query probes its nearest lists, ``SPREAD`` times the square root of their number and ``PROBES`` at
+  least. A walk of the centroid graph (best first, a half wider than the lists asked for) finds them; where it would
+  open a good part of all centroids, one matrix product ranks them all. A task joins the blocks of a list, multiplies
+  them with the list's queries and keeps the best ``k`` of each query over all its lists, so a query has one row a
+  task in the shuffle that follows. A query with fewer than k found probes all lists.
+
+Copies of a vector share one entry with their k + 1 smallest ids: a larger id cannot be in a result. Every row is in
+the index this way.
+
+Vectors that are null, empty, zero or with null or non-finite components take no part. A shorter vector counts as
+filled up with zeros. Scores are double-precision inner products of the original vectors, ties go to the smaller id; a
+score that overflows is infinite, one that is no number comes last. Rows that share an id count as one (the smallest
+vector); rows with a null id take no part. Fewer candidates than asked give shorter lists; an empty table none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +40,22 @@ from .common import materialize
 SAMPLE_ROWS = 20_000
 LIST_ROWS = 200
 MAX_LISTS = 4096
+SUBLIST = 8 * LIST_ROWS
 REPLICAS = 4
 BOUNDARY = 1.15
 BEAM = 96
 PROBES = 64
-PROBED_SHARE = 8
+SPREAD = 4
 NEIGHBOURS = 24
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
+BUFFER_ROWS = 32_768
+GIANT = 4.0
 
 
 class Centroids:
     """Centroids and the graph over them; lives in the memory of every task."""
 
-    def __init__(self, sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, rows: int = 0, rounds: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.points = sample[rng.choice(len(sample), lists, replace=False)].copy()
         for _ in range(rounds):
@@ -59,9 +65,14 @@ class Centroids:
             sizes = np.bincount(near, minlength=lists)
             used = sizes > 0
             self.points[used] = sums[used] / sizes[used, None]
-            # an empty list takes a member of the largest ones: keeps the lists balanced
+            # an empty list takes a member of the largest ones
             for hole, big in zip(np.flatnonzero(~used), np.argsort(-sizes), strict=False):
                 self.points[hole] = sample[rng.choice(np.flatnonzero(near == big))]
+        self.points = np.array(self._balanced(sample, self._exact(sample), max(2, 2 * len(sample) // lists), rng))
+        lists = len(self.points)
+        share = np.bincount(self._exact(sample), minlength=lists) / len(sample)
+        #: Sublists of each list, by its expected rows.
+        self.sublists = np.maximum(1, np.ceil(share * rows / SUBLIST)).astype(np.int64)
         self.norms = (self.points**2).sum(axis=1)
         k = min(NEIGHBOURS + 1, lists)
         links = []
@@ -73,6 +84,29 @@ class Centroids:
         self.links = np.concatenate([near, rng.integers(0, lists, (lists, min(8, lists)))], axis=1)
         self.entries = rng.choice(lists, min(lists, 32), replace=False)
 
+    def _balanced(self, sample: np.ndarray, near: np.ndarray, most: int, rng: np.random.Generator) -> list[np.ndarray]:
+        """The centroids, those of more than ``most`` sample rows split in two as long as their rows differ."""
+        order = np.argsort(near, kind="stable")
+        cuts = np.searchsorted(near[order], np.arange(len(self.points) + 1))
+        todo = [(self.points[i], order[cuts[i] : cuts[i + 1]]) for i in range(len(self.points))]
+        out = []
+        while todo:
+            point, rows = todo.pop()
+            x = sample[rows]
+            spread = x.max(axis=0) - x.min(axis=0) if len(rows) > most else np.zeros(1)
+            if spread.max() < 1e-9:
+                out.append(point)
+                continue
+            pair = x[rng.choice(len(x), 2, replace=False)]
+            for _ in range(4):
+                side = ((x - pair[0]) ** 2).sum(axis=1) > ((x - pair[1]) ** 2).sum(axis=1)
+                if side.all() or not side.any():  # equal seeds: cut at the middle of the widest component
+                    wide = x[:, int(np.argmax(spread))]
+                    side = wide > (wide.max() + wide.min()) / 2
+                pair = np.array([x[~side].mean(axis=0), x[side].mean(axis=0)])
+            todo += [(pair[0], rows[~side]), (pair[1], rows[side])]
+        return out
+
     def _exact(self, x: np.ndarray) -> np.ndarray:
         norms = (self.points**2).sum(axis=1)
         return np.concatenate([np.argmin(norms - 2 * x[i : i + 4096] @ self.points.T, axis=1) for i in range(0, len(x), 4096)])
@@ -124,56 +158,105 @@ class Centroids:
         return order, np.sqrt(np.maximum(distances[own, order], 0))
 
 
-def _floats(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+def _floats(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of a list column as doubles, filled up with zeros to ``size``."""
+    lens = np.asarray(column.value_lengths())
+    flat = np.asarray(column.flatten(), np.float64)
+    if (lens == size).all():
+        return flat.reshape(len(lens), size)
+    out = np.zeros((len(lens), size))
+    out[np.arange(size) < lens[:, None]] = flat
+    return out
 
 
 def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
-    return np.concatenate([x, np.sqrt(np.maximum(largest**2 - (x**2).sum(axis=1), 0))[:, None]], axis=1)
+    x = x / largest
+    return np.concatenate([x, np.sqrt(np.maximum(1 - (x**2).sum(axis=1), 0))[:, None]], axis=1)
+
+
+def _directed(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))], axis=1)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(vec_id, v, norm)`` of the vectors that take part."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
     v = v.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("norm > 0")
-    common = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-    v = v.join(F.broadcast(common.select("d")), F.size("v") == F.col("d"))  # one row
-    return v.groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("x")).select("vec_id", "x.v", "x.norm")
+    v = v.withColumn("top", F.array_max(F.transform("v", F.abs))).filter("top > 0")
+    # squared after scaling, so that nothing over- or underflows
+    norm = F.col("top") * F.sqrt(F.aggregate(F.transform("v", lambda x: x / F.col("top")), F.lit(0.0), lambda s, x: s + x * x))
+    return v.groupBy("vec_id").agg(F.min(F.struct("v", norm.alias("norm"))).alias("x")).select("vec_id", "x.v", "x.norm")
 
 
 def distinct_vectors(vectors: DataFrame, kept: int) -> DataFrame:
     """``(v, norm, ids)``: one row a different vector, with its ``kept`` smallest ids, smallest first."""
-    salted = vectors.withColumn("key", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    first = salted.withColumn("n", F.row_number().over(Window.partitionBy("key", "v", "salt").orderBy("vec_id"))).filter(F.col("n") <= kept)
-    last = first.withColumn("n", F.row_number().over(Window.partitionBy("key", "v").orderBy("vec_id"))).filter(F.col("n") <= kept)
-    return last.groupBy("key", "v", "norm").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "norm", "ids")
+    # the limit of rank works before the shuffle too: a vector of very many rows sends ``kept`` of them a task
+    keyed = vectors.withColumn("key", F.xxhash64("v"))
+    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key", "v").orderBy("vec_id"))).filter(F.col("n") <= kept)
+    return first.groupBy("key", "v").agg(F.min("norm").alias("norm"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "norm", "ids")
+
 
+PLACED = "list int, sub int, kind int, ids binary, counts binary, data binary"
+PLACED_ARROW = pa.schema([("list", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
 
-def _blocks(batches: Iterator[pa.RecordBatch], centroids: Centroids, largest: float, probes: int = 0) -> Iterator[pa.RecordBatch]:
-    """Packed rows (list, ids, data): vectors of the lists they belong to, or queries of the ``probes`` lists they probe."""
+
+def _blocks(batches: Iterator[pa.RecordBatch], centroids: Centroids, largest: float, size: int, giants: int = 1, probes: int = 0) -> Iterator[pa.RecordBatch]:
+    """Packed rows by list: vectors (kind 1) of the lists they belong to, or queries (kind 0) of the ``probes`` lists they probe.
+
+    Vectors beyond ``largest`` are in the list -1 of ``giants`` sublists.
+    """
 
     def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lifted = _lifted(x, largest) if not probes else np.concatenate([x / np.linalg.norm(x, axis=1)[:, None] * largest, np.zeros((len(x), 1))], axis=1)
-        lists, distance = centroids.search(lifted, probes * 3 // 2 if probes else BEAM)
+        lists, distance = centroids.search(_directed(x) if probes else _lifted(x, largest), probes * 3 // 2 if probes else BEAM)
         most = probes or REPLICAS
         lists, distance = lists[:, :most], distance[:, :most]
         chosen = np.isfinite(distance) if probes else distance <= BOUNDARY * distance[:, :1] + 1e-12
         return np.nonzero(chosen)[0], lists[chosen]
 
+    def packed(ids: list[np.ndarray], x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        flat, counts = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.cumsum(counts) - counts
+        if probes:
+            row, lst = place(x)
+            row, lst = np.concatenate([row, np.arange(len(x))]), np.concatenate([lst, np.full(len(x), -1)])
+            many = np.where(lst >= 0, centroids.sublists[lst], giants)
+            sub = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            row, lst = np.repeat(row, many), np.repeat(lst, many)
+        else:
+            # by the norm that is in use: not over largest, up to rounding
+            scaled = np.linalg.norm(x / max(largest, 1e-300), axis=1)
+            low = np.flatnonzero(scaled <= 1 + 1e-9)
+            row, lst = place(x[low]) if len(low) else (low, low)
+            high = np.flatnonzero(scaled > 1 + 1e-9)
+            row, lst = np.concatenate([low[row], high]), np.concatenate([lst, np.full(len(high), -1)])
+            sub = flat[at][row] * 2654435761 % 4294967296 // 65536 % np.where(lst >= 0, centroids.sublists[lst], giants)
+        order = np.lexsort((sub, lst))
+        row, lst, sub = row[order], lst[order], sub[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (lst[1:] != lst[:-1]) | (sub[1:] != sub[:-1])]))
+        rows = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lst)], strict=True):
+            for lo in range(a, b, BLOCK_ROWS):
+                part = row[lo : min(b, lo + BLOCK_ROWS)]
+                n = counts[part]
+                own = flat[np.repeat(at[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                rows.append((int(lst[a]), int(sub[a]), int(not probes), own.astype("<i8").tobytes(), n.astype("<i4").tobytes(), x[part].tobytes()))
+        for lo in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64], strict=True), PLACED_ARROW, strict=True)], schema=PLACED_ARROW)
+
+    held_ids: list[np.ndarray] = []
+    held: list[np.ndarray] = []
     for batch in batches:
-        x = _floats(batch.column(1))
-        if not len(x):
+        if not batch.num_rows:
             continue
         ids = batch.column(0)
-        row, lst = place(x)
-        order = np.argsort(lst, kind="stable")
-        row, lst = row[order], lst[order]
-        cuts = np.flatnonzero(np.concatenate([[True], lst[1:] != lst[:-1]]))
-        for a, b in zip(cuts, [*cuts[1:], len(lst)], strict=True):
-            for lo in range(a, b, BLOCK_ROWS):
-                part = row[lo : min(b, lo + BLOCK_ROWS)]
-                yield pa.RecordBatch.from_arrays([pa.array([lst[a]], pa.int32()), pa.array([ids.take(pa.array(part)).to_pylist()], pa.list_(ids.type)), pa.array([x[part].tobytes()], pa.binary())], names=["list", "ids", "data"])
+        held_ids += [np.array([i], np.int64) for i in ids.to_pylist()] if probes else [np.array(i, np.int64) for i in ids.to_pylist()]
+        held.append(_floats(batch.column(1), size))
+        if len(held_ids) >= BUFFER_ROWS:
+            yield from packed(held_ids, np.concatenate(held))
+            held_ids, held = [], []
+    if held_ids:
+        yield from packed(held_ids, np.concatenate(held))
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -184,71 +267,164 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _match(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Best rows of each query of a query block among a block of a list."""
+def _top(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the best ``k`` of each query, in order, each vector once."""
+    order = np.lexsort((vec, -score, query))
+    q, v = query[order], vec[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])  # equal vectors of a query score alike
+    order, q = order[once], q[once]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+class _Best:
+    """The best ``k`` of each query that a task has met."""
+
+    def __init__(self, k: int):
+        self.k, self.least, self.size = k, {}, 0
+        self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(self, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, counts: np.ndarray, v: np.ndarray) -> None:
+        at = np.cumsum(counts) - counts
+        m = min(self.k + 1, len(v))
+        for lo in range(0, len(qids), step := max(1, (1 << 22) // len(v))):
+            own, x = qids[lo : lo + step], q[lo : lo + step]
+            near = x @ v.T
+            near[np.isnan(near)] = -np.inf
+            least = np.maximum(np.partition(near, len(v) - m, axis=1)[:, len(v) - m], [self.least.get(i, -np.inf) for i in own.tolist()])
+            i, j = np.nonzero(near >= np.where(np.isfinite(least), least - 1e-9 * np.maximum(1, np.abs(least)), least)[:, None])
+            score = _scores(x[i], v[j])
+            n = counts[j]
+            query, score = np.repeat(own[i], n), np.repeat(score, n)
+            found = ids[np.repeat(at[j] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            other = found != query
+            self.pool.append((query[other], found[other], score[other]))
+            self.size += int(other.sum())
+            if self.size > 1 << 19:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.pool:
+            return
+        query, vec, score = (np.concatenate(c) for c in zip(*self.pool, strict=True))
+        kept = _top(query, vec, score, self.k)
+        query, vec, score = query[kept], vec[kept], score[kept]
+        self.pool, self.size = [(query, vec, score)], 0
+        last = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if len(query) else np.zeros(0, np.int64)
+        full = np.diff(np.concatenate([[-1], last])) == self.k
+        self.least = dict(zip(query[last[full]].tolist(), score[last[full]].tolist(), strict=True))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        if not self.pool or not len(self.pool[0][0]):
+            return
+        query, vec, score = self.pool[0]
+        cuts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        ends = pa.array(np.append(cuts, len(query)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(query[cuts]), pa.ListArray.from_arrays(ends, pa.array(vec)), pa.ListArray.from_arrays(ends, pa.array(score))], names=["query_id", "ids", "scores"])
+
+
+def _match(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The best vectors of each query over the lists of a partition; rows come by list, queries first."""
+    best, current = _Best(k), None
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet() -> None:
+        if held and asked:
+            qids, q = (np.concatenate(c) for c in zip(*asked, strict=True))
+            best.meet(qids, q, *(np.concatenate(c) for c in zip(*held, strict=True)))
+        held.clear()
+
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lst, sub, kind, ids, counts, data = (batch.column(c)[i].as_py() for c in range(6))
+                if (lst, sub) != current:
+                    meet()
+                    current, asked = (lst, sub), []
+                x = np.frombuffer(data, np.float64).reshape(-1, size)
+                if kind == 0:
+                    asked.append((np.frombuffer(ids, "<i8"), x))
+                elif asked:
+                    held.append((np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<i4").astype(np.int64), x))
+                    if sum(len(h[1]) for h in held) >= BLOCK_ROWS:
+                        meet()
+        meet()
+        yield from best.rows()
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of the queries of a partition, ranked; rows come by query."""
+
+    def ranked() -> Iterator[pa.RecordBatch]:
+        query, vec, score = (np.concatenate(c) for c in zip(*held, strict=True))
+        kept = _top(query, vec, score, k)
+        query, vec, score = query[kept], vec[kept], score[kept]
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(rank.astype(np.int32)), pa.array(vec), pa.array(score)], names=["query_id", "rank", "vec_id", "score"])
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, last = 0, None
     for batch in batches:
-        for i in range(batch.num_rows):
-            qids = np.array(batch.column(0)[i].as_py(), np.int64)
-            vids = batch.column(2)[i].as_py()
-            q = np.frombuffer(batch.column(1)[i].as_py(), np.float64).reshape(len(qids), -1)
-            v = np.frombuffer(batch.column(3)[i].as_py(), np.float64).reshape(len(vids), -1)
-            near = q @ v.T
-            m = min(k + 1, len(v))
-            least = np.partition(near, len(v) - m, axis=1)[:, len(v) - m]
-            a, b = np.nonzero(near >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
-            score = _scores(q[a], v[b])
-            sizes = np.fromiter((len(x) for x in vids), np.int64, len(vids))
-            flat = np.fromiter((x for ids in vids for x in ids), np.int64, int(sizes.sum()))
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            n = sizes[b]
-            qa, sc = np.repeat(qids[a], n), np.repeat(score, n)
-            found = flat[np.repeat(at[b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            keep = found != qa
-            qa, sc, found = qa[keep], sc[keep], found[keep]
-            order = np.lexsort((found, -sc, qa))
-            qa, sc, found = qa[order], sc[order], found[order]
-            rank = np.arange(len(qa)) - np.searchsorted(qa, qa)
-            top = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(qa[top]), pa.array(found[top]), pa.array(sc[top])], names=["query_id", "vec_id", "score"])
+        ids = np.asarray(batch.column(0))
+        lens = np.asarray(batch.column(1).value_lengths())
+        cuts = np.concatenate([[0], np.cumsum(lens)])
+        query, vec, score = np.repeat(ids, lens), np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten())
+        at = 0
+        while size + len(query) - at > 1 << 19:  # a query is settled where the next one begins
+            heads = np.flatnonzero(np.concatenate([[ids[0] != last], ids[1:] != ids[:-1]]))
+            heads = heads[cuts[heads] > at]
+            if not len(heads):
+                break
+            cut = int(cuts[heads[-1]])
+            held.append((query[at:cut], vec[at:cut], score[at:cut]))
+            yield from ranked()
+            held, size, at = [], 0, cut
+        held.append((query[at:], vec[at:], score[at:]))
+        size += len(query) - at
+        last = ids[-1] if len(ids) else last
+    if held:
+        yield from ranked()
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest vectors found for each row of ``queries`` but itself."""
-    base = materialize(usable(vectors, id_col, vector_col), "vectors")
-    asked = materialize(usable(queries, id_col, vector_col), "queries")
-    spark = base.sparkSession
+    spark = vectors.sparkSession
+    base = usable(vectors, id_col, vector_col)
     one = materialize(distinct_vectors(base, k + 1), "distinct")
-    facts = one.agg(F.count("*").alias("n"), F.max("norm").alias("largest")).first()
-    if not facts.n:
+    asked = materialize(usable(queries, id_col, vector_col), "queries")
+    facts = one.agg(F.count("*").alias("n"), F.max("norm").alias("largest"), F.percentile_approx("norm", 0.99).alias("usual"), F.max(F.size("v")).alias("size")).first()
+    longest = max(facts.size or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
+    if not facts.n or not longest:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    largest = float(facts.largest)
+    largest = min(float(facts.largest), GIANT * float(facts.usual))
+    giants = 1 if largest == facts.largest else max(1, -(-one.filter(F.col("norm") > largest).count() // SUBLIST))
     share = min(1.0, SAMPLE_ROWS / facts.n)
-    rows = one.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS).select("v").collect()
-    sample = _lifted(np.array([r.v for r in rows]), largest)
-    lists = max(1, min(MAX_LISTS, len(sample), facts.n // LIST_ROWS))
-    centroids = Centroids(sample, lists)
-    probes = max(PROBES, -(-lists // PROBED_SHARE))
-
-    kind = "list int, ids array<{}>, data binary"
-    listed = one.select("ids", "v").mapInArrow(lambda it: _blocks(it, centroids, largest), kind.format("array<bigint>"))
-    if lists > probes:
-        listed = materialize(listed, "lists")
+    usual = one.filter(F.col("norm") <= largest)
+    rows = usual.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS).select("v").collect()
+    x = np.zeros((max(1, len(rows)), longest))
+    for i, r in enumerate(rows):
+        x[i, : len(r.v)] = r.v
+    sample = _lifted(x, largest)
+    centroids = Centroids(sample, max(1, min(MAX_LISTS, len(sample), facts.n // LIST_ROWS)), facts.n)
+    lists = len(centroids.points)
+    probes = max(PROBES, math.ceil(SPREAD * math.sqrt(lists)))
+
+    listed = materialize(one.select("ids", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, longest, giants), PLACED), "lists")
 
     def found(some: DataFrame, probes: int) -> DataFrame:
-        probing = some.select("vec_id", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, probes), kind.format("bigint"))
-        met = probing.select("list", F.col("ids").alias("qids"), F.col("data").alias("qdata")).join(listed, "list").select("qids", "qdata", "ids", "data")
-        return met.mapInArrow(lambda it: _match(it, k), "query_id bigint, vec_id bigint, score double").distinct()
-
-    def best(pairs: DataFrame) -> DataFrame:
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-        return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    if lists <= probes:  # every query has met every list
-        return best(found(asked, probes))
-    first = materialize(best(found(asked, probes)), "nearest")
+        probing = some.select("vec_id", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, longest, giants, probes), PLACED)
+        met = listed.unionByName(probing).repartition("list", "sub").sortWithinPartitions("list", "sub", "kind")
+        best = met.mapInArrow(lambda it: _match(it, k, longest), "query_id bigint, ids array<bigint>, scores array<double>")
+        return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, k), "query_id bigint, rank int, vec_id bigint, score double")
+
+    if lists <= probes:  # every query meets every list
+        return found(asked, lists)
+    first = materialize(found(asked, probes), "nearest")
     full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = materialize(asked.join(full, "vec_id", "left_anti"), "short")
     if not short.limit(1).count():
         return first
-    again = best(found(short, lists))
+    again = found(short, lists)
     return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
