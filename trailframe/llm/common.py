@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of a side that may be broadcast; sides are counted before the hint is given.
+#: Rows and bytes of a side that may be broadcast; sides are counted before the hint is given.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +30,17 @@ def ascii_lower(col: Column | str) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the session names none (tests on one machine) a temporary one is set.
+    A local session (tests on one machine) that names none gets a temporary one; a cluster must name it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="trailframe-")
+        if kept.isDefined():
+            found = kept.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -46,13 +53,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
 
 
-def hint_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a count proves the side small; otherwise the plain side for a shuffle join."""
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing to come reads."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hint_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when a count of rows and bytes proves the side small; else the plain side for a shuffle join."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    if any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in df.schema.fields):
+        raise ValueError("only flat tables are measured")
+    width = F.lit(16 + 8 * len(df.columns))
+    for c in wide:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size.rows <= BROADCAST_ROWS and size.bytes <= most else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,7 +89,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     both = materialize(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
-    labels = materialize(labels, "labels")
+    written = materialize(labels, "labels")
+    labels = written
     while True:
         near = (
             both.join(labels, both.b == labels.node)
@@ -82,6 +106,8 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.least("component", "above").alias("component"), (F.least("component", "above") != F.col("before")).alias("moved")
         )
         jumped = materialize(jumped, "labels")
-        labels = jumped.select("node", "component")
+        discard(written, stepped)
+        written, labels = jumped, jumped.select("node", "component")
         if jumped.filter("moved").limit(1).count() == 0:
+            discard(both)
             return labels

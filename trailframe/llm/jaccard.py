@@ -404,7 +404,7 @@ def allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     first = materialize(hint_small(pairs).join(a, "a"), "sketched")
-    second = hint_small(first, 20_000).join(b, "b")
+    second = hint_small(first).join(b, "b")
     return second.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, hint_small, materialize
 
 CRLF = "\r\n"
 BREAK = CRLF + CRLF
@@ -39,11 +39,15 @@ def base32_sha1(col: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest and refers_to (null for responses)."""
+    """Adds payload, payload_bytes, payload_digest and refers_to (null for responses).
+
+    Only the digests of two and more pages are joined with the payloads, broadcast where they are proved small.
+    """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    first = p.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"))
-    p = p.join(first, ["payload_digest", "payload_bytes"], "left")
+    equal = p.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    first = materialize(equal.filter("n > 1 AND first IS NOT NULL").drop("n"), "equal-payloads")
+    p = p.join(hint_small(first), ["payload_digest", "payload_bytes"], "left")
     return p.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
 
 
@@ -123,15 +127,19 @@ def reachable(candidates: DataFrame) -> DataFrame:
     c = materialize(c.drop("broken", "leaves", "entered"), "candidates")
 
     jump = materialize(c.groupBy("file", "segment").agg(F.max_by("next", "start").alias("next")), "jumps")
-    reach = jump.filter("segment = 0").select("file", "segment")
+    reach = materialize(jump.filter("segment = 0").select("file", "segment"), "reach")
     while True:
         step = reach.join(jump, ["file", "segment"]).select("file", F.col("next").alias("segment"))
         grown = materialize(reach.union(step).distinct().join(jump.select("file", "segment"), ["file", "segment"], "left_semi"), "reach")
         if grown.count() == reach.count():
-            return c.join(grown, ["file", "segment"], "left_semi")
+            discard(jump, reach)
+            chain = materialize(c.join(grown, ["file", "segment"], "left_semi"), "chain")
+            discard(c, grown)
+            return chain
         further = jump.select(F.col("file"), F.col("segment").alias("next"), F.col("next").alias("beyond"))
-        jump = materialize(jump.join(further, ["file", "next"], "left").select("file", "segment", F.coalesce("beyond", "next").alias("next")), "jumps")
-        reach = grown
+        doubled = materialize(jump.join(further, ["file", "next"], "left").select("file", "segment", F.coalesce("beyond", "next").alias("next")), "jumps")
+        discard(jump, reach)
+        jump, reach = doubled, grown
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -145,8 +153,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     placed = light.withColumn("begin", before).withColumn("start", F.greatest(F.col("begin") - 5, F.lit(0)))
     placed = placed.withColumn("next", F.col("begin") + F.col("head_bytes") + 4 + F.col("content") + 4)
     candidates = placed.filter(F.col("magic") & F.col("content").isNotNull())
-    chain = materialize(reachable(candidates), "chain")
-
+    chain = reachable(candidates)
     whole = chain.filter("whole")
     split = chain.filter("NOT whole")
     columns = ["file", "start", "record_type", "record_id", "target_uri", "refers", "stated_digest", "payload_bytes", "payload_digest"]
