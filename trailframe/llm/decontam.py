@@ -13,7 +13,8 @@ token is enough: the window's rarest shingle, by its count over all documents.
 
 The benchmark side is broadcast only when a count shows it small, else it is shuffled. Counts are combined
 map-side. Nulls: a null text has no words; an item without words gives no window; a null item id marks
-words as hit but is in no id list. Repeated rows are answered row by row. Extra columns are ignored.
+words as hit but is in no id list. Repeated rows, rows that share an id and rows with a null id are answered row by row
+(a row is known by its id and text). Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def document_hits(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataF
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, item_ids, contaminated)`` for every row of ``docs``."""
+    """``(doc_id, row_key, n_words, n_hit, n_items, item_ids, contaminated)`` for every row of ``docs``; row_key is the hash of its text."""
     spark = docs.sparkSession
     windows = materialize(benchmark_windows(items, window), "windows")
     tokens = materialize(window_shingles(windows, shingle), "window-shingles")
@@ -106,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     )
     texts = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").filter(F.col("text").isNotNull())
     found = (
-        texts.join(candidates, ["doc_id", "row_key"])
+        texts.join(candidates.withColumnRenamed("doc_id", "d").withColumnRenamed("row_key", "r"), F.expr("doc_id <=> d AND row_key = r"))
         .select("doc_id", "row_key", words_of("text").alias("w"), "found")
         .select("doc_id", "row_key", F.filter("found", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["size"]), " ") == c["window"]).alias("found"))
         .filter(F.size("found") > 0)
@@ -129,7 +130,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     return (
         every.join(of_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("row_key", "r"), F.expr("doc_id <=> d AND row_key = r"), "left")
         .select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"),
+            "doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"),
         )
         .withColumn("n_items", F.size("item_ids").cast("long"))
         .withColumn("contaminated", F.col("n_hit") > 0)
