@@ -9,7 +9,8 @@ Counts are combined map-side per host, so a host with a third of all pages is on
 have their parents' estimate. Rules are a parameter list; the longest that fits wins over the reputation.
 
 A null url, or one without ``://``, has an empty host and path, and is judged like a host of its own. Pages with
-null ids count and are answered. Repeated rows count as often as they occur. No labels: nothing is blocked.
+null ids count and are answered. Repeated rows count as often as they occur. No labels: nothing is blocked. Extra
+columns of pages are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hint_small
+from .common import ascii_lower, hint_small, materialize
 
 #: Suffixes under which names are registered, beyond the last label.
 SECOND_LEVEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
@@ -82,8 +83,8 @@ def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
         groups = groups.join(F.broadcast(parent)) if on is None else groups.join(hint_small(parent), on)
         return _posterior(groups, key)
 
-    suffixes = level("suffix", overall, None)
-    domains = level("domain", suffixes.select("suffix", mean), "suffix")
+    suffixes = materialize(level("suffix", overall, None), "suffixes")
+    domains = materialize(level("domain", suffixes.select("suffix", mean), "suffix"), "domains")
     found = level("host", domains.select("domain", mean), "domain")
     total = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)))
@@ -91,8 +92,8 @@ def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], limit: float = LIMIT, z: float = Z) -> DataFrame:
-    """Every page with host, path, rule, verdict; ``outcomes(page_id, bad)`` are the labelled pages."""
-    parsed = with_host_and_path(pages)
+    """``(page_id, url, host, path, mean, lower, rule, verdict)`` of every page; ``outcomes(page_id, bad)`` are the labelled pages."""
+    parsed = with_host_and_path(pages.select("page_id", "url"))
     known = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
     hosts = (
         parsed.select("page_id", "host")
@@ -100,7 +101,8 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str
         .groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
-    scores = hint_small(reputation(hosts, z))
+    hosts = materialize(hosts, "hosts")
+    scores = hint_small(materialize(reputation(hosts, z), "reputation"))
     rule, action = rule_columns(rules)
     learned = F.when(F.col("lower") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return parsed.join(scores, "host", "left").withColumn("rule", rule).withColumn("verdict", F.coalesce(action, learned))
