@@ -175,22 +175,22 @@ def judged(docs: DataFrame, findings: DataFrame | None = None, path: str = "sour
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
-    """``docs`` with every secret replaced by a mark, and ``n_candidates, n_secrets`` (distinct strings) of each row."""
+    """``docs`` with every secret replaced by a mark, and ``n_candidates, n_secrets`` (distinct strings) of each row.
+
+    Columns of ``docs`` that have these two names are replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("n_candidates", "n_secrets")]
     secret = F.when(F.col("secret"), F.col("core"))
-    per_doc = (
-        judged(docs, findings, path)
-        .groupBy(F.col("doc_id").alias("d"))
-        .agg(F.count("*").alias("n_candidates"), F.collect_set(secret).alias("secrets"))
-    )
+    per_doc = judged(docs, findings, path).groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__candidates"), F.collect_set(secret).alias("__secrets"))
     # longer secrets first: one may hold another
-    order = F.array_sort("secrets", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    order = F.array_sort("__secrets", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     # this side grows with the table: never broadcast; texts need no sort
-    met = docs.join(per_doc.withColumn("secrets", order).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    met = docs.select(*kept).join(per_doc.withColumn("__secrets", order).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
     # a short one only where no letter or digit is beside it
     alone = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     mark = lambda t, s: F.when(F.length(s) >= LEAST_LENGTH, F.replace(t, s, F.lit(MARK))).otherwise(F.regexp_replace(t, alone(s), F.lit(MARK)))
-    text = F.when(F.size("secrets") > 0, F.aggregate("secrets", F.col("text"), mark)).otherwise(F.col("text"))
+    text = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", F.col("text"), mark)).otherwise(F.col("text"))
     return met.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"), F.greatest(F.coalesce(F.size("secrets"), F.lit(0)), F.lit(0)).cast("long").alias("n_secrets"),
+        *[text.alias("text") if c == "text" else F.col(c) for c in kept],
+        F.coalesce("__candidates", F.lit(0)).cast("long").alias("n_candidates"), F.greatest(F.coalesce(F.size("__secrets"), F.lit(0)), F.lit(0)).cast("long").alias("n_secrets"),
     )
