@@ -17,8 +17,9 @@ A byte is removed if some ``LENGTH``-byte string over it also starts anywhere el
 A bucket holds about ``BUCKET_BYTES`` of input, so tasks stay the same size as the input grows. Equality of
 contexts is taken from two 64-bit hashes, everything between different contexts from the bytes themselves.
 
-Null and empty texts have no bytes and keep none. Repeated rows repeat each other's strings. Rows that share
-an id share their ranges, so such rows should have equal texts. An empty table gives no rows.
+Null and empty texts have no bytes and keep none. A row is known by a 64-bit hash of its id and text, so rows that share
+an id or have none are answered each for itself; repeated rows repeat each other's strings. Extra columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -414,7 +415,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)``: each text without its repeated bytes."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = repeats(docs).groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    whole = docs.join(ranges, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "begins", "ends")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("doc_id", F.xxhash64("id", "text"))
+    ranges = repeats(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    whole = docs.join(ranges, F.col("doc_id") == F.col("d"), "left").select(F.col("id").alias("doc_id"), "text", "begins", "ends")
     return whole.mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
