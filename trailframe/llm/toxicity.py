@@ -13,13 +13,14 @@ score is 0. Repeated rows are scored row by row; extra columns are ignored. An e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize
 from .wordpieces import chunks
@@ -106,9 +107,11 @@ def train(docs: DataFrame, grades: DataFrame, train_rows: int = TRAIN_ROWS, feat
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "train")  # at most train_rows rows
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for grade, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted({x for w in (text or "").split() for x in features_of(w.strip(".,!?:;\"'"))})
+        for c in chunks(batches, "grade", "text", CHUNK_BYTES):
+            of_word = [features_of(w.decode()) for w in c["words"].to_pylist()]
+            ends = np.cumsum(c["counts"])
+            for grade, a, b in zip(c["ids"].to_pylist(), ends - c["counts"], ends, strict=True):
+                found = sorted({x for code in np.unique(c["codes"][a:b]).tolist() for x in of_word[code]})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([int(grade > 0)] * len(found), pa.int64())], names=["name", "bad"])
 
     base = sample.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("int")).alias("bad")).first()
@@ -133,20 +136,31 @@ def train(docs: DataFrame, grades: DataFrame, train_rows: int = TRAIN_ROWS, feat
     return fit(rows, columns, np.array([r.grade for r in found]), chosen)
 
 
-def score(docs: DataFrame, model: Model, least: float = LEAST_ODDS) -> DataFrame:
-    """``(doc_id, severity, grade, toxic)``: expected grade, the largest grade of probability ``least``, and whether that is above 0."""
+def score(docs: DataFrame, model: Model, least: float = LEAST_ODDS, kept: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Columns ``kept`` with ``severity, grade, toxic``: expected grade, the largest grade of probability ``least``, whether that is above 0.
+
+    Rows are scored where they are read; nothing is shuffled.
+    """
     index = {x: i for i, x in enumerate(model.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, "doc_id", "text", CHUNK_BYTES):
+        for c in chunks(batches, "row", "words", CHUNK_BYTES):
             doc, feature = _present(c, index)
             p = model.at_least(np.bincount(doc, model.weights[feature], len(c["ids"])) if len(doc) else np.zeros(len(c["ids"])))
             grade = (p >= least).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([c["ids"], pa.array(p.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)], names=["doc_id", "severity", "grade", "toxic"])
+            found = [pa.array(p.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)]
+            yield pa.RecordBatch.from_arrays([*c["ids"].flatten(), *found], names=[*kept, "severity", "grade", "toxic"])
+
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("text").alias("words"))
+    return rows.mapInArrow(run, StructType([*docs.select(*kept).schema.fields, *_FOUND.fields]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, severity double, grade int, toxic boolean")
+
+_FOUND = StructType().add("severity", "double").add("grade", "integer").add("toxic", "boolean")
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """0: not toxic, 1: toxic, 2: toxic and of low quality."""
+    """0: not toxic, 1: toxic, 2: toxic and of low quality.
+
+    The labels hold no severity; low quality stands in for the second grade.
+    """
     return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).alias("grade"))
