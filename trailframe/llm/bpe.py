@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import materialize
 from .wordpieces import chunks, lay_out
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 20 << 20
 LONG_WORD = 256
 SLOTS = 1 << 19
 ID_BITS = 20

@@ -160,6 +160,7 @@ def chunks(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, chunk_
             if size >= chunk_bytes:
                 yield flush()
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield flush()
 
