@@ -14,27 +14,30 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model does not reject."""
+    """Documents that the severity model does not reject, row by row; a null or empty text is not toxic."""
     ship(spark)
     model = toxicity.train(docs, toxicity.severity_grades(table(spark, sf_dir, "labels")))
-    rejected = toxicity.score(docs, model).filter("toxic").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.score(docs, model, kept=COLUMNS).filter("NOT toxic").select(*COLUMNS)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join, the one with the smallest id."""
-    kept = jaccard.classes(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Of documents that near-duplicate links join, the one with the smallest id.
+
+    Rows with a null id, a null text or no words are linked with nothing and stay; rows that repeat an id stay or go together.
+    """
+    others = jaccard.classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    hit = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a window of a benchmark item, row by row (a row is known by its id and text)."""
+    hit = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key")), "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark."""
+    """All documents, secrets replaced by a mark; null texts stay null."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -52,7 +55,7 @@ STAGES = [
     ("byte_level_bpe", encode_and_decode),
 ]
 
-#: The toxicity model and the forest are not expressible in SQL; the stages' operators have their own tests.
+#: The toxicity model and the forest are not expressible in SQL; tests/llm/test_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
