@@ -66,6 +66,18 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers live on between tasks, beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def hint_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only when a count of rows and bytes proves the side small; else the plain side for a shuffle join."""
     wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]

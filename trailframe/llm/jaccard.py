@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hint_small, materialize
+from .common import components, give_back, hint_small, materialize
 
 WIDTH = 5
 #: Shingles that go to the end of the order of parts at most: 8 bytes each in every task.
 COMMON_SHINGLES = 100_000
 COMMON_FROM = 40
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 LEAST_BITS = 512
 BLOCK = 512
 KEYS_A_BUCKET = 2_000_000
@@ -220,9 +220,10 @@ def describe(docs: DataFrame) -> DataFrame:
                 sketches.append(parity_sketch(own).tobytes() if len(own) else None)
                 held.append(own)
                 size += len(own)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield common()
                     held, size = [], 0
+                    give_back()
             empty = pa.array([None] * len(n), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), empty, empty], schema=schema)
         if held:
@@ -325,8 +326,10 @@ def _packed_keys(docs: DataFrame, common: np.ndarray, buckets: int, singles: boo
                 if size * 6 >= CHUNK_BYTES:
                     yield from flush()
                     ids, sets, size = [], [], 0
+                    give_back()
         if ids:
             yield from flush()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, kind int, keys binary, docs binary, lens binary")
 
@@ -383,6 +386,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = doc[at + step]
             apart = doc[at] != other
             yield from rows(0, np.zeros(int(apart.sum()), np.uint64), doc[at][apart], other[apart])
+    give_back()
 
 
 def allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -558,7 +562,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = materialize(linkable.select("doc_id", "text_key", "set_key").join(firsts, "set_key").filter("doc_id <> label").select("doc_id", "text_key", "label"), "copies")
     again = hint_small(copies.select("doc_id", "text_key").distinct())
     first_docs = docs.withColumn("text_key", F.xxhash64("text")).join(again, ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
-    sketches = linkable.join(again, ["doc_id", "text_key"], "left_anti").select("doc_id", "n", "sketch")
+    sketches = linkable.select("doc_id", "n", "sketch")
 
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * KEYS_A_BUCKET)))
@@ -578,7 +582,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tied = linkable.select("doc_id", "text_key").join(copies, ["doc_id", "text_key"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")).distinct()
     tied = materialize(tied, "classes")
     edges = tied.groupBy("doc_id").agg(F.min("label").alias("a"), F.collect_set("label").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    edges = edges.unionByName(materialize(verified(tried, first_docs), "links"))
+    edges = edges.unionByName(materialize(verified(tried, docs), "links"))
     grown = components(edges)
 
     members = materialize(unsettled(met, grown), "members")
@@ -586,7 +590,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     while members.limit(1).count():
         more = cross_pairs(materialize(_relabelled(members, grown), "members"), sketches, nearest)
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(verified(more, first_docs), "links")
+        links = materialize(verified(more, docs), "links")
         linked_now = bool(links.limit(1).count())
         if linked_now:
             grown = components(links.unionByName(grown.select(F.col("node").alias("a"), F.col("component").alias("b"))))

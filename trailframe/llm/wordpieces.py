@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SLICE_BYTES = 1 << 19
 PART_BYTES = 2 << 20
@@ -160,7 +162,7 @@ def chunks(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, chunk_
             if size >= chunk_bytes:
                 yield flush()
                 held, size = [], 0
-                pa.default_memory_pool().release_unused()
+                give_back()
     if held:
         yield flush()
 
