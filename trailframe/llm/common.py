@@ -123,3 +123,19 @@ def components(edges: DataFrame) -> DataFrame:
         if jumped.filter("moved").limit(1).count() == 0:
             discard(both)
             return labels
+
+
+def contracted_components(edges: DataFrame) -> DataFrame:
+    """``components`` of many edges on few nodes: first of one edge a node, then of what still joins different ones."""
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    found = components(edges.groupBy("b").agg(F.min("a").alias("a")))
+    la, lb = (found.select(F.col("node").alias(x), F.col("component").alias(f"l{x}")) for x in "ab")
+    rest = edges.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    rest = materialize(rest, "edges")
+    discard(edges)
+    if not rest.limit(1).count():
+        return found
+    more = materialize(components(rest), "components")
+    up = more.select(F.col("node").alias("up"), F.col("component").alias("above"))
+    joined = found.join(up, F.col("component") == F.col("up"), "left").select("node", F.coalesce("above", "component").alias("component"))
+    return joined.unionByName(more.join(found.select("node"), "node", "left_anti"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, give_back, hint_small, materialize
+from .common import components, contracted_components, give_back, hint_small, materialize
 
 WIDTH = 5
 #: Shingles that go to the end of the order of parts at most: 8 bytes each in every task.
@@ -407,9 +407,7 @@ def allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    first = materialize(hint_small(pairs).join(a, "a"), "sketched")
-    second = hint_small(first).join(b, "b")
-    return second.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -503,8 +501,7 @@ def unsettled(met: DataFrame, grown: DataFrame) -> DataFrame:
     open_runs = materialize(runs.join(spread, "key", "left_semi"), "open-runs")
     if not open_runs.limit(1).count():
         return open_runs.select("key", "doc")
-    edges = open_runs.select("a", F.col("doc").alias("b")).distinct()
-    groups = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    groups = contracted_components(open_runs.select("a", F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
     large = materialize(groups.groupBy("group").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("group"), "large-groups")
     grouped = groups.join(large, "group", "left_anti").select(F.col("group").alias("key"), "doc")
     if not large.limit(1).count():
