@@ -9,13 +9,35 @@ from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
 TILE_DEGREES = 5
+METERS_PER_DEG_LAT = 111320.0
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # not F.least, which takes 1 where a coordinate is null
+    return 2 * EARTH_RADIUS_M * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
+
+
+def flat_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Flat-earth distance with the cosine of the first latitude (GEO-04)."""
+    dy, dx = (lat1 - lat2) * METERS_PER_DEG_LAT, (lon1 - lon2) * METERS_PER_DEG_LAT * F.cos(F.radians(lat1))
+    return F.sqrt(dy * dy + dx * dx)
+
+
+def destination(lat: Column, lon: Column, bearing: Column, metres: Column) -> tuple[Column, Column]:
+    """(lat, lon) after ``metres`` along a great circle; the longitude is in [-180, 180) (GEO-03)."""
+    arc, turn, phi = metres / EARTH_RADIUS_M, F.radians(bearing), F.radians(lat)
+    sine = F.sin(phi) * F.cos(arc) + F.cos(phi) * F.sin(arc) * F.cos(turn)
+    end = F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), sine)))
+    east = F.radians(lon) + F.atan2(F.sin(turn) * F.sin(arc) * F.cos(phi), F.cos(arc) - F.sin(phi) * sine)
+    return F.degrees(end), F.pmod(F.degrees(east) + 540, F.lit(360.0)) - 180
+
+
+def turn_deg(before: Column, after: Column) -> Column:
+    """Turn from one bearing to another, -180 to 180, right is positive (GEO-06)."""
+    return F.pmod(after - before + 540, F.lit(360.0)) - 180
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -11,16 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import METERS_PER_DEG_LAT, flat_m, whole
 
-def nearest_within(left: DataFrame, right: DataFrame, radius_e7: int) -> DataFrame:
-    """``(id, near_id, d2)``: the nearest place of ``right`` strictly within ``radius_e7``, never itself (JOIN-05)."""
-    cell = lambda c: F.floor(F.col(c) / radius_e7)
-    here = left.select("id", "lat_e7", "lon_e7", F.explode(F.sequence(cell("lat_e7") - 1, cell("lat_e7") + 1)).alias("cy"), cell("lon_e7").alias("mid"))
-    here = here.withColumn("cx", F.explode(F.sequence(F.col("mid") - 1, F.col("mid") + 1)))
-    there = right.select(F.col("id").alias("near_id"), F.col("lat_e7").alias("y"), F.col("lon_e7").alias("x"), cell("lat_e7").alias("cy"), cell("lon_e7").alias("cx"))
-    square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    met = here.join(there, ["cy", "cx"]).withColumn("d2", square("lat_e7", "y") + square("lon_e7", "x")).filter((F.col("d2") < radius_e7 * radius_e7) & (F.col("id") != F.col("near_id")))
-    return met.groupBy("id").agg(F.min(F.struct("d2", "near_id")).alias("best")).select("id", F.col("best.near_id").alias("near_id"), F.col("best.d2").alias("d2"))
+
+def nearest_within(left: DataFrame, right: DataFrame, radius_m: int) -> DataFrame:
+    """``(id, near_id, distance_mm)``: the nearest place of ``right`` strictly within ``radius_m``, never itself (JOIN-05).
+
+    Distances are flat, with the cosine of the left latitude. A cell is a radius high; a left row visits the columns
+    that its radius reaches at its latitude.
+    """
+    high = radius_m / METERS_PER_DEG_LAT * 1e7
+    cell = lambda c: F.floor(c / high).cast("long")
+    lat, lon = F.col("lat_e7"), F.col("lon_e7")
+    reach = high / F.greatest(F.cos(F.radians(lat / 1e7)), F.lit(0.01))
+    here = left.select("id", "lat_e7", "lon_e7", F.explode(F.sequence(cell(lat) - 1, cell(lat) + 1)).alias("cy"), cell(lon - reach).alias("lo"), cell(lon + reach).alias("hi"))
+    here = here.withColumn("cx", F.explode(F.sequence("lo", "hi")))
+    there = right.select(F.col("id").alias("near_id"), F.col("lat_e7").alias("y"), F.col("lon_e7").alias("x"), cell(lat).alias("cy"), cell(lon).alias("cx"))
+    metres = flat_m(lat / 1e7, lon / 1e7, F.col("y") / 1e7, F.col("x") / 1e7)
+    met = here.join(there, ["cy", "cx"]).withColumn("distance_mm", whole(metres, 1000.0)).filter((F.col("distance_mm") < radius_m * 1000) & (F.col("id") != F.col("near_id")))
+    best = met.groupBy("id").agg(F.min(F.struct("distance_mm", "near_id")).alias("best"))
+    return best.select("id", "best.near_id", "best.distance_mm")
 
 
 def merged_by_identity(inputs: Sequence[DataFrame], keys: Sequence[str], importance: str) -> DataFrame:
@@ -63,6 +73,7 @@ def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> D
 
 
 def taking_turns(rows: DataFrame, kind: str, *order, limit: int) -> DataFrame:
-    """Kinds take turns: the best of each, then the second of each (WIN-01)."""
+    """Kinds take turns: the best of each, then the second of each, within a turn by the same order (WIN-01)."""
     turn = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    return rows.withColumn("turn", turn).orderBy("turn", kind).limit(limit)
+    # a row beyond turn ``limit`` is never among the first ``limit``
+    return rows.withColumn("turn", turn).filter(F.col("turn") <= limit).orderBy("turn", *order).limit(limit)

@@ -37,7 +37,7 @@ def legs(points: DataFrame, pause_us: int) -> DataFrame:
 
 
 def ride_totals(rows: DataFrame) -> DataFrame:
-    """Distance, moving and elapsed time, top speed and sensor means of each ride (AGG-01 after a plain lag)."""
+    """Distance, moving and elapsed time, top speed and sensor means of each ride, from the legs of its accepted fixes (AGG-01)."""
     mean = lambda c: whole(F.sum(c) / F.count(c))
     return rows.groupBy("track_id").agg(
         F.count("*").alias("n_points"),
@@ -76,20 +76,22 @@ def accepted(points: DataFrame) -> DataFrame:
 
 
 def elevation_gain(points: DataFrame, hysteresis: int = ELEVATION_HYSTERESIS_M) -> DataFrame:
-    """Ascent and descent with an anchor that moves only by ``hysteresis`` metres or more (AGG-02), a fold in the JVM."""
-    heights = points.filter("ele IS NOT NULL").groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("ts_us", "event_id", "ele"))).alias("x"))
-    start = F.struct(F.col("x")[0]["ele"].cast("long").alias("anchor"), F.lit(0).cast("long").alias("up"), F.lit(0).cast("long").alias("down"))
+    """Ascent and descent, to the millimetre, with an anchor that moves only by ``hysteresis`` metres or more (AGG-02), a fold in the JVM."""
+    height = F.col("ele").cast("double")
+    finite = points.filter(height.isNotNull() & ~F.isnan(height) & (F.abs(height) != float("inf"))).withColumn("mm", whole(height, 1000.0))
+    heights = finite.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("ts_us", "event_id", "mm"))).alias("x"))
+    start = F.struct(F.col("x")[0]["mm"].alias("anchor"), F.lit(0).cast("long").alias("up"), F.lit(0).cast("long").alias("down"))
 
     def step(s: Column, x: Column) -> Column:
-        d = x["ele"].cast("long") - s["anchor"]
-        far = F.abs(d) >= hysteresis
+        d = x["mm"] - s["anchor"]
+        far = F.abs(d) >= hysteresis * 1000
         return F.struct(
-            F.when(far, x["ele"].cast("long")).otherwise(s["anchor"]).alias("anchor"),
+            F.when(far, x["mm"]).otherwise(s["anchor"]).alias("anchor"),
             (s["up"] + F.when(far & (d > 0), d).otherwise(F.lit(0))).cast("long").alias("up"),
             (s["down"] + F.when(far & (d < 0), -d).otherwise(F.lit(0))).cast("long").alias("down"),
         )
 
-    return heights.select("track_id", F.aggregate("x", start, step).alias("s")).select("track_id", F.col("s.up").alias("ascent_m"), F.col("s.down").alias("descent_m"))
+    return heights.select("track_id", F.aggregate("x", start, step).alias("s")).select("track_id", (F.col("s.up") / 1000).alias("ascent_m"), (F.col("s.down") / 1000).alias("descent_m"))
 
 
 def ride_statistics(points: DataFrame, pause_us: int) -> DataFrame:
@@ -125,9 +127,9 @@ def zones(rows: DataFrame, value: str, most: int, percents: tuple[int, ...]) ->
 
 
 def repeated_share(points: DataFrame) -> DataFrame:
-    """Length ridden over segments already used, by undirected keys of four decimals (AGG-14)."""
-    key = lambda a, b: F.struct(whole(F.col(a), 1e3), whole(F.col(b), 1e3))
-    ends = points.select("track_id", "ts_us", "event_id", "dm", key("lat0", "lon0").alias("p"), key("lat", "lon").alias("q")).filter("dm IS NOT NULL")
+    """Length ridden over segments already used, by undirected keys of four decimals; steps inside one key are left out (AGG-14)."""
+    key = lambda a, b: F.struct(whole(F.col(a), 1e4), whole(F.col(b), 1e4))
+    ends = points.select("track_id", "ts_us", "event_id", "dm", key("lat0", "lon0").alias("p"), key("lat", "lon").alias("q")).filter("dm IS NOT NULL AND p <> q")
     keyed = ends.select("*", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
     nth = F.row_number().over(Window.partitionBy("track_id", "lo", "hi").orderBy("ts_us", "event_id"))
     return keyed.withColumn("nth", nth).groupBy("track_id").agg(F.sum("dm").alias("length_dm"), F.sum(F.when(F.col("nth") > 1, F.col("dm")).otherwise(0)).alias("repeated_dm"))

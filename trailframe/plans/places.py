@@ -9,14 +9,14 @@ from ..operators import places as P
 from ..operators import weather as W
 from ..sources.adapters import PLACES_SQL, places, table
 
-RADIUS_E7 = 200_000
+RADIUS_M = 5000
 WORDS = ("the", "and", "der", "que", "for")
 
 
 def nearest_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-05"""
     all_places = places(spark, sf_dir)
-    return P.nearest_within(all_places.filter("kind <> 'settlement'"), all_places.filter("kind = 'settlement'"), RADIUS_E7)
+    return P.nearest_within(all_places.filter("kind <> 'settlement'"), all_places.filter("kind = 'settlement'"), RADIUS_M)
 
 
 def merged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +93,9 @@ _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda
 
 ORACLE = {
     "nearest_settlement": f"""WITH {PLACES_SQL}, met AS (
-      SELECT a.id, b.id AS near_id, (a.lat_e7 - b.lat_e7) ** 2 + (a.lon_e7 - b.lon_e7) ** 2 AS d2 FROM places a, places b
-      WHERE a.kind <> 'settlement' AND b.kind = 'settlement' AND abs(a.lat_e7 - b.lat_e7) < {RADIUS_E7} AND abs(a.lon_e7 - b.lon_e7) < {RADIUS_E7})
-    SELECT id, arg_min(near_id, {{'d': d2, 'i': near_id}}) AS near_id, CAST(min(d2) AS BIGINT) AS d2 FROM met WHERE d2 < {RADIUS_E7 * RADIUS_E7} AND id <> near_id GROUP BY id""",
+      SELECT a.id, b.id AS near_id, CAST(floor(sqrt(pow((a.lat_e7 / 1e7 - b.lat_e7 / 1e7) * 111320, 2) + pow((a.lon_e7 / 1e7 - b.lon_e7 / 1e7) * 111320 * cos(radians(a.lat_e7 / 1e7)), 2)) * 1000 + 0.5) AS BIGINT) AS mm
+      FROM places a, places b WHERE a.kind <> 'settlement' AND b.kind = 'settlement')
+    SELECT id, arg_min(near_id, {{'d': mm, 'i': near_id}}) AS near_id, min(mm) AS distance_mm FROM met WHERE mm < {RADIUS_M * 1000} AND id <> near_id GROUP BY id""",
     "merged_orders": """WITH both_inputs AS (
       SELECT o_orderkey, o_orderpriority, o_custkey AS importance, 0 AS input FROM orders WHERE o_orderkey % 2 = 0
       UNION ALL SELECT o_orderkey, 'second', o_custkey + 7, 1 FROM orders WHERE o_orderkey % 3 = 0)
@@ -110,7 +110,7 @@ ORACLE = {
       WHERE hits > 0 ORDER BY hits DESC, chars, doc_id LIMIT 60""",
     "customers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "kinds_taking_turns": f"""WITH {PLACES_SQL} SELECT id, kind, CAST(turn AS INT) AS turn FROM (
-      SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id DESC) AS turn FROM places WHERE kind <> 'settlement') ORDER BY turn, kind LIMIT 60""",
+      SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id DESC) AS turn FROM places WHERE kind <> 'settlement') ORDER BY turn, id DESC LIMIT 60""",
     "interpolated_weather": """WITH e AS (SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events),
       h AS (SELECT s // 3600 AS hour, CAST(floor(sum(CAST(floor(value * 1000) AS BIGINT))::DOUBLE / count(*)) AS BIGINT) AS milli FROM e GROUP BY ALL)
       SELECT event_id, s, CAST(floor((l.milli * (3600 - s % 3600) + u.milli * (s % 3600))::DOUBLE / 3600) AS BIGINT) AS milli FROM e
