@@ -34,3 +34,82 @@ def test_nearest_is_measured_in_metres_at_its_latitude(spark):
     left = spark.createDataFrame([(1, 600000000, 100000000)], "id long, lat_e7 long, lon_e7 long")
     right = spark.createDataFrame([(2, 600200000, 100000000), (3, 600000000, 100300000), (1, 600000000, 100000000)], "id long, lat_e7 long, lon_e7 long")
     assert [tuple(r) for r in P.nearest_within(left, right, 2500).collect()] == [(1, 3, 1669800)]
+
+
+def test_power_on_a_grid_of_seconds(spark):
+    from trailframe.operators import readings as R
+
+    # a gap of 5 s is held, one of 6 s starts a new series
+    rows = [(1, s, 200) for s in range(0, 31, 5)] + [(1, 36 + s, 100) for s in range(10)]
+    grid = R.power_grid(spark.createDataFrame(rows, "track_id long, at_s long, watts int"))
+    assert [(r.series, r.n) for r in grid.groupBy("series").count().withColumnRenamed("count", "n").orderBy("series").collect()] == [(0, 31), (1, 10)]
+    assert [r.watts for r in R.normalised_power(grid).collect()] == [200]
+    assert [(r.best_w, r.threshold_w) for r in R.best_power(grid, 30).collect()] == [(200, 190)]
+    assert R.best_power(grid, 40).count() == 0
+
+
+def test_counters_wrap(spark):
+    from trailframe.operators import readings as R
+
+    frames = spark.createDataFrame([(1, 0, 65530, 65000), (1, 1, 4, 464), (1, 2, 4, 464)], "source long, ts_us long, wheel long, at long")
+    assert [(r.steps, r.ticks) for r in R.counted(frames, "wheel", "at").orderBy("ts_us").collect()] == [(None, None), (10, 1000), (0, 0)]
+
+
+def test_of_two_samples_as_near_the_later_is_attached(spark):
+    from trailframe.operators import readings as R
+
+    fixes = spark.createDataFrame([(1, 7, 100)], "track_id long, id long, s long")
+    samples = spark.createDataFrame([(1, 90, 1), (1, 110, 2), (1, 131, 3), (2, 100, 4)], "track_id long, s long, value long")
+    assert [r.value for r in R.attached(fixes, samples).collect()] == [2]
+
+
+def test_sources_that_fall_silent_give_way(spark):
+    from trailframe.operators import readings as R
+
+    rows = [("hr", 1, 9, 0, 150), ("hr", 2, 1, 9_000_000, 140), ("cad", 3, 5, 1_000_000, 80), ("cad", 4, 5, 2_000_000, 81)]
+    r = spark.createDataFrame([(1, *x) for x in rows], "ride_id long, kind string, source_id long, priority long, ts_us long, value long")
+    assert {(x.kind, x.value) for x in R.fused(r, 10_000_000).collect()} == {("hr", 150), ("cad", 81)}
+    assert {(x.kind, x.value) for x in R.fused(r, 10_001_000).collect()} == {("hr", 140), ("cad", 81)}
+
+
+def test_scalars(spark):
+    from pyspark.sql import functions as F
+    from trailframe.functions import scalars as S
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    assert value(S.tags(F.lit(" a=b=c bare  a=d "))) == {"a": "d", "bare": ""} and value(S.tags(F.lit(None).cast("string"))) == {}
+    assert [value(S.gradient_class(F.lit(x))) for x in (-3, 2.9, 3, 6, 10)] == ["descent", "flat", "moderate", "steep", "verySteep"]
+    assert [value(S.rain_class(F.lit(x))) for x in (0.05, 0.1, 200.0)] == [0, 1, 15]
+    assert [value(S.duration_hours(F.lit(x))) for x in ("PT1H", "P1DT6H", "PT90M", "PT20M", "P1Y", "PT", "P", "P1W")] == [1, 30, 2, None, None, None, None, 168]
+    assert value(S.nanos(F.lit("-0.9999999995"))) == -1_000_000_000 and value(S.nanos(F.lit("3.99"))) == 3_990_000_000 and value(S.nanos(F.lit("1."))) is None
+    assert [value(S.file_name(F.lit(x))) for x in ("..", "a/b\tc ", "x" * 99)] == ["track", "a_b c", "x" * 80]
+    rise, down, whole_day = S.sun_times(F.lit("2024-06-21").cast("date"), F.lit(51.5), F.lit(0.0))
+    assert abs(value(rise) - 1718941380) < 300 and abs(value(down) - 1719001260) < 300 and value(whole_day) is False
+    assert value(S.sun_times(F.lit("2024-06-21").cast("date"), F.lit(80.0), F.lit(0.0))[2]) is True
+    formats = [b'<?xml version="1.0"?><gpx>', b"\x0e1234567.FIT", b"<TrainingCenterDatabase>", b'{"gpx":1}', b""]
+    assert [value(S.track_format(F.lit(x))) for x in formats] == ["gpx", "fit", "tcx", None, None]
+
+
+def test_gpx_of_other_programs(spark):
+    from trailframe.sources import track_files as G
+
+    odd = '''<?xml version="1.0"?>\n<g:gpx xmlns:g="x"><g:trk><g:trkseg><g:trkpt lat="1.5" lon="-2"><g:time>2024-01-01T00:00:00Z</g:time><g:extensions><y:TrackPointExtension><y:hr>99</y:hr></y:TrackPointExtension>
+      </g:extensions></g:trkpt><g:trkpt lat="1.6" lon="-2"/></g:trkseg></g:trk><g:trk><g:trkseg><g:trkpt lat="3" lon="4"><ele>7</ele><extensions><power>0</power></extensions></g:trkpt></g:trkseg></g:trk>
+      <g:rte><g:rtept lat="5" lon="6"/></g:rte></g:gpx>'''
+    files = spark.createDataFrame([("a", odd.encode()), ("b", b'{"gpx": 1}'), ("c", b""), ("d", None)], "path string, content binary")
+    found = sorted((r.form, r.line, r.seq, r.lat, r.hr, r.pwr, r.ele) for r in G.read_gpx(files).collect())
+    assert found == [("route", 0, 0, 5.0, None, None, None), ("track", 0, 0, 1.5, 99, None, None), ("track", 0, 1, 1.6, None, None, None), ("track", 1, 0, 3.0, None, 0, 7.0)]
+
+
+def test_packed_tracks_of_both_versions_and_torn_ends(spark):
+    import numpy as np
+    from trailframe.sources import track_files as G
+
+    old = np.zeros(1, G.PACKED_BEFORE)
+    old["lat"], old["ele"] = 3.0, np.nan
+    whole = np.zeros(2, G.PACKED)
+    whole["hr"] = (0, G.ABSENT)
+    blobs = [(1, b"\1" + old.tobytes()), (2, b"\2" + whole.tobytes()[:-1]), (3, b"\2" + whole.tobytes() + b"torn"), (4, b"\7"), (5, b""), (6, None)]
+    found = G.unpacked_tracks(spark.createDataFrame(blobs, "track_id long, packed binary")).orderBy("track_id", "seq").collect()
+    assert [(r.track_id, r.seq, r.lat, r.ele, r.hr) for r in found] == [(1, 0, 3.0, None, None), (2, 0, 0.0, 0.0, 0), (3, 0, 0.0, 0.0, 0), (3, 1, 0.0, 0.0, None)]

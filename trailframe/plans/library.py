@@ -108,8 +108,8 @@ def _words(column: str) -> str:
     return f"regexp_extract_all(translate(lower({column}), '{text.FROM}', '{text.TO}'), '{text.WORD}')"
 
 
-_DM = """CAST(floor(10 * 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - lat0) / 2), 2)
-  + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) + 0.5) AS BIGINT)"""
+_DM = """CASE WHEN lat0 IS NOT NULL THEN CAST(floor(10 * 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - lat0) / 2), 2)
+  + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) + 0.5) AS BIGINT) END"""
 
 ORACLE = {
     "folded_vocabulary": f"""SELECT term, count(*) AS docs, CASE WHEN length(term) < 4 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS edits

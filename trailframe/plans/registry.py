@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, places, tracks
+from . import library, places, scalars, tracks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tracks.QUERIES, **places.QUERIES, **library.QUERIES}
-ORACLE: dict[str, str] = {**tracks.ORACLE, **places.ORACLE, **library.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tracks.QUERIES, **places.QUERIES, **library.QUERIES, **scalars.QUERIES}
+ORACLE: dict[str, str] = {**tracks.ORACLE, **places.ORACLE, **library.ORACLE, **scalars.ORACLE}
 FLAGSHIP = "ride_totals"
