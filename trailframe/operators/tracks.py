@@ -6,10 +6,12 @@ recording. Distances are rounded to decimetres per leg, so sums do not depend on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, whole
+from ..functions.geo import EARTH_RADIUS_M, haversine_m, whole
 
 #: Fixed values of the reference's statistics.
 MOVING_MPS = 1000 / 3600
@@ -52,27 +54,32 @@ def ride_totals(rows: DataFrame) -> DataFrame:
 def accepted(points: DataFrame) -> DataFrame:
     """Fixes that pass against the last *accepted* fix (PRJ-11): later, and not faster than plausible.
 
-    Which fix is the last accepted one depends on all before it, so this is a fold over a track, done by
-    ``applyInPandas`` on one recording at a time.
+    Which fix is the last accepted one depends on all before it, so this is a fold along each track. Tracks come sorted,
+    and the fold keeps one fix only, so no track is held in memory. A fix without time or position is dropped.
     """
-    import numpy as np
-    import pandas as pd
-
-    def keep(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(["ts_us", "event_id"], kind="stable")
-        lat, lon, ts = np.radians(track["lat"].to_numpy()), np.radians(track["lon"].to_numpy()), track["ts_us"].to_numpy()
-        kept, last = [], -1
-        for i in range(len(ts)):
-            if last >= 0:
-                h = np.sin((lat[i] - lat[last]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[last]) * np.sin((lon[i] - lon[last]) / 2) ** 2
-                metres, seconds = 2 * 6371008.8 * np.arcsin(min(1.0, np.sqrt(h))), (ts[i] - ts[last]) / 1e6
-                if seconds <= 0 or metres / seconds > MAX_PLAUSIBLE_MPS:
-                    continue
-            kept.append(i)
-            last = i
-        return track.iloc[kept]
-
-    return points.groupBy("track_id").applyInPandas(keep, points.schema)
+    from math import asin, cos, radians, sin, sqrt
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, last = object(), None
+        for batch in batches:
+            keep = []
+            for own, ts, y, x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("track_id", "ts_us", "lat", "lon")), strict=True):
+                if own != track:
+                    track, last = own, None
+                ok = ts is not None and y is not None and x is not None
+                if ok and last is not None:
+                    h = sin(radians(y - last[1]) / 2) ** 2 + cos(radians(last[1])) * cos(radians(y)) * sin(radians(x - last[2]) / 2) ** 2
+                    seconds = (ts - last[0]) / 1e6
+                    ok = seconds > 0 and 2 * EARTH_RADIUS_M * asin(min(1.0, sqrt(h))) / seconds <= MAX_PLAUSIBLE_MPS
+                keep.append(ok)
+                if ok:
+                    last = (ts, y, x)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = points.repartition("track_id").sortWithinPartitions("track_id", "ts_us", "event_id")
+    return ordered.mapInArrow(run, points.schema)
 
 
 def elevation_gain(points: DataFrame, hysteresis: int = ELEVATION_HYSTERESIS_M) -> DataFrame:
