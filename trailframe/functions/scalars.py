@@ -15,6 +15,8 @@ WET_MM = 0.2
 #: Tag values of surfaces and highways.
 BUSY_HIGHWAYS = ("primary", "primary_link", "trunk", "trunk_link")
 UNPAVED_HIGHWAYS = ("track", "path")
+#: Fixed value: keys of names in a language.
+LANGUAGE_NAME = r"^name:[a-z]{2,3}(-[A-Za-z]{2,8})?$"
 #: Letters that search writes in two ways.
 TWO_WAY = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
 
@@ -94,7 +96,7 @@ def surface_kind(of: Column, paved: tuple[str, ...], unpaved: tuple[str, ...]) -
 def importance(of: Column) -> Column:
     """Number of ``name:<language>`` keys and 5 for an encyclopedia tag, 255 at most, null for none (PRJ-05)."""
     keys = F.map_keys(of)
-    named = F.size(F.filter(keys, lambda k: k.rlike(r"^name:[a-z]{2,3}(?:[-_][A-Za-z]+)?$")))
+    named = F.size(F.filter(keys, lambda k: k.rlike(LANGUAGE_NAME)))
     wiki = F.exists(keys, lambda k: (k == "wikidata") | (k == "wikipedia") | k.startswith("wikipedia:"))
     return F.nullif(F.least(named + F.when(wiki, 5).otherwise(0), F.lit(255)), F.lit(0))
 
