@@ -136,3 +136,17 @@ def clean_name(raw: Column) -> Column:
     """A name with single blanks, null if empty or over 200 characters (STR-13)."""
     one = F.trim(F.regexp_replace(raw, r"\s+", " "))
     return F.when((one != "") & (F.length(one) <= 200), one)
+
+
+def time_of_day(hour: Column) -> Column:
+    """Morning from 4, Lunch from 11, Afternoon from 14, Evening from 17, Night from 21 o'clock of the rider's own time (STR-16)."""
+    return F.when(hour.between(4, 10), "Morning").when(hour.between(11, 13), "Lunch").when(hour.between(14, 16), "Afternoon").when(hour.between(17, 20), "Evening").when(hour.isNotNull(), "Night")
+
+
+def ride_name(route: Column, hour: Column, start: Column, end: Column, loop: Column) -> Column:
+    """The followed route's name, else the part of the day, loop or ride, and the places at its ends, each named once (STR-16)."""
+    bare = lambda c: F.nullif(F.trim(c), F.lit(""))
+    a, b, is_loop = bare(start), bare(end), F.coalesce(loop, F.lit(False))
+    kind = F.concat(time_of_day(hour), F.when(is_loop, " loop").otherwise(" ride"))
+    onward = F.when(~is_loop & (a != b), F.concat(F.lit(" to "), b))
+    return F.coalesce(bare(route), F.concat(kind, F.coalesce(F.concat(F.lit(" from "), a, F.coalesce(onward, F.lit(""))), F.lit(""))))
