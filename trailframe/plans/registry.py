@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, places, routes, scalars, tracks
+from . import fuzzy, library, places, routes, scalars, tracks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tracks.QUERIES, **places.QUERIES, **library.QUERIES, **scalars.QUERIES, **routes.QUERIES}
-ORACLE: dict[str, str] = {**tracks.ORACLE, **places.ORACLE, **library.ORACLE, **scalars.ORACLE, **routes.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tracks.QUERIES, **places.QUERIES, **library.QUERIES, **scalars.QUERIES, **routes.QUERIES, **fuzzy.QUERIES}
+ORACLE: dict[str, str] = {**tracks.ORACLE, **places.ORACLE, **library.ORACLE, **scalars.ORACLE, **routes.ORACLE, **fuzzy.ORACLE}
 FLAGSHIP = "ride_totals"

@@ -36,11 +36,11 @@ def join_18_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_21_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells are parts; three suppliers of each have values by their number, some none; every fifth part falls back to its own price."""
+    """Cells are parts; their lines are providers by number, of which some fail; every fifth part falls back to its own price."""
     wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), "p_brand")
     near = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cell"), F.col("l_linenumber").cast("int").alias("priority"), F.concat(F.lit("line "), F.col("l_orderkey").cast("string")).alias("source"), F.when(F.col("l_returnflag") == "N", F.col("l_quantity").cast("long")).alias("value"))
     far = wanted.filter("cell % 5 = 0").select("cell", F.lit(9).alias("priority"), F.lit("fallback").alias("source"), (F.col("cell") % 7).alias("value"))
-    return R.first_provider(wanted, near.unionByName(far))
+    return R.first_provider(wanted, near.unionByName(far), "fallback")
 
 
 _WAYS = """SELECT l_orderkey * 8 + l_linenumber AS seq, concat('Street ', l_suppkey % 40) AS name, CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey % 25 END AS place_id,
@@ -123,9 +123,10 @@ ORACLE = {
       c AS (SELECT id, x0 + dx AS col, y0 + dy AS "row", abs(1 - dx - (x - x0)) * abs(1 - dy - (y - y0)) AS w FROM i, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS t(dx, dy)),
       m AS (SELECT id, CASE WHEN sum(w) > 0 THEN sum(v * w) / sum(w) ELSE avg(v) END AS value FROM c JOIN g USING (col, "row") WHERE v IS NOT NULL GROUP BY id)
       SELECT id, CAST(floor(value * 1024) AS BIGINT) AS value_1024 FROM p LEFT JOIN m USING (id)""",
-    "join_21_providers": """WITH o AS (SELECT l_partkey AS cell, l_linenumber AS priority, 'line ' || l_orderkey AS source, CAST(l_quantity AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'N'
-        UNION ALL SELECT p_partkey, 9, 'fallback', p_partkey % 7 FROM part WHERE p_partkey % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY priority, source, value) AS n FROM o)
-      SELECT p_partkey AS cell, p_brand, source, value FROM part LEFT JOIN (SELECT * FROM r WHERE n = 1) ON cell = p_partkey""",
+    "join_21_providers": """WITH o AS (SELECT l_partkey AS cell, l_linenumber AS priority, 'line ' || l_orderkey AS source, CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS BIGINT) END AS value FROM lineitem
+        UNION ALL SELECT p_partkey, 9, 'fallback', p_partkey % 7 FROM part WHERE p_partkey % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY priority, source, value NULLS FIRST) AS n FROM o),
+      m AS (SELECT p_partkey AS cell, p_brand, r.source, r.value, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 7 END AS back FROM part LEFT JOIN r ON r.cell = p_partkey AND n = 1)
+      SELECT cell, p_brand, CASE WHEN value IS NOT NULL THEN source WHEN back IS NOT NULL THEN 'fallback' END AS source, coalesce(value, back) AS value FROM m""",
     "agg_17_streets": f"""WITH w AS ({_WAYS.format("list_value")}), k AS (SELECT *, CASE WHEN place_id IS NULL THEN floor(lat_e7 / 1e6) END AS cy, CASE WHEN place_id IS NULL THEN floor(lon_e7 / 1e6) END AS cx FROM w),
       a AS (SELECT name, place_id, cy, cx, unnest(alts) AS alt, seq * 2 + unnest([0, 1]) AS pos FROM k), f AS (SELECT name, place_id, cy, cx, alt, min(pos) AS pos FROM a GROUP BY ALL),
       n AS (SELECT name, place_id, cy, cx, string_agg(alt, '|' ORDER BY pos, alt) AS alts FROM f GROUP BY name, place_id, cy, cx),
