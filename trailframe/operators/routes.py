@@ -64,10 +64,17 @@ def bilinear(points: DataFrame, grid: DataFrame, columns: int, rows: int) -> Dat
     return points.select("id").join(sampled, "id", "left")
 
 
-def first_provider(wanted: DataFrame, offers: DataFrame) -> DataFrame:
-    """Wanted cells with the value of the first provider by priority that covers them, and its name; nulls if none does (JOIN-21)."""
-    best = offers.filter("value IS NOT NULL").groupBy("cell").agg(F.min(F.struct("priority", "source", "value")).alias("b"))
-    return wanted.join(best, "cell", "left").select(*wanted.columns, F.col("b.source").alias("source"), F.col("b.value").alias("value"))
+def first_provider(wanted: DataFrame, offers: DataFrame, fallback: str) -> DataFrame:
+    """Wanted cells with the value of the first provider by priority that covers them, else the fallback's, and its name (JOIN-21).
+
+    An offer ``(cell, priority, source, value)`` says that its source covers the cell; a null value that it failed. No third provider is
+    asked; a cell without an answer has nulls.
+    """
+    back = F.min(F.when(F.col("source") == fallback, F.col("value")))
+    best = offers.groupBy("cell").agg(F.min(F.struct("priority", "source", "value")).alias("b"), back.alias("back"))
+    met, value = wanted.join(best, "cell", "left"), F.coalesce("b.value", "back")
+    source = F.when(F.col("b.value").isNotNull(), F.col("b.source")).when(F.col("back").isNotNull(), fallback)
+    return met.select(*wanted.columns, source.alias("source"), value.alias("value"))
 
 
 def merged_streets(ways: DataFrame) -> DataFrame:
