@@ -65,3 +65,23 @@ def test_ride_names(spark):
     df = spark.createDataFrame(rows, "route string, hour int, a string, b string, is_loop boolean")
     got = [r[0] for r in df.select(S.ride_name(*map(F.col, df.columns))).collect()]
     assert got == ["Morning ride from Funchal to Monte", "Night loop", "Mine", "Lunch ride from Funchal", "Afternoon loop from Funchal"]
+
+
+def test_only_the_first_covering_provider_and_the_fallback_answer(spark):
+    wanted = spark.createDataFrame([(i,) for i in range(1, 5)], "cell long")
+    offers = [(1, 1, "a", 5), (1, 9, "far", 6), (2, 1, "a", None), (2, 2, "b", 7), (2, 9, "far", 8), (3, 1, "a", None), (3, 2, "b", 7)]
+    df = spark.createDataFrame(offers, "cell long, priority int, source string, value long")
+    assert sorted(tuple(r) for r in R.first_provider(wanted, df, "far").collect() if r.source) == [(1, "a", 5), (2, "far", 8)]
+    assert R.first_provider(wanted, df, "far").filter("source IS NULL AND value IS NULL").count() == 2
+
+
+def test_the_first_address_of_a_number_stays(spark):
+    df = spark.createDataFrame([(1, 5, 2, 20, 0), (1, 5, 1, 10, 0), (1, 7, 3, 30, 0), (2, 5, 4, 40, 0)], "street_id long, number long, seq long, lat_e7 long, lon_e7 long")
+    assert sorted(map(tuple, R.first_addresses(df).collect())) == [(1, 5, 10, 0), (1, 7, 30, 0), (2, 5, 40, 0)]
+
+
+def test_frames_of_the_last_seconds(spark):
+    s = 1_000_000
+    df = spark.createDataFrame([(1, 10 * s, 5, 5), (1, 9 * s + 1, 20, 5), (1, 9 * s, 5, 17), (1, 8 * s, 99, 99)], "d long, at_us long, build long, raster long")
+    # the last second takes in its end only, so the frame at 9 s is in the two seconds alone and that at 8 s in neither
+    assert [tuple(r) for r in R.frame_statistics(df, "d", 16).collect()] == [(1, 2, 3, 666)]
