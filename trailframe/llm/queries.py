@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, jaccard, rans, secrets, suffixes, toxicity, urls, warc
+from . import ann, bpe, decontam, filter_audit, jaccard, prefix_trie, rans, secrets, suffixes, token_counts, toxicity, urls, warc
 from .common import scratch_path, table
 
 END_ID = 2
+TOKEN_LIMIT = 1024
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
@@ -74,6 +75,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_url_reputation": op2_url_reputation,
@@ -85,10 +98,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_counts": op11_token_counts,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": decontam.SQL,
     "op2_url_reputation": urls.SQL,
     "op9_warc": warc.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
