@@ -42,12 +42,13 @@ def flagged(docs: DataFrame, labels: DataFrame, part: str) -> DataFrame:
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
     )
-    # only texts that repeat; the count is combined before its shuffle, and the join on a hot text is one that Spark may split
+    # only texts that repeat; counted with combining before the shuffle, and written, so that Spark may split the join on a hot text
     first = judged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("digest", "first")
+    first = materialize(first, "first-ids")
     whole = judged.join(first, "digest", "left").join(known, "doc_id", "left")
     no = F.lit(False)
     found = whole.select("part", *"ABCD", F.coalesce(F.col("doc_id") > F.col("first"), no).alias("E"), F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
-    found.scratch_path = judged.scratch_path
+    found.written = (judged, first)
     return found
 
 
@@ -73,7 +74,7 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     spark, every = docs.sparkSession, (1 << len(FILTERS)) - 1
     flags = flagged(docs, labels, part)
     found = materialize(survivors(flags), "survivors")
-    discard(flags)
+    discard(*flags.written)
     # the survivors before and after filter f, for each set that does not hold f
     before = found.select("part", F.col("mask").alias("before"), *[F.col(m).alias(f"{m}_before") for m in MEASURES], F.explode(F.sequence(F.lit(0), F.lit(len(FILTERS) - 1))).alias("f"))
     before = before.withColumn("bit", F.expr("shiftleft(1, f)")).filter("before & bit = 0").withColumn("mask", F.expr("before | bit")).drop("bit")
