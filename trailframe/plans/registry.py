@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fuzzy, library, lines, places, routes, scalars, search, tracks
+from . import fuzzy, library, lines, places, roads, routes, scalars, search, tracks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tracks.QUERIES, **places.QUERIES, **library.QUERIES, **scalars.QUERIES, **routes.QUERIES, **fuzzy.QUERIES, **search.QUERIES, **lines.QUERIES}
-ORACLE: dict[str, str] = {**tracks.ORACLE, **places.ORACLE, **library.ORACLE, **scalars.ORACLE, **routes.ORACLE, **fuzzy.ORACLE, **search.ORACLE, **lines.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tracks.QUERIES, **places.QUERIES, **library.QUERIES, **scalars.QUERIES, **routes.QUERIES, **fuzzy.QUERIES, **search.QUERIES, **lines.QUERIES, **roads.QUERIES}
+ORACLE: dict[str, str] = {**tracks.ORACLE, **places.ORACLE, **library.ORACLE, **scalars.ORACLE, **routes.ORACLE, **fuzzy.ORACLE, **search.ORACLE, **lines.ORACLE, **roads.ORACLE}
 FLAGSHIP = "ride_totals"
