@@ -129,7 +129,7 @@ def test_nearest_recall_of_many_lists(spark):
     assert recall >= 0.9 and least == 20
 
 
-def test_a_query_on_its_centroid_probes_as_many_lists_as_others():
+def test_a_query_on_its_centroid_does_not_end_with_one_list():
     import numpy as np
     import pyarrow as pa
     from trailframe.llm import ann
@@ -140,8 +140,28 @@ def test_a_query_on_its_centroid_probes_as_many_lists_as_others():
     centroids.points[5] = [*x[7], 0]
     centroids.norms[5] = 1.0
     query = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([x[7]], pa.list_(pa.float64()))], names=["vec_id", "v"])
-    lists = [x for r in ann._blocks(iter([query]), centroids, 1.0, 16, 1, 64) for x in r.column(0).to_pylist()]
-    assert len(set(lists) - {-1}) == 64 and 5 in lists
+    lists = [x for r in ann._blocks(iter([query]), centroids, 1.0, 16, 1, "pruned") for x in r.column(0).to_pylist()]
+    assert ann.REFERENCE <= len(set(lists) - {-1}) < len(centroids.points) and 5 in lists
+
+
+def test_the_walk_finds_the_lists_within_the_ratio():
+    """More lists than a beam, so that every query walks the graph, also beyond one beam; the rule is checked against all distances."""
+    import numpy as np
+    from trailframe.llm import ann
+
+    draw = np.random.default_rng(6)
+    middles = draw.standard_normal((40, 24))
+    x = np.concatenate([middles[draw.integers(0, 40, 30_000)] + 0.3 * draw.standard_normal((30_000, 24)), draw.standard_normal((10_000, 24))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centroids = ann.Centroids(ann._lifted(x[:20_000], 1.0), 1500)
+    q = ann._directed(x[-300:])
+    row, lst = centroids.pruned(q)
+    order, distance = centroids._ranked(q, len(centroids.points))
+    want = [set(order[i][distance[i] <= ann.RATIO * distance[i, ann.REFERENCE - 1] + 1e-12].tolist()) for i in range(len(q))]
+    got = [set(lst[row == i].tolist()) for i in range(len(q))]
+    assert max(map(len, want)) > ann.BEAM  # some beams had to be widened
+    shared = sum(len(a & b) for a, b in zip(want, got, strict=True))
+    assert shared >= 0.95 * sum(map(len, want)) and shared >= 0.95 * sum(map(len, got))
 
 
 def test_nearest_with_a_giant_vector_ties_copies_and_odd_rows(spark):

@@ -10,11 +10,11 @@ where single norms are far beyond it; vectors over M are kept in lists of their
 * Posting lists: a vector goes to its nearest centroid and to those within ``BOUNDARY`` of that distance, at most
   ``REPLICAS`` in all. A list with more than ``SUBLIST`` rows by its share of the sample (near copies cannot be split
   by centroids) is dealt over sublists, and its queries meet each of them: no task holds a whole large list.
-* Search: each query probes its nearest lists, ``SPREAD`` times the square root of their number and ``PROBES`` at
-  least. A walk of the centroid graph (best first, a half wider than the lists asked for) finds them; where it would
-  open a good part of all centroids, one matrix product ranks them all. A task joins the blocks of a list, multiplies
-  them with the list's queries and keeps the best ``k`` of each query over all its lists, so a query has one row a
-  task in the shuffle that follows. A query with fewer than k found probes all lists.
+* Search: each query walks the centroid graph (best first) and probes the lists whose distance is within ``RATIO`` of
+  that of the ``REFERENCE``-th nearest, so that a query on a centroid does not end with one list. A walk whose beam ends before
+  the ratio does goes on with a wider one; only a beam of all lists is replaced by one matrix product. A task joins the
+  blocks of a list, multiplies them with the list's queries and keeps the best ``k`` of each query over all its lists, so
+  a query has one row a task in the shuffle that follows. A query with fewer than k found probes all lists.
 
 Copies of a vector share one entry with their k + 1 smallest ids: a larger id cannot be in a result. Every row is in
 the index this way.
@@ -27,7 +27,6 @@ vector); rows with a null id take no part. Fewer candidates than asked give shor
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +43,8 @@ SUBLIST = 8 * LIST_ROWS
 REPLICAS = 4
 BOUNDARY = 1.15
 BEAM = 96
-PROBES = 64
-SPREAD = 4
+REFERENCE = 24
+RATIO = 1.05
 NEIGHBOURS = 24
 BLOCK_ROWS = 2048
 BUFFER_ROWS = 32_768
@@ -127,35 +126,59 @@ class Centroids:
         return np.take_along_axis(best, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(near, order, axis=1), 0))
 
     def _walk(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first over the graph, four centroids of a row at a time; a row holds its best ``beam`` and no more."""
         n, lists = len(x), len(self.points)
-        beam = min(beam, lists)
-        own = np.arange(n)[:, None]
+        beam, own = min(beam, lists), np.arange(n)[:, None]
         seen = np.zeros((n, lists), bool)
-        distances = np.full((n, lists), np.inf)
-        opened = np.zeros((n, lists), bool)
         square = (x**2).sum(axis=1)
-
-        def visit(rows: np.ndarray, nodes: np.ndarray) -> None:
-            fresh = ~seen[rows, nodes]
-            rows, nodes = rows[fresh], nodes[fresh]
-            seen[rows, nodes] = True
-            distances[rows, nodes] = square[rows] + self.norms[nodes] - 2 * np.einsum("ij,ij->i", x[rows], self.points[nodes])
-
-        visit(np.repeat(np.arange(n), len(self.entries)), np.tile(self.entries, n))
-        while True:
-            best = np.argpartition(distances, beam - 1, axis=1)[:, :beam]
-            closed = ~opened[own, best] & np.isfinite(distances[own, best])
-            if not closed.any():
-                break
-            # the four nearest that are not opened, of each row
-            rank = np.where(closed, distances[own, best], np.inf)
-            pick = np.argsort(rank, axis=1)[:, :4]
-            ok = np.isfinite(rank[own, pick])
-            rows, nodes = np.broadcast_to(own, pick.shape)[ok], best[own, pick][ok]
-            opened[rows, nodes] = True
-            visit(np.repeat(rows, self.links.shape[1]), self.links[nodes].ravel())
-        order = np.take_along_axis(best, np.argsort(distances[own, best], axis=1), axis=1)
-        return order, np.sqrt(np.maximum(distances[own, order], 0))
+        best, near, opened = np.zeros((n, 0), np.int64), np.zeros((n, 0)), np.zeros((n, 0), bool)
+
+        def visit(nodes: np.ndarray) -> None:
+            """Take in the nodes (a row each, -1: none) that a row has not met, and keep its nearest."""
+            nonlocal best, near, opened
+            nodes = np.sort(nodes, axis=1)
+            fresh = nodes >= 0
+            fresh[:, 1:] &= nodes[:, 1:] != nodes[:, :-1]
+            fresh &= ~seen[own, nodes]
+            rows, cols = np.nonzero(fresh)
+            seen[rows, nodes[rows, cols]] = True
+            distance = np.full(nodes.shape, np.inf)
+            picked = nodes[rows, cols]
+            distance[rows, cols] = square[rows] + self.norms[picked] - 2 * np.einsum("ij,ij->i", x[rows], self.points[picked])
+            best, near = np.concatenate([best, nodes], axis=1), np.concatenate([near, distance], axis=1)
+            opened = np.concatenate([opened, ~fresh], axis=1)
+            if best.shape[1] > beam:
+                kept = np.argpartition(near, beam - 1, axis=1)[:, :beam]
+                best, near, opened = best[own, kept], near[own, kept], opened[own, kept]
+
+        visit(np.tile(self.entries, (n, 1)))
+        while not (opened | ~np.isfinite(near)).all():
+            rank = np.where(opened, np.inf, near)
+            pick = np.argpartition(rank, min(4, rank.shape[1]) - 1, axis=1)[:, :4]
+            open_ = np.isfinite(rank[own, pick])
+            opened[own, pick] = True
+            visit(np.where(open_[:, :, None], self.links[best[own, pick]], -1).reshape(n, -1))
+        order = np.argsort(near, axis=1)
+        return best[own, order], np.sqrt(np.maximum(near[own, order], 0))
+
+    def pruned(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, lists) to probe: those within ``RATIO`` of the distance of a row's ``REFERENCE``-th nearest list."""
+        lists, beam, todo = len(self.points), BEAM, np.arange(len(x))
+        rows, found = [], []
+        while len(todo):
+            step = self._walk if beam < lists else self._ranked
+            late = []
+            for lo in range(0, len(todo), 256):
+                part = todo[lo : lo + 256]
+                order, distance = step(x[part], beam)
+                near = distance <= RATIO * distance[:, [min(REFERENCE, distance.shape[1]) - 1]] + 1e-12
+                whole = ~near[:, -1] | (beam >= lists)  # the ratio ends within the beam
+                i, j = np.nonzero(near & whole[:, None] & np.isfinite(distance))
+                rows.append(part[i])
+                found.append(order[i, j])
+                late.append(part[~whole])
+            todo, beam = np.concatenate(late), 2 * beam
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def _floats(column: pa.Array, size: int) -> np.ndarray:
@@ -201,17 +224,19 @@ PLACED = "list int, sub int, kind int, ids binary, counts binary, data binary"
 PLACED_ARROW = pa.schema([("list", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], centroids: Centroids, largest: float, size: int, giants: int = 1, probes: int = 0) -> Iterator[pa.RecordBatch]:
-    """Packed rows by list: vectors (kind 1) of the lists they belong to, or queries (kind 0) of the ``probes`` lists they probe.
+def _blocks(batches: Iterator[pa.RecordBatch], centroids: Centroids, largest: float, size: int, giants: int = 1, probes: str = "") -> Iterator[pa.RecordBatch]:
+    """Packed rows by list: vectors (kind 1) of the lists they belong to, or queries (kind 0) of the lists they probe (``pruned`` or ``all``).
 
     Vectors beyond ``largest`` are in the list -1 of ``giants`` sublists.
     """
 
     def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists, distance = centroids.search(_directed(x) if probes else _lifted(x, largest), probes * 3 // 2 if probes else BEAM)
-        most = probes or REPLICAS
-        lists, distance = lists[:, :most], distance[:, :most]
-        chosen = np.isfinite(distance) if probes else distance <= BOUNDARY * distance[:, :1] + 1e-12
+        if probes == "all":
+            return np.repeat(np.arange(len(x)), len(centroids.points)), np.tile(np.arange(len(centroids.points)), len(x))
+        if probes:
+            return centroids.pruned(_directed(x))
+        lists, distance = (c[:, :REPLICAS] for c in centroids.search(_lifted(x, largest)))
+        chosen = distance <= BOUNDARY * distance[:, :1] + 1e-12
         return np.nonzero(chosen)[0], lists[chosen]
 
     def packed(ids: list[np.ndarray], x: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -408,23 +433,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         x[i, : len(r.v)] = r.v
     sample = _lifted(x, largest)
     centroids = Centroids(sample, max(1, min(MAX_LISTS, len(sample), facts.n // LIST_ROWS)), facts.n)
-    lists = len(centroids.points)
-    probes = max(PROBES, math.ceil(SPREAD * math.sqrt(lists)))
 
     listed = materialize(one.select("ids", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, longest, giants), PLACED), "lists")
 
-    def found(some: DataFrame, probes: int) -> DataFrame:
+    def found(some: DataFrame, probes: str) -> DataFrame:
         probing = some.select("vec_id", "v").mapInArrow(lambda it: _blocks(it, centroids, largest, longest, giants, probes), PLACED)
         met = listed.unionByName(probing).repartition("list", "sub").sortWithinPartitions("list", "sub", "kind")
         best = met.mapInArrow(lambda it: _match(it, k, longest), "query_id bigint, ids array<bigint>, scores array<double>")
         return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, k), "query_id bigint, rank int, vec_id bigint, score double")
 
-    if lists <= probes:  # every query meets every list
-        return found(asked, lists)
-    first = materialize(found(asked, probes), "nearest")
+    first = materialize(found(asked, "pruned"), "nearest")
     full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = materialize(asked.join(full, "vec_id", "left_anti"), "short")
     if not short.limit(1).count():
         return first
-    again = found(short, lists)
+    again = found(short, "all")
     return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
