@@ -220,7 +220,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 sketches.append(parity_sketch(own).tobytes() if len(own) else None)
                 held.append(own)
                 size += len(own)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield common()
                     held, size = [], 0
                     give_back()
@@ -228,6 +228,8 @@ def describe(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), empty, empty], schema=schema)
         if held:
             yield common()
+        del held
+        give_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
         run, "doc_id bigint, text_key bigint, n bigint, set_key binary, sketch binary, hashes array<bigint>, counts array<bigint>"

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize
+from .common import give_back, materialize
 from .wordpieces import chunks
 
 TRAIN_ROWS = 12_000
 FEATURES = 2048
 LEAST_DOCUMENTS = 5
 CHUNK_BYTES = 16 << 20
+#: Chunks that are scored carry the columns that are kept, texts too.
+SCORE_BYTES = 6 << 20
 #: A grade is given from this probability on: a missed toxic document costs more than twice a wrong rejection.
 LEAST_ODDS = 0.3
 
@@ -144,12 +146,14 @@ def score(docs: DataFrame, model: Model, least: float = LEAST_ODDS, kept: Sequen
     index = {x: i for i, x in enumerate(model.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, "row", "words", CHUNK_BYTES):
+        for c in chunks(batches, "row", "words", SCORE_BYTES):
             doc, feature = _present(c, index)
             p = model.at_least(np.bincount(doc, model.weights[feature], len(c["ids"])) if len(doc) else np.zeros(len(c["ids"])))
             grade = (p >= least).sum(axis=1)
             found = [pa.array(p.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)]
             yield pa.RecordBatch.from_arrays([*c["ids"].flatten(), *found], names=[*kept, "severity", "grade", "toxic"])
+            del c, doc, feature, p, grade, found
+            give_back()
 
     rows = docs.select(F.struct(*kept).alias("row"), F.col("text").alias("words"))
     return rows.mapInArrow(run, StructType([*docs.select(*kept).schema.fields, *_FOUND.fields]))
