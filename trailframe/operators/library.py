@@ -61,3 +61,16 @@ def in_force(rows: DataFrame, key: str, start: str, tie: str, day: str) -> DataF
     """The row with the newest start up to ``day`` of each key; of equal starts the smallest ``tie`` (AGG-29)."""
     newest = F.max_by(F.struct(start, tie), F.struct(F.col(start), -F.col(tie)))
     return rows.filter(F.col(start) <= F.lit(day).cast("date")).groupBy(key).agg(newest.alias("x")).select(key, F.col(f"x.{tie}").alias(tie))
+
+
+def digest(rows: DataFrame, *columns: str) -> DataFrame:
+    """``(n, folded, summed)`` of a table of any size: its rows, the XOR of a part of each row's hash and the sum of another, modulo 2**48 (AGG-27).
+
+    It does not depend on the order of rows, and repeated rows count. A row is hashed with each value's length before it and
+    a mark for null, so that no two rows run together; ``columns`` (all, if none is named) are taken in their order, as text.
+    """
+    part = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+    row = F.sha2(F.concat(*map(part, columns or rows.columns)), 256)
+    piece = lambda i: F.conv(F.substr(row, F.lit(i), F.lit(12)), 16, 10)
+    summed = F.coalesce(F.sum(piece(13).cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)")) % F.lit(1 << 48)
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(piece(1).cast("long")), F.lit(0)).alias("folded"), summed.cast("long").alias("summed"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import METERS_PER_DEG_LAT, haversine_m, whole
+from ..sources.shared import Rounds
+
 #: Seconds that a reading is held at most, seconds of the rolling mean.
 HELD_S = 5
 ROLLING_S = 30
@@ -75,7 +78,54 @@ def range_mean(rows: DataFrame, along: str, value: str, reach: int) -> DataFrame
     return rows.withColumn("mean_milli", F.floor(F.sum(value).over(w) * 1000 / F.count(value).over(w) + 0.5).cast("long"))
 
 
-def worst_offset(waypoints: DataFrame, route: DataFrame, distance) -> DataFrame:
-    """``(route_id, worst_dm)``: the largest of the waypoints' distances to their nearest route point (AGG-16)."""
-    met = waypoints.join(route, "route_id").withColumn("dm", distance)
-    return met.groupBy("route_id", "waypoint").agg(F.min("dm").alias("dm")).groupBy("route_id").agg(F.max("dm").alias("worst_dm"))
+def worst_offset(waypoints: DataFrame, route: DataFrame, cell_m: float = 200.0) -> DataFrame:
+    """``(route_id, worst_dm)``: the largest of the distances from ``waypoints (route_id, waypoint, lat, lon)`` to their nearest point of ``route (route_id, lat, lon)`` (AGG-16).
+
+    Route points are thinned to the distinct positions of each route and laid on cells; a waypoint looks around itself, and
+    what it does not find it looks for in cells four times as large, until a nearest point lies within the cells' reach. Points
+    of one cell are met only by the waypoints near it. Waypoints and points with a null are left out, as are routes that have only one of both. Cells do not wrap at the date line.
+    """
+    spark = route.sparkSession
+    rounds, done = Rounds(spark, "open-waypoints"), Rounds(spark, "near-waypoints", keep=1 << 30)
+    points = Rounds(spark, "route-points").next(route.select("route_id", F.col("lat").alias("y"), F.col("lon").alias("x")).dropna().distinct())
+    has = points.select("route_id").distinct()
+    todo = rounds.next(waypoints.select("route_id", "waypoint", "lat", "lon").dropna().join(has, "route_id", "left_semi"))
+    found = []
+    while not todo.isEmpty():
+        high = cell_m / METERS_PER_DEG_LAT
+        whole_globe = high > 180
+        cell = lambda c: F.floor(c / high).cast("long")  # noqa: E731, B023
+        # a column is as wide as a cell is high at the latitude of the waypoint, or a little more
+        reach = high / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + high, F.lit(89.0)))), F.lit(0.01))
+        here = todo.withColumn("cy", F.explode(F.sequence(cell(F.col("lat") - high), cell(F.col("lat") + high)))).withColumn("cx", F.explode(F.sequence(cell(F.col("lon") - reach), cell(F.col("lon") + reach))))
+        there = points.withColumn("cy", cell(F.col("y"))).withColumn("cx", cell(F.col("x")))
+        met = here.join(there, ["route_id", "cy", "cx"]).withColumn("dm", whole(haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")), 10.0))
+        near = met.groupBy("route_id", "waypoint").agg(F.min("dm").alias("dm"))
+        # nearer than a cell is high: no point outside the cells looked at can be nearer
+        near = near if whole_globe else near.filter(F.col("dm") <= cell_m * 10 * 0.99)
+        found.append(done.next(near))
+        todo = rounds.next(todo.join(found[-1], ["route_id", "waypoint"], "left_anti"))
+        cell_m *= 4
+    if not found:
+        return spark.createDataFrame([], waypoints.select("route_id").schema.add("worst_dm", "bigint"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("route_id").agg(F.max("dm").alias("worst_dm"))
+
+
+def crossed(steps: DataFrame, breaks: DataFrame) -> DataFrame:
+    """The ``steps (track_id, id, lo_us, hi_us)`` that some of ``breaks (track_id, lo_us, hi_us)`` overlaps by more than a moment (JOIN-19).
+
+    Of the breaks that begin before a step ends, the latest end decides: one pass over both by time, no pairs. Steps or breaks
+    with a null overlap nothing.
+    """
+    by = Window.partitionBy("track_id").orderBy("lo_us", "hi_us")
+    known = breaks.select("track_id", "lo_us", "hi_us").dropna().filter("hi_us > lo_us")
+    until = known.withColumn("until", F.max("hi_us").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    # of all breaks that begin before a step ends, the latest end decides
+    marks = until.select("track_id", F.col("lo_us").alias("at"), "until", F.lit(None).cast("long").alias("lo_us"), F.lit(1).alias("order"), F.lit(None).cast("long").alias("id"))
+    asked = steps.select("track_id", F.col("hi_us").alias("at"), F.lit(None).cast("long").alias("until"), "lo_us", F.lit(0).alias("order"), F.col("id").cast("long").alias("id")).dropna(subset=["track_id", "at", "lo_us"])
+    sweep = Window.partitionBy("track_id").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.unionByName(asked).withColumn("latest", F.max("until").over(sweep))
+    return met.filter("order = 0 AND latest > lo_us").select("track_id", "id")

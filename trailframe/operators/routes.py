@@ -162,13 +162,15 @@ def spread(items: DataFrame, route: str, along: str, length: int, group: str, be
 def points_along(line: DataFrame, wanted: DataFrame) -> DataFrame:
     """Positions on lines ``(route_id, seq, along, lat, lon)`` at wanted ``(route_id, id, along)``, between two points by share of the way (GEO-07).
 
-    Before the start the first point, after the end the last; null for a route without points. One sort by route, no pairs.
+    Before the start the first point, after the end the last; null for a route without points. No pairs: the point before is the
+    last one seen by the way, the point after the last one seen on the way back, so that each row costs no more than two sorts.
     """
     points = line.select("route_id", "along", F.struct("along", "lat", "lon").alias("p"), F.col("seq").cast("long").alias("n"), F.lit(None).cast("long").alias("id"))
     both = points.unionByName(wanted.select("route_id", "along", F.lit(None).cast(points.schema["p"].dataType).alias("p"), F.lit(None).cast("long").alias("n"), F.col("id").cast("long").alias("id")))
     w = Window.partitionBy("route_id").orderBy("along", F.col("n").asc_nulls_last(), "id")
-    a = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = F.first("p", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy("route_id").orderBy(F.desc("along"), F.col("n").desc_nulls_first(), F.desc("id"))
+    seen = lambda way: F.last("p", ignorenulls=True).over(way.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    a, b = seen(w), seen(back)
     met = both.withColumn("a", a).withColumn("b", b).filter("id IS NOT NULL")
     span = F.col("b.along") - F.col("a.along")
     between = lambda c: F.coalesce(F.when(span > 0, F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * ((F.col("along") - F.col("a.along")) / span)), F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions import scalars as S
+from ..operators import library as L
 from ..operators import readings as R
 from ..operators import tracks as T
 from ..sources import track_files
@@ -155,9 +156,9 @@ def agg_10_best_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg_16_worst_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = track_points(spark, sf_dir)
-    waypoints = p.filter("kind = 'purchase'").select(F.col("track_id").alias("route_id"), F.col("event_id").alias("waypoint"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    waypoints = p.filter("kind = 'purchase'").select(F.col("track_id").alias("route_id"), F.col("event_id").alias("waypoint"), "lat", "lon")
     route = p.filter("kind <> 'purchase'").select(F.col("track_id").alias("route_id"), "lat", "lon")
-    return R.worst_offset(waypoints, route, geo.whole(geo.haversine_m(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")), 10.0))
+    return R.worst_offset(waypoints, route)
 
 
 def agg_03_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +186,31 @@ def agg_22_departure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("l_orderkey", F.when(F.col("known") == F.col("n"), F.col("s")).alias("score_hundredths"))
 
 
+#: What of each table goes into its digest, the same in both engines.
+_DIGESTED = {
+    "supplier": "s_suppkey, s_name, s_nationkey, CAST(floor(s_acctbal * 100 + 0.5) AS BIGINT) AS cents", "nation": "n_nationkey, n_name, n_regionkey", "part": "p_partkey, p_name, p_brand, p_type, p_size",
+    "customer": "c_custkey, c_name, c_nationkey, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS cents, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS segment",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity, l_returnflag, l_linestatus",
+}
+
+
 def agg_27_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of a table that does not depend on the order of its rows: sums of row hashes."""
-    row = F.sha2(F.concat_ws("|", "s_suppkey", "s_name", "s_nationkey"), 256)
-    return table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"), F.sum(F.conv(F.substr(row, F.lit(1), F.lit(12)), 16, 10).cast("long")).alias("digest"))
+    """Digests of five tables, whatever the order of their rows."""
+    found = [L.digest(table(spark, sf_dir, t).selectExpr(*_columns(of))).select(F.lit(t).alias("name"), "*") for t, of in _DIGESTED.items()]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _marked(column: str) -> str:
+    value = f"CAST({column.partition(' AS ')[0] if column.endswith('segment') else column.removesuffix(' AS cents').removesuffix(' AS quantity')} AS VARCHAR)"
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE concat(length({value}), ':', {value}) END"
+
+
+def _columns(listed: str) -> list[str]:
+    """The columns of a select list whose commas stand outside of parentheses only."""
+    return [c.strip() for c in listed.split(", ")]
 
 
 def agg_28_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +240,9 @@ def join_02_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_19_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of a ride that a break of an hour after each purchase overlaps."""
     p = track_points(spark, sf_dir)
-    steps = T.legs(p, PAUSE_US).filter("ts0 IS NOT NULL").select("track_id", "event_id", "ts0", "ts_us")
-    breaks = p.filter("kind = 'purchase'").select(F.col("track_id").alias("t"), (F.col("ts_us") + 1).alias("lo"), (F.col("ts_us") + 3_600_000_000).alias("hi"))
-    return steps.join(breaks, (F.col("track_id") == F.col("t")) & (F.col("lo") < F.col("ts_us")) & (F.col("hi") > F.col("ts0")), "left_semi").select("track_id", "event_id")
+    steps = T.legs(p, PAUSE_US).filter("ts0 IS NOT NULL").select("track_id", F.col("event_id").alias("id"), F.col("ts0").alias("lo_us"), F.col("ts_us").alias("hi_us"))
+    breaks = p.filter("kind = 'purchase'").select("track_id", (F.col("ts_us") + 1).alias("lo_us"), (F.col("ts_us") + 3_600_000_000).alias("hi_us"))
+    return R.crossed(steps, breaks).select("track_id", F.col("id").alias("event_id"))
 
 
 def join_26_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +407,11 @@ ORACLE = {
     "agg_20_counts": """SELECT count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderstatus <> 'F' AND o_totalprice > 100000) AS kept, count(*) FILTER (o_orderpriority = '1-URGENT') AS waiting FROM orders""",
     "agg_22_departure_scores": """SELECT l_orderkey, CASE WHEN count(*) FILTER (l_returnflag = 'N' AND l_linenumber = 6) = 0 THEN CAST(sum(CAST(l_quantity AS BIGINT) * (10 * CASE WHEN l_returnflag = 'A' THEN 100 ELSE l_linenumber * 10 END + 100 * greatest(0, l_suppkey % 9 - 4))) AS BIGINT) END AS score_hundredths
       FROM lineitem GROUP BY l_orderkey""",
-    "agg_27_digest": "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', s_suppkey, s_name, s_nationkey)), 1, 12) AS BIGINT)) AS BIGINT) AS digest FROM supplier",
+    "agg_27_digest": " UNION ALL ".join(
+        f"SELECT '{t}' AS name, count(*) AS n, coalesce(bit_xor(CAST('0x' || substr(h, 1, 12) AS BIGINT)), 0) AS folded, CAST(coalesce(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)), 0) % 281474976710656 AS BIGINT) AS summed"
+        f" FROM (SELECT sha256(concat({', '.join(_marked(c) for c in _columns(of))})) AS h FROM {t})"
+        for t, of in _DIGESTED.items()
+    ),
     "agg_28_latest": "SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS latest, strftime(max(o_orderdate) FILTER (o_orderstatus = 'F'), '%Y-%m-%d') AS latest_finished FROM orders GROUP BY ALL",
     "arr_01_dominant": _POINTS + """, w AS (SELECT track_id, kind, sum(pwr)::BIGINT AS weight FROM points GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY weight DESC, kind) AS n, sum(weight) OVER (PARTITION BY track_id) AS total FROM w)
       SELECT track_id, kind, CAST(floor(weight * 1000 / total::DOUBLE) AS BIGINT) AS share_milli FROM r WHERE n = 1""",
