@@ -113,8 +113,8 @@ def encode_block(tokens: np.ndarray, table: Frequencies, dense: np.ndarray) -> b
     return head + body + stream
 
 
-def decode_block(data: bytes, table: Frequencies, slots: np.ndarray, begin: int = 0) -> np.ndarray:
-    """Ids of a block from its checkpoint ``begin`` on (0: all); the checksum is verified for whole blocks."""
+def decode_block(data: bytes, table: Frequencies, slots: np.ndarray, begin: int = 0, stop: int | None = None) -> np.ndarray:
+    """Ids of a block from its checkpoint ``begin`` on, to about the id ``stop`` (null: all); the checksum is verified for whole blocks."""
     if data[:4] != MAGIC:
         raise ValueError("not a block")
     n, marks, total, crc = struct.unpack_from("<IIII", data, 4)
@@ -124,7 +124,8 @@ def decode_block(data: bytes, table: Frequencies, slots: np.ndarray, begin: int
     step, offset = struct.unpack_from("<II", data, at)
     state = np.frombuffer(data, "<u8", LANES, at + 8).copy()
     stream = np.frombuffer(data, "<u4", total, 20 + marks * (8 + 8 * LANES)).astype(np.uint64)
-    out = np.empty(n - step * LANES, np.int32)
+    n = n if stop is None else min(n, -(-stop // LANES) * LANES)
+    out = np.empty(max(0, n - step * LANES), np.int32)
     mask, low = np.uint64((1 << SCALE) - 1), LOW
     for t in range(step, -(-n // LANES)):
         size = min(LANES, n - t * LANES)
@@ -138,11 +139,17 @@ def decode_block(data: bytes, table: Frequencies, slots: np.ndarray, begin: int
         offset += len(need)
         state[:size] = x
     ids = table.ids[out].astype("<u4")
-    if not begin and zlib.crc32(ids.tobytes()) != crc:
+    if not begin and stop is None and zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("checksum of a block differs")
     return ids
 
 
+def decode_between(data: bytes, table: Frequencies, slots: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """Ids ``first`` to ``stop`` of a block, decoded from the last checkpoint before them."""
+    mark = first // (LANES * CHECKPOINT_STEPS)
+    return decode_block(data, table, slots, mark, stop)[first - mark * LANES * CHECKPOINT_STEPS : stop - mark * LANES * CHECKPOINT_STEPS]
+
+
 def shards(docs: Iterator[tuple[int, np.ndarray]], part: int) -> Iterator[dict]:
     """Shard rows of one part; documents come in order with their ids (end id included)."""
     held: list[np.ndarray] = []
@@ -263,3 +270,31 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFr
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = hint_small(parts.select("part", before.alias("before")))
     return found.join(parts, "part").withColumn("start", F.col("start") + F.col("before")).drop("part", "before")
+
+
+def read_between(spark: SparkSession, path: str, first: int, stop: int) -> DataFrame:
+    """``(start, ids)``: the ids ``first`` to ``stop`` of all that the files hold, in pieces with their start.
+
+    Only blocks that hold some of them are decoded, each from the last checkpoint before what is wanted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                base, freqs, blocks = (batch.column(j)[i] for j in range(3))
+                at, table, starts, found = base.as_py(), Frequencies.unpack(freqs.as_py()), [], []
+                slots = table.slots()
+                for b in blocks.values:
+                    size = struct.unpack_from("<I", b.as_py(), 4)[0]
+                    lo, hi = max(first - at, 0), min(stop - at, size)
+                    if lo < hi:
+                        starts.append(at + lo)
+                        found.append(decode_between(b.as_py(), table, slots, lo, hi).astype(np.int32))
+                    at += size
+                yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["start", "ids"])
+
+    stored = spark.read.schema(SHARD).parquet(path)
+    parts = stored.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a written part
+    placed = stored.join(hint_small(parts.select("part", before.alias("before"))), "part").withColumn("base", F.col("first") + F.col("before"))
+    return placed.filter((F.col("base") < stop) & (F.col("base") + F.col("tokens") > first)).select("base", "freqs", "blocks").mapInArrow(run, "start bigint, ids array<int>")

@@ -45,9 +45,14 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """``(doc_id, path, word, core, before2, before, after)``: each candidate with its word and neighbours."""
+    """``(doc_id, row_key, at, path, word, core, before2, before, after)``: each candidate with its word and neighbours.
+
+    ``row_key`` is a hash of the text, so that rows without an id, or with a shared one, are told apart; ``at`` is the place of the
+    word, below 0 for a key block.
+    """
+    row = [F.col("doc_id"), F.xxhash64("text").alias("row_key"), F.coalesce(F.col(path), F.lit("")).alias("path")]
     # no filter stands over w: Spark would push it below, with the split inside the lambda, once a word
-    w = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), F.split("text", r"\s+").alias("w"))
+    w = docs.select(*row, F.split("text", r"\s+").alias("w"))
     at = F.sequence(F.lit(0), F.greatest(F.size("w"), F.lit(1)) - 1)
     near = lambda i, d: F.coalesce(F.get("w", i + d), F.lit(""))
 
@@ -58,11 +63,12 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         return long | (word.rlike("[=:.]") & (word.rlike(ASSIGNED) | word.rlike(CREDENTIAL) | word.rlike(DOTTED))) | beside
 
     hits = F.filter(at, hit)
-    spots = F.transform(hits, lambda i: F.struct(F.get("w", i).alias("word"), near(i, -2).alias("before2"), near(i, -1).alias("before"), near(i, 1).alias("after")))
-    one = w.select("doc_id", "path", F.explode_outer(spots).alias("s")).filter("s IS NOT NULL").select("doc_id", "path", "s.*")
-    pem = docs.filter(F.contains("text", F.lit("PRIVATE KEY"))).select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), F.explode(F.regexp_extract_all("text", F.lit(PEM), F.lit(0))).alias("core"))
+    spots = F.transform(hits, lambda i: F.struct(i.alias("at"), F.get("w", i).alias("word"), near(i, -2).alias("before2"), near(i, -1).alias("before"), near(i, 1).alias("after")))
+    own = ("doc_id", "row_key", "path")
+    one = w.select(*own, F.explode_outer(spots).alias("s")).filter("s IS NOT NULL").select(*own, "s.*")
+    pem = docs.filter(F.contains("text", F.lit("PRIVATE KEY"))).select(*row, F.posexplode(F.regexp_extract_all("text", F.lit(PEM), F.lit(0))).alias("nth", "core"))
     none = [F.lit("").alias(c) for c in ("before2", "before", "after")]
-    return one.select("*", F.explode(cores()).alias("core")).unionByName(pem.select("doc_id", "path", F.col("core").alias("word"), *none, "core"))
+    return one.select("*", F.explode(cores()).alias("core")).unionByName(pem.select(*own, (-1 - F.col("nth")).alias("at"), F.col("core").alias("word"), *none, "core"))
 
 
 def cores() -> Column:
@@ -171,21 +177,23 @@ def judged(docs: DataFrame, findings: DataFrame | None = None, path: str = "sour
     model = train(findings if findings is not None else generated_findings(docs.sparkSession), words)
     found = _vectors(with_features(materialize(candidates(docs, path), "candidates"), words))
     scored = model.transform(found).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select("doc_id", "path", "word", "core", "before2", "before", "after", "probability").withColumn("secret", (F.col("probability") >= threshold) | F.startswith("core", F.lit("-----BEGIN ")))
+    return scored.select("doc_id", "row_key", "at", "path", "word", "core", "before2", "before", "after", "probability").withColumn("secret", (F.col("probability") >= threshold) | F.startswith("core", F.lit("-----BEGIN ")))
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
     """``docs`` with every secret replaced by a mark, and ``n_candidates, n_secrets`` (distinct strings) of each row.
 
-    Columns of ``docs`` that have these two names are replaced.
+    Columns of ``docs`` that have these two names are replaced. A row is known by its id and text: rows that share or lack an
+    id keep their own counts, and repeated rows have equal ones.
     """
     kept = [c for c in docs.columns if c not in ("n_candidates", "n_secrets")]
-    secret = F.when(F.col("secret"), F.col("core"))
-    per_doc = judged(docs, findings, path).groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__candidates"), F.collect_set(secret).alias("__secrets"))
+    # repeated rows give each candidate several times
+    once = judged(docs, findings, path).groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), "at", "core").agg(F.max("secret").alias("secret"))
+    per_doc = once.groupBy("__doc", "__key").agg(F.count("*").alias("__candidates"), F.collect_set(F.when(F.col("secret"), F.col("core"))).alias("__secrets"))
     # longer secrets first: one may hold another
     order = F.array_sort("__secrets", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     # this side grows with the table: never broadcast; texts need no sort
-    met = docs.select(*kept).join(per_doc.withColumn("__secrets", order).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    met = docs.select(*kept).join(per_doc.withColumn("__secrets", order).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__doc", "__key")
     # a short one only where no letter or digit is beside it
     alone = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     mark = lambda t, s: F.when(F.length(s) >= LEAST_LENGTH, F.replace(t, s, F.lit(MARK))).otherwise(F.regexp_replace(t, alone(s), F.lit(MARK)))
