@@ -171,3 +171,80 @@ def _ranked(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved"),
         )
         state = rounds.next(state.filter("to IS NULL").unionByName(going))
+
+
+def chunk_boxes(points: DataFrame, chunk_m: float = 5000.0, pad_m: float = CORRIDOR_M) -> DataFrame:
+    """``(line_id, chunk, south, west, north, east)``: boxes over about ``chunk_m`` of each line, grown by ``pad_m`` (JOIN-14).
+
+    A chunk ends with the first segment that makes it that long, so chunks depend on where the ones before ended. That is a
+    fold along the line that keeps one number; it runs over the sorted segments of a task.
+    """
+    rows = segments(points).select("line_id", "segment", "start_mm", "end_mm")
+
+    def run(batches):
+        import pyarrow as pa
+
+        line, begin, chunk = None, 0, 0
+        for batch in batches:
+            out = []
+            for own, start, end in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("line_id", "start_mm", "end_mm")), strict=True):
+                if own != line:
+                    line, begin, chunk = own, start, 0
+                out.append(chunk)
+                if end - begin >= chunk_m * 1000:
+                    begin, chunk = end, chunk + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=["line_id", "segment", "chunk"])
+
+    dealt = rows.repartition("line_id").sortWithinPartitions("line_id", "segment")
+    kind = rows.schema["line_id"].dataType.simpleString()
+    cut = dealt.mapInArrow(run, f"line_id {kind}, segment int, chunk int")
+    box = segments(points).join(cut, ["line_id", "segment"]).groupBy("line_id", "chunk").agg(
+        F.min(F.least("lat", "lat2")).alias("s"), F.min(F.least("lon", "lon2")).alias("w"), F.max(F.greatest("lat", "lat2")).alias("n"), F.max(F.greatest("lon", "lon2")).alias("e")
+    )
+    dlat = F.lit(pad_m / 111320.0)
+    dlon = dlat / F.greatest(F.cos(F.radians(F.greatest(F.abs("s"), F.abs("n")))), F.lit(1e-6))
+    return box.select("line_id", "chunk", (F.col("s") - dlat).alias("south"), (F.col("w") - dlon).alias("west"), (F.col("n") + dlat).alias("north"), (F.col("e") + dlon).alias("east"))
+
+
+def slices(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(span_id, piece, lat, lon, lat2, lon2)``: what lies of each line between two distances of ``spans (span_id, line_id, from_mm, to_mm)`` (JOIN-20).
+
+    Spans meet the segments by blocks of the way, so that a span is paired with the segments beside it only. Ends are
+    interpolated; a span beyond its line is cut, one without length has no pieces.
+    """
+    block = 1_000_000
+    at = lambda c: F.floor(F.col(c) / block)
+    rows = segments(points).withColumn("block", F.explode(F.sequence(at("start_mm"), at("end_mm"))))
+    wanted = spans.dropna(subset=["line_id", "from_mm", "to_mm"]).filter("from_mm < to_mm").withColumn("from_mm", F.greatest("from_mm", F.lit(0)))
+    ends = segments(points).groupBy("line_id").agg(F.max("end_mm").alias("length"))
+    wanted = wanted.join(ends, "line_id").withColumn("to_mm", F.least("to_mm", "length")).filter("from_mm < to_mm").withColumn("block", F.explode(F.sequence(at("from_mm"), at("to_mm"))))
+    met = rows.join(wanted.select("span_id", "line_id", "from_mm", "to_mm", "block"), ["line_id", "block"]).filter("start_mm < to_mm AND end_mm > from_mm")
+    met = met.drop("block").dropDuplicates(["span_id", "line_id", "segment"])
+    share = lambda mm: (mm - F.col("start_mm")) / (F.col("end_mm") - F.col("start_mm"))
+    a, b = F.greatest(share(F.col("from_mm")), F.lit(0.0)), F.least(share(F.col("to_mm")), F.lit(1.0))
+    on = lambda c, t: F.col(c) + (F.col(f"{c}2") - F.col(c)) * t
+    piece = F.row_number().over(Window.partitionBy("span_id").orderBy("segment")) - 1
+    return met.select("span_id", piece.alias("piece"), on("lat", a).alias("lat"), on("lon", a).alias("lon"), on("lat", b).alias("lat2"), on("lon", b).alias("lon2"))
+
+
+def resampled(rows: DataFrame, most: int, *values: str) -> DataFrame:
+    """``(line_id, nth, along, values)`` at ``most`` distances at most, evenly from the first row to the last (WIN-13).
+
+    ``rows (line_id, seq, along, values)``. Values are interpolated between the two rows around a distance, and null if either
+    is. A line of no more rows than that keeps them as they are.
+    """
+    pick = F.struct("along", *values)
+    ends = rows.groupBy("line_id").agg(F.min("along").alias("lo"), F.max("along").alias("hi"), F.count("*").alias("n"))
+    short = rows.join(ends.filter(F.col("n") <= most), "line_id")
+    short = short.select("line_id", (F.row_number().over(Window.partitionBy("line_id").orderBy("along", "seq")) - 1).alias("nth"), F.col("along").cast("double").alias("along"), *[F.col(v).cast("double").alias(v) for v in values])
+    long = ends.filter(F.col("n") > most)
+    wanted = long.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("line_id", "nth", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("nth") / (most - 1)).alias("d"))
+    seen = rows.join(long.select("line_id"), "line_id").select("line_id", F.lit(None).cast("int").alias("nth"), F.col("along").cast("double").alias("d"), pick.alias("p"), F.col("seq"))
+    both = seen.unionByName(wanted, allowMissingColumns=True)
+    forth = Window.partitionBy("line_id").orderBy("d", F.col("seq").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("line_id").orderBy(F.desc("d"), F.col("seq").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("a", F.last("p", ignorenulls=True).over(forth)).withColumn("b", F.last("p", ignorenulls=True).over(back)).filter("nth IS NOT NULL")
+    met = met.withColumn("a", F.coalesce("a", "b")).withColumn("b", F.coalesce("b", "a"))
+    span = F.col("b.along") - F.col("a.along")
+    t = F.when(span > 0, (F.col("d") - F.col("a.along")) / span).otherwise(0.0)
+    return short.unionByName(met.select("line_id", "nth", F.col("d").alias("along"), *[(F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * t).alias(v) for v in values]))

@@ -53,7 +53,34 @@ def srt_08_biggest_climbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return climbs.biggest(climbs.climbs(_ridden(spark, sf_dir)), 3).select("track_id", "nth", "rank", "climb", "start_dm", "ascent_m")
 
 
-QUERIES = {f.__name__: f for f in (join_13_corridor, join_13_ahead, win_16_simplified, win_19_chains, win_08_climbs, srt_08_biggest_climbs)}
+def join_14_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes over each 20 km of every track, their corners in units of 1e-6 degrees."""
+    found = lines.chunk_boxes(_track_lines(spark, sf_dir), 20_000.0)
+    return found.select("line_id", "chunk", *[F.floor(F.col(c) * 1e6 + 0.5).cast("long").alias(c) for c in ("south", "west", "north", "east")])
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "SELECT o_orderkey AS span_id, o_custkey % 151 AS line_id, o_orderkey * 7919 % 400000 * 1000 AS from_mm, o_orderkey * 7919 % 400000 * 1000 + o_custkey * 3000 AS to_mm FROM {rows}"
+    return spark.sql(sql, rows=table(spark, sf_dir, "orders"))
+
+
+def join_20_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One slice of a track an order: its pieces, and where it begins and ends."""
+    found = lines.slices(_track_lines(spark, sf_dir), _spans(spark, sf_dir))
+    q = lambda c: F.floor(c * 1e5).cast("long")
+    return found.groupBy("span_id").agg(F.count("*").alias("pieces"), q(F.min_by("lat", "piece")).alias("lat_q"), q(F.max_by("lon2", "piece")).alias("lon_q"))
+
+
+def win_13_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of each track at 40 distances."""
+    by = Window.partitionBy("track_id").orderBy("ts_us", "event_id")
+    along = F.coalesce(F.sum("dm").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = _ridden(spark, sf_dir).select(F.col("track_id").alias("line_id"), F.row_number().over(by).alias("seq"), along.alias("along"), "ele")
+    found = lines.resampled(rows, 40, "ele")
+    return found.select("line_id", "nth", F.floor(F.col("along") * 100).cast("long").alias("along_mm"), F.floor(F.col("ele") * 1000 + 1e-6).cast("long").alias("ele_mm"))
+
+
+QUERIES = {f.__name__: f for f in (join_14_chunks, join_20_slices, win_13_resampled, join_13_corridor, join_13_ahead, win_16_simplified, win_19_chains, win_08_climbs, srt_08_biggest_climbs)}
 
 _LINES = f"""{TRACK_POINTS_SQL}, pts AS (SELECT track_id AS line_id, row_number() OVER (PARTITION BY track_id ORDER BY ts_us, event_id)::INT AS seq, lat, lon FROM points)"""
 _SEGMENTS = f"""{_LINES}, two AS (SELECT line_id, seq - 1 AS segment, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM pts WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
@@ -97,6 +124,27 @@ _CLIMBS = f"""{_RIDDEN}, high AS (SELECT *, lag(ele) OVER w AS ele0, row_number(
     FROM listed LEFT JOIN steepest USING (track_id, climb) LEFT JOIN ridden_ USING (track_id, climb))"""
 
 ORACLE = {
+    "join_14_chunks": f"""WITH RECURSIVE {_SEGMENTS}, span AS (SELECT *, end_mm - mm AS start_mm FROM seg),
+      c AS (SELECT line_id, segment, end_mm, start_mm AS begin, 0 AS chunk FROM span WHERE segment = 0
+        UNION ALL SELECT s.line_id, s.segment, s.end_mm, CASE WHEN c.end_mm - begin >= 20000000 THEN c.end_mm ELSE begin END, CASE WHEN c.end_mm - begin >= 20000000 THEN chunk + 1 ELSE chunk END FROM c JOIN span s ON s.line_id = c.line_id AND s.segment = c.segment + 1),
+      b AS (SELECT line_id, chunk, min(least(lat, lat2)) AS s, min(least(lon, lon2)) AS w, max(greatest(lat, lat2)) AS n, max(greatest(lon, lon2)) AS e FROM c JOIN seg USING (line_id, segment) GROUP BY ALL),
+      p AS (SELECT *, 300.0::DOUBLE / 111320.0::DOUBLE AS dlat FROM b), q AS (SELECT *, dlat / greatest(cos(radians(greatest(abs(s), abs(n)))), 1e-6::DOUBLE) AS dlon FROM p)
+      SELECT line_id, chunk::INT AS chunk, """
+    + ", ".join(f"CAST(floor(({v}) * 1e6::DOUBLE + 0.5) AS BIGINT) AS {c}" for v, c in (("s - dlat", "south"), ("w - dlon", "west"), ("n + dlat", "north"), ("e + dlon", "east")))
+    + " FROM q",
+    "join_20_slices": f"""WITH {_SEGMENTS}, span AS (SELECT *, end_mm - mm AS start_mm, max(end_mm) OVER (PARTITION BY line_id) AS length FROM seg),
+      o AS (SELECT o_orderkey AS span_id, o_custkey % 151 AS line_id, o_orderkey * 7919 % 400000 * 1000 AS a, o_orderkey * 7919 % 400000 * 1000 + o_custkey * 3000 AS b FROM orders),
+      m AS (SELECT *, least(b, length) AS z FROM o JOIN span USING (line_id) WHERE a < least(b, length) AND start_mm < least(b, length) AND end_mm > a)
+      SELECT span_id, count(*) AS pieces, CAST(floor(arg_min(lat + (lat2 - lat) * greatest((a - start_mm) / mm::DOUBLE, 0), segment) * 1e5::DOUBLE) AS BIGINT) AS lat_q,
+        CAST(floor(arg_max(lon + (lon2 - lon) * least((z - start_mm) / mm::DOUBLE, 1), segment) * 1e5::DOUBLE) AS BIGINT) AS lon_q FROM m GROUP BY span_id""",
+    "win_13_resampled": f"""{_RIDDEN}, r AS (SELECT track_id AS line_id, row_number() OVER w AS seq, coalesce(sum(dm) OVER w, 0)::DOUBLE AS along, ele::DOUBLE AS ele FROM legs WINDOW w AS (PARTITION BY track_id ORDER BY ts_us, event_id)),
+      e AS (SELECT line_id, min(along) AS lo, max(along) AS hi, count(*) AS n FROM r GROUP BY line_id),
+      w AS (SELECT line_id, nth, lo + (hi - lo) * nth / 39 AS d FROM (SELECT *, unnest(range(0, 40)) AS nth FROM e WHERE n > 40)),
+      a AS (SELECT w.line_id, nth, d, arg_max(along, struct_pack(x := along, y := seq)) AS aa, arg_max(ele, struct_pack(x := along, y := seq)) AS ae FROM w JOIN r ON r.line_id = w.line_id AND along <= d GROUP BY ALL),
+      b AS (SELECT w.line_id, nth, arg_min(along, struct_pack(x := along, y := seq)) AS ba, arg_min(ele, struct_pack(x := along, y := seq)) AS be FROM w JOIN r ON r.line_id = w.line_id AND along >= d GROUP BY ALL),
+      f AS (SELECT line_id, nth, d AS along, ae + (be - ae) * CASE WHEN ba > aa THEN (d - aa) / (ba - aa) ELSE 0 END AS ele FROM a JOIN b USING (line_id, nth)
+        UNION ALL SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY along, seq) - 1, along, ele FROM r JOIN e USING (line_id) WHERE n <= 40)
+      SELECT line_id, nth::INT AS nth, CAST(floor(along * 100) AS BIGINT) AS along_mm, CAST(floor(ele * 1000 + 1e-6::DOUBLE) AS BIGINT) AS ele_mm FROM f""",
     "join_13_corridor": _corridor("true", 300, "0::BIGINT AS from_mm, 9223372036854775807 AS to_mm"),
     "join_13_ahead": _corridor("kind = 'settlement'", 1000, "100000000::BIGINT AS from_mm, 150000000::BIGINT AS to_mm"),
     "win_16_simplified": f"""WITH RECURSIVE {_LINES}, flat AS (SELECT line_id, seq, floor(lon * 1e6::DOUBLE + 0.5) * cos(radians(first_value(lat) OVER (PARTITION BY line_id ORDER BY seq))) AS x, floor(lat * 1e6::DOUBLE + 0.5) AS y FROM pts),
