@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import queries as read
 from ..functions.text import FROM, TO, WORD, fold, words
 from ..operators import postings, typos
 from ..sources.adapters import table
@@ -61,7 +62,18 @@ def srt_03_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "place", "p_partkey", "p_name", "rank_e6", "away")
 
 
-QUERIES = {f.__name__: f for f in (srt_10_typos, srt_02_ranked, srt_03_ordered)}
+#: What a rider may type for a part: numbers, ordinals, postcodes and suffixes at all places.
+_TYPED = """SELECT p_partkey AS id, CASE p_partkey % 13 WHEN 0 THEN concat('12 ', p_name) WHEN 1 THEN concat(p_name, ' 12a') WHEN 2 THEN concat('400w 42nd ', p_name) WHEN 3 THEN concat('1012 AB ', p_name, ' 7')
+  WHEN 4 THEN concat(p_name, ', ', p_size, ' bis') WHEN 5 THEN concat('92-10; ', p_name) WHEN 6 THEN concat('12345 ', p_name) WHEN 7 THEN concat('5e ', p_name, ' 3/B') WHEN 8 THEN '12' WHEN 9 THEN concat(p_name, ' 70 71')
+  WHEN 10 THEN concat(p_size, 'west ', p_name) WHEN 11 THEN concat(p_name, ' 1. 2º c') ELSE concat(p_name, ' a b c d e f g h') END AS text FROM {rows}"""
+
+
+def str_09_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_TYPED, rows=table(spark, sf_dir, "part")).withColumn("t", read.tokens(F.col("text")))
+    return rows.select("id", read.parsed(F.col("t")).alias("p")).select("id", F.array_join("p.words", "|").alias("words"), "p.house_number", "p.number")
+
+
+QUERIES = {f.__name__: f for f in (str_09_parsed, srt_10_typos, srt_02_ranked, srt_03_ordered)}
 
 
 def _ranked_sql(rows: str, queries: str, b: str, tail: str) -> str:
@@ -77,7 +89,25 @@ def _ranked_sql(rows: str, queries: str, b: str, tail: str) -> str:
       {tail}"""
 
 
+def _matches(token: str, pattern: str) -> str:
+    return f"regexp_matches({token}, '{pattern}')"
+
+
+_IS_WORD = f"({_matches('t', read.ORDINAL)} OR ({_matches('t', chr(92) + 'p{L}')} AND NOT {_matches('t', read.HOUSE)} AND NOT {_matches('t', read.SUFFIX)}))"
 ORACLE = {
+    "str_09_parsed": f"""WITH RECURSIVE q AS ({_TYPED.replace('{rows}', 'part')}),
+      a AS (SELECT id, unnest(list_filter(regexp_split_to_array(text, '{read.APART}'), lambda t: t <> '')) AS t, generate_subscripts(list_filter(regexp_split_to_array(text, '{read.APART}'), lambda t: t <> ''), 1) AS i FROM q),
+      g AS (SELECT id, i, unnest(CASE WHEN {_matches('t', read.GLUED)} AND NOT {_matches('t', read.ORDINAL)} THEN [regexp_extract(t, '{read.GLUED}', 1), regexp_extract(t, '{read.GLUED}', 2)] ELSE [t] END) AS t, unnest(CASE WHEN {_matches('t', read.GLUED)} AND NOT {_matches('t', read.ORDINAL)} THEN [1, 2] ELSE [1] END) AS j FROM a),
+      n AS (SELECT id, t, row_number() OVER w AS k, lead(t) OVER w AS t2, lag(t) OVER w AS t0, bool_or({_IS_WORD}) OVER (PARTITION BY id) AS named FROM g WINDOW w AS (PARTITION BY id ORDER BY i, j)),
+      f AS (SELECT *, coalesce({_matches('t', read.FOUR)} AND {_matches('t2', read.TWO)}, false) OR coalesce({_matches('t0', read.FOUR)} AND {_matches('t', read.TWO)}, false) AS dutch, coalesce({_matches('t', read.PLAIN)} AND {_matches('t2', read.SUFFIX)}, false) AS suffixed,
+        {_matches('t', read.HOUSE)} AND NOT {_matches('t', read.ORDINAL)} AS house_like, {_matches('t', read.POSTCODE)} AS long FROM n),
+      r AS (SELECT id, 0::BIGINT AS k, []::VARCHAR[] AS words, NULL::VARCHAR AS house, NULL::INT AS number, false AS skip FROM q
+        UNION ALL
+        SELECT f.id, f.k, CASE WHEN skip OR named AND (dutch OR house IS NULL AND house_like OR long) THEN words ELSE list_concat(words, regexp_extract_all(t, '{WORD}')) END,
+          CASE WHEN NOT skip AND named AND NOT dutch AND house IS NULL AND house_like THEN CASE WHEN suffixed THEN t || ' ' || t2 ELSE t END ELSE house END,
+          CASE WHEN NOT skip AND named AND NOT dutch AND house IS NULL AND house_like THEN regexp_extract(t, '{read.HOUSE}', 1)::INT ELSE number END,
+          NOT skip AND named AND NOT dutch AND house IS NULL AND house_like AND suffixed FROM r JOIN f ON f.id = r.id AND f.k = r.k + 1)
+      SELECT id, array_to_string(arg_max(words, k)[1:8], '|') AS words, arg_max(struct_pack(h := house), k).h AS house_number, arg_max(struct_pack(h := number), k).h AS number FROM r GROUP BY id""",
     "srt_10_typos": f"""WITH RECURSIVE v AS (SELECT term, count(*) AS docs FROM (SELECT unnest(list_distinct({_words('text')})) AS term FROM documents) GROUP BY term),
       b AS (SELECT DISTINCT w FROM (SELECT unnest({_words('text')}) AS w FROM benchmark) WHERE length(w) >= 4),
       q AS (SELECT DISTINCT word, CASE WHEN length(word) < 4 THEN 0 WHEN length(word) <= 5 THEN 1 ELSE 2 END AS edits FROM (SELECT unnest([{', '.join(_MISTYPED)}]) AS word FROM b)),
