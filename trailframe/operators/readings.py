@@ -129,3 +129,13 @@ def crossed(steps: DataFrame, breaks: DataFrame) -> DataFrame:
     sweep = Window.partitionBy("track_id").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
     met = marks.unionByName(asked).withColumn("latest", F.max("until").over(sweep))
     return met.filter("order = 0 AND latest > lo_us").select("track_id", "id")
+
+
+def smoothed_leg_speeds(legs: DataFrame, half_us: int = 5_000_000) -> DataFrame:
+    """``legs`` with ``smooth_mmps``: the mean speed of the moving legs whose ends lie within ``half_us``, in one run of moving legs; 0 for a leg that does not move (WIN-07)."""
+    by = Window.partitionBy("track_id").orderBy("ts_us", "event_id")
+    runs = legs.withColumn("run", F.sum((~F.col("moving")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy("track_id", "run", "moving").orderBy("ts_us").rangeBetween(-half_us, half_us)
+    mmps = whole(F.col("dm") * F.lit(1e8) / F.col("dur_us"))
+    mean = F.floor(F.sum(F.when(F.col("moving"), mmps)).over(near) / F.count("*").over(near) + 0.5).cast("long")
+    return runs.withColumn("smooth_mmps", F.when(F.col("moving"), mean).otherwise(F.lit(0).cast("long"))).drop("run")
