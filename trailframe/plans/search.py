@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import queries as read
+from ..functions import translit as latin
 from ..functions.text import FROM, TO, WORD, fold, words
 from ..operators import postings, typos
 from ..sources.adapters import table
@@ -73,7 +74,29 @@ def str_09_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", read.parsed(F.col("t")).alias("p")).select("id", F.array_join("p.words", "|").alias("words"), "p.house_number", "p.number")
 
 
-QUERIES = {f.__name__: f for f in (str_09_parsed, srt_10_typos, srt_02_ranked, srt_03_ordered)}
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+#: Names of parts in Bulgarian, Ukrainian and Greek letters.
+_FOREIGN = f"""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN translate(p_name, '{_ABC}', 'абцдефгхийклмнопярстувщшъз') WHEN 1 THEN concat(translate(p_name, '{_ABC}', 'абцдефгґиїклмнопярстувєшьх'), ' І')
+  ELSE concat('Μπαρ ', translate(p_name, '{_ABC}', 'αβχδεφγηιξκλμνοπθρστυωψζύς'), ' ουζο') END AS name FROM {{rows}}"""
+
+
+def str_03_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_FOREIGN, rows=table(spark, sf_dir, "part"))
+    return rows.select("id", latin.translit(F.col("name")).alias("latin"), latin.index_text(F.col("name")).alias("held"))
+
+
+def srt_04_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as places of several kinds, scored and ranked in their nation; ten thousandths."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", (F.col("c_custkey") % 11 / 10).alias("q"), (F.col("c_custkey") % 3).alias("r"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 64 + 0.0).alias("km"),
+        F.get(F.array(*map(F.lit, ("city", "town", "village", "hamlet", "isle"))), (F.col("c_custkey") % 7).cast("int")).alias("kind"),
+        (F.col("c_custkey") * 37).alias("people"), (F.col("c_custkey") % 40).alias("fame"), (F.col("c_custkey") % 9 == 0).alias("address"),
+    )
+    score = latin.place_score(*map(F.col, ("q", "r", "km", "kind", "people", "fame", "address")))
+    return rows.select("c_custkey", "c_nationkey", F.floor(score * 10000 + 0.5).cast("long").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (str_03_latin, srt_04_scores, str_09_parsed, srt_10_typos, srt_02_ranked, srt_03_ordered)}
 
 
 def _ranked_sql(rows: str, queries: str, b: str, tail: str) -> str:
@@ -94,7 +117,23 @@ def _matches(token: str, pattern: str) -> str:
 
 
 _IS_WORD = f"({_matches('t', read.ORDINAL)} OR ({_matches('t', chr(92) + 'p{L}')} AND NOT {_matches('t', read.HOUSE)} AND NOT {_matches('t', read.SUFFIX)}))"
+def _replaced(text: str, starts: dict[str, str], groups: dict[str, str], letters: dict[str, str]) -> str:
+    for k, v in starts.items():
+        text = f"regexp_replace({text}, '(^|[^{chr(92)}p{{L}}]){k}', '{chr(92)}1{v}', 'g')"
+    for k, v in {**groups, **letters}.items():
+        text = f"replace({text}, '{k}', '{v}')"
+    return text
+
+
+_LATIN = _replaced("lower(name)", latin.STARTS, latin.DIGRAPHS, latin.LETTERS)
+_SECOND = _replaced(_replaced("lower(name)", latin.STARTS_UK, {}, latin.LETTERS_UK), latin.STARTS, latin.DIGRAPHS, latin.LETTERS)
 ORACLE = {
+    "str_03_latin": f"""WITH t AS ({_FOREIGN.replace('{rows}', 'part')}), l AS (SELECT id, name, {_LATIN} AS latin, {_SECOND} AS second FROM t),
+      w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(second, '{WORD}'), lambda x: NOT list_contains(regexp_extract_all(latin, '{WORD}'), x))) AS extra, regexp_extract_all(second, '{WORD}') AS ordered FROM l)
+      SELECT id, latin, CASE WHEN regexp_matches(name, '{latin.ONLY_UKRAINIAN}') AND len(extra) > 0 THEN latin || ' ' || array_to_string(list_filter(list_transform(range(1, len(ordered) + 1), lambda i: CASE WHEN list_contains(extra, ordered[i]) AND list_position(ordered, ordered[i]) = i THEN ordered[i] END), lambda x: x IS NOT NULL), ' ') ELSE latin END AS held FROM w""",
+    "srt_04_scores": """WITH t AS (SELECT c_custkey, c_nationkey, c_custkey % 11 / 10::DOUBLE AS q, c_custkey % 3 AS r, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 64 END AS km, ['city', 'town', 'village', 'hamlet', 'isle'][c_custkey % 7 + 1] AS kind, c_custkey * 37 AS people, c_custkey % 40 AS fame FROM customer)
+      SELECT c_custkey, c_nationkey, CAST(floor((q - r * 0.001::DOUBLE - coalesce(0.06::DOUBLE * log2(1 + km), 0) + CASE kind WHEN 'city' THEN 0.1::DOUBLE WHEN 'town' THEN 0.07::DOUBLE WHEN 'village' THEN 0.04::DOUBLE WHEN 'hamlet' THEN 0.01::DOUBLE ELSE 0 END
+        + CASE WHEN kind IS NULL THEN 0 ELSE least(0.1::DOUBLE, 0.015::DOUBLE * log10(1 + people)) END + CASE WHEN fame > 5 THEN least(0.25::DOUBLE, 0.04::DOUBLE * log2(fame - 4)) ELSE 0 END + CASE WHEN c_custkey % 9 = 0 THEN 0.25::DOUBLE ELSE 0 END) * 10000 + 0.5) AS BIGINT) AS score FROM t""",
     "str_09_parsed": f"""WITH RECURSIVE q AS ({_TYPED.replace('{rows}', 'part')}),
       a AS (SELECT id, unnest(list_filter(regexp_split_to_array(text, '{read.APART}'), lambda t: t <> '')) AS t, generate_subscripts(list_filter(regexp_split_to_array(text, '{read.APART}'), lambda t: t <> ''), 1) AS i FROM q),
       g AS (SELECT id, i, unnest(CASE WHEN {_matches('t', read.GLUED)} AND NOT {_matches('t', read.ORDINAL)} THEN [regexp_extract(t, '{read.GLUED}', 1), regexp_extract(t, '{read.GLUED}', 2)] ELSE [t] END) AS t, unnest(CASE WHEN {_matches('t', read.GLUED)} AND NOT {_matches('t', read.ORDINAL)} THEN [1, 2] ELSE [1] END) AS j FROM a),
