@@ -24,14 +24,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import give_back, materialize
 from .wordpieces import chunks, lay_out
 
-CHUNK_BYTES = 20 << 20
+CHUNK_BYTES = 16 << 20
 LONG_WORD = 256
 SLOTS = 1 << 19
 ID_BITS = 20
@@ -156,10 +157,7 @@ def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str,
             if len(late):
                 ranks = load_ranks(rank_path)
                 fixed = [merge_long(words[int(i)].as_py(), ranks) for i in late]
-                keep = words.to_pylist()
-                for i in late:
-                    keep[i] = b""
-                words = pa.array(keep, pa.large_binary())
+                words = pc.if_else(pa.array(sizes > LONG_WORD), pa.scalar(b"", words.type), words)
                 bounds = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
             body = words.buffers()[2]
             flat = np.frombuffer(body, np.int8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.int8)
@@ -176,6 +174,8 @@ def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str,
                 ],
                 names=["ids", "counts", "codes", "words", "long_codes", "long_tokens"],
             )
+            del c, words, bounds, sizes, body, flat, column
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, CHUNK_SCHEMA)
 
@@ -198,6 +198,8 @@ def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [ids.slice(doc, stop - doc), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], doc_ends]).astype(np.int32)), pa.array(values))],
                     names=["id", "ids"],
                 )
+            del col, ids, counts, codes, tokens, flat, lens, starts
+            give_back()
 
 
 def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
