@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METERS_PER_DEG_LAT, flat_m, whole
+from ..sources.shared import Rounds
 
 #: Fixed values, in metres: the reach of a place for an address, of a town for a place, of a street for an address, and the growing boxes.
 PLACE_M, CONTEXT_M, STREET_M = 5000, 25_000, 2000
@@ -25,7 +26,7 @@ def _distance(y: str = "y", x: str = "x") -> Column:
     return whole(flat_m(F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7, F.col(y) / 1e7, F.col(x) / 1e7), 1000.0)
 
 
-def around(left: DataFrame, right: DataFrame, reach_m: int, *also: str, kept: Sequence[str] = ()) -> DataFrame:
+def around(left: DataFrame, right: DataFrame, reach_m: float, *also: str, kept: Sequence[str] = ()) -> DataFrame:
     """Pairs within a box of ``reach_m``: all columns of ``left`` with ``near_id``, ``y``, ``x``, ``mm`` and the ``kept`` columns of ``right`` (prefixed ``near_``).
 
     ``also`` are columns that both have and that must be equal, such as a name.
@@ -115,3 +116,31 @@ def naming_settlement(asked: DataFrame, settlements: DataFrame, reach_m: int, ra
     met = around(asked.select("id", "lat_e7", "lon_e7"), named, max(reach_m, far_m), kept=["kind"]).withColumn("rank", rank).filter(F.col("rank").isNotNull() & (F.col("mm") <= own))
     best = met.groupBy("id").agg(F.min(F.struct("rank", "mm", "near_id")).alias("best"))
     return best.select("id", "best.near_id", "best.mm")
+
+
+def reverse_lookup(asked: DataFrame, rows: DataFrame, boxes_deg: Sequence[float] = (0.02, 0.1, 0.5, 2.0)) -> DataFrame:
+    """``(id, near_id, mm, box_deg)``: the nearest row in the smallest box around a position that holds any, else the nearest of all (JOIN-10).
+
+    Positions that a box leaves empty go on to the next one; beyond the last box it grows fourfold until a row lies nearer than
+    its edge, so that no position meets all rows unless it has to. ``box_deg`` is null for those. Nothing is found in an empty table.
+    """
+    spark = asked.sparkSession
+    rounds, done = Rounds(spark, "asked"), Rounds(spark, "found", keep=1 << 30)
+    todo = rounds.next(asked.select("id", "lat_e7", "lon_e7").dropna())
+    there = Rounds(spark, "rows").next(rows.select("id", "lat_e7", "lon_e7").dropna())
+    found, sizes = [], list(boxes_deg)
+    if there.isEmpty():
+        return spark.createDataFrame([], "id bigint, near_id bigint, mm bigint, box_deg double")
+    while not todo.isEmpty():
+        named = bool(sizes)
+        size = sizes.pop(0) if named else size * 4
+        met = around(todo, there, size * METERS_PER_DEG_LAT)
+        best = met.groupBy("id").agg(F.min(F.struct("mm", "near_id")).alias("best")).select("id", "best.near_id", "best.mm")
+        if not named and size < 360:
+            best = best.filter(F.col("mm") <= size * METERS_PER_DEG_LAT * 1000)
+        found.append(done.next(best.withColumn("box_deg", F.lit(size if named else None).cast("double"))))
+        todo = rounds.next(todo.join(found[-1].select("id"), "id", "left_anti"))
+    every = found[0] if found else spark.createDataFrame([], "id bigint, near_id bigint, mm bigint, box_deg double")
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every

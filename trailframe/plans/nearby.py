@@ -48,11 +48,23 @@ def join_11_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearby.naming_settlement(points, places, 2000, _RANKS)
 
 
-QUERIES = {f.__name__: f for f in (join_06_place_of, join_07_town_of, join_08_street_of, join_09_of_kind, join_11_naming)}
+def join_10_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, a tenth of them far out at sea, against all settlements."""
+    places, points = _rows(spark, sf_dir)
+    moved = points.select("id", F.when(F.col("id") % 10 == 0, F.col("lat_e7") - 400000000).otherwise(F.col("lat_e7")).alias("lat_e7"), "lon_e7")
+    return nearby.reverse_lookup(moved, places)
+
+
+QUERIES = {f.__name__: f for f in (join_10_reverse, join_06_place_of, join_07_town_of, join_08_street_of, join_09_of_kind, join_11_naming)}
 
 _MM = "CAST(floor(sqrt(pow(({0}.lat_e7 / 1e7::DOUBLE - {1}.lat_e7 / 1e7::DOUBLE) * 111320.0::DOUBLE, 2) + pow(({0}.lon_e7 / 1e7::DOUBLE - {1}.lon_e7 / 1e7::DOUBLE) * 111320.0::DOUBLE * cos(radians({0}.lat_e7 / 1e7::DOUBLE)), 2)) * 1000 + 0.5) AS BIGINT)"
 _BOTH = f"WITH places AS ({_PLACES}), points AS ({_POINTS})"
 ORACLE = {
+    "join_10_reverse": _BOTH
+    + f""", a AS (SELECT id, CASE WHEN id % 10 = 0 THEN lat_e7 - 400000000 ELSE lat_e7 END AS lat_e7, lon_e7 FROM points),
+      m AS (SELECT a.id, q.id AS near_id, {_MM.format('a', 'q')} AS mm, greatest(abs(q.lat_e7 - a.lat_e7), abs(q.lon_e7 - a.lon_e7) * cos(radians(a.lat_e7 / 1e7::DOUBLE))) / 1e7::DOUBLE AS aside FROM a, places q),
+      x AS (SELECT *, CASE WHEN aside <= 0.02 THEN 0.02 WHEN aside <= 0.1 THEN 0.1 WHEN aside <= 0.5 THEN 0.5 WHEN aside <= 2 THEN 2.0 END::DOUBLE AS box_deg FROM m)
+      SELECT id, near_id, mm, box_deg FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY box_deg NULLS LAST, mm, near_id) = 1""",
     "join_06_place_of": _BOTH
     + f""", m AS (SELECT p.id, q.id AS near_id, {_MM.format('p', 'q')} AS mm, coalesce(p.city = q.name, false) AS named FROM points p, places q),
       b AS (SELECT id, arg_min(near_id, struct_pack(a := NOT named, b := mm, c := near_id)) AS place_id FROM m WHERE named OR mm < 5000000 GROUP BY id) SELECT points.id, place_id FROM points LEFT JOIN b USING (id)""",
