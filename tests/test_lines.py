@@ -196,3 +196,15 @@ def test_biggest_in_riding_order(spark):
     rows = spark.createDataFrame([(1, 1, 0, 30), (1, 2, 100, 50), (1, 3, 200, 40), (1, 4, 300, 50), (2, 1, 0, 5)], "track_id long, climb int, start_dm long, ascent_m int")
     got = [(r.track_id, r.nth, r.climb, r["rank"]) for r in climbs.biggest(rows, 2).orderBy("track_id", "nth").collect()]
     assert got == [(1, 1, 2, 1), (1, 2, 4, 2), (2, 1, 1, 1)]
+
+
+def test_splits_by_hand(spark):
+    from trailframe.operators import tracks
+
+    # legs of 600 m and 100 s; the third is a break of 50 m; the ride ends 5 m past its third kilometre
+    rows = [(0, None, None, 100), (1, 6000, True, 102), (2, 6000, True, 104), (3, 500, False, 150), (4, 6000, True, 149), (5, 6000, True, 140), (6, 6050, True, None)]
+    data = [(1, i * 100 * 10**6, i, dm, 100 * 10**6, bool(ridden), bool(ridden) and i != 2, h) for i, dm, ridden, h in rows]
+    df = spark.createDataFrame(data, "track_id long, ts_us long, event_id long, dm long, dur_us long, ridden boolean, moving boolean, ele int")
+    got = [tuple(r)[1:] for r in tracks.whole_splits(df, 10_000).orderBy("split").collect()]
+    # the second leg does not move, so that only the share of the others counts; 4 m up at 1.2 km, 10 m down at 2.4 km
+    assert got == [(0, 10000, 100_000_000, 0.0, 0.0, False), (1, 10000, 100 * 10**6 + 33_333_333, 4.0, 0.0, False), (2, 10050, 66_666_667 + 99_173_554 + 826_446, 0.0, 10.0, False)]

@@ -159,3 +159,62 @@ def thinned(points: DataFrame, stride: int) -> DataFrame:
     n = F.row_number().over(in_time())
     last = F.count("*").over(Window.partitionBy("track_id"))
     return points.select("track_id", "event_id", n.alias("n"), last.alias("last")).filter(((F.col("n") - 1) % stride == 0) | (F.col("n") == F.col("last"))).select("track_id", "event_id", "n")
+
+
+#: Fixed value: a remainder shorter than this, in decimetres, belongs to the split before it.
+SHORTEST_SPLIT_DM = 100
+
+
+def climbed_steps(rows: DataFrame, hysteresis: int = ELEVATION_HYSTERESIS_M) -> DataFrame:
+    """``(track_id, event_id, up_m, down_m)`` of the legs at whose end the anchor of the ascent moves (AGG-02).
+
+    The anchor is a fold along each track that keeps one height; tracks come sorted. A leg that was not ridden sets it anew.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, anchor = object(), None
+        for batch in batches:
+            out = []
+            for own, event, height, ridden in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != track:
+                    track, anchor = own, None
+                if height is None or height != height or height in (float("inf"), float("-inf")):
+                    continue
+                if anchor is None or not ridden:
+                    anchor = height
+                elif abs(height - anchor) >= hysteresis:
+                    out.append((own, event, max(height - anchor, 0.0), max(anchor - height, 0.0)))
+                    anchor = height
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["track_id", "event_id", "up_m", "down_m"])
+
+    ordered = rows.select("track_id", "event_id", F.col("ele").cast("double").alias("ele"), "ridden", "ts_us").repartition("track_id").sortWithinPartitions("track_id", "ts_us", "event_id")
+    return ordered.drop("ts_us").mapInArrow(run, "track_id bigint, event_id bigint, up_m double, down_m double")
+
+
+def whole_splits(rows: DataFrame, length_dm: int) -> DataFrame:
+    """``(track_id, split, distance_dm, moving_us, ascent_m, descent_m, partial)`` of each split of each ride (AGG-05).
+
+    Distance and moving time of a leg over a boundary are cut in proportion; a step of the climb belongs to the split in which it
+    ends. A last split of under 10 m is added to the one before. All splits are listed, empty ones too; ``partial``: the last
+    one is not a whole one, to a metre.
+    """
+    along = F.coalesce(F.sum(F.when(F.col("ridden"), F.col("dm"))).over(in_time()), F.lit(0))
+    placed = rows.withColumn("b", along)
+    legs_ = placed.filter("ridden AND dm > 0").withColumn("a", F.col("b") - F.col("dm"))
+    each = legs_.withColumn("split", F.explode(F.sequence(F.floor(F.col("a") / length_dm), F.floor((F.col("b") - 1) / length_dm))))
+    own = F.least("b", (F.col("split") + 1) * length_dm) - F.greatest("a", F.col("split") * length_dm)
+    time = F.when(F.col("moving"), F.floor(F.col("dur_us") * own / F.col("dm") + 0.5).cast("long")).otherwise(F.lit(0))
+    none = [F.lit(0.0).alias("up_m"), F.lit(0.0).alias("down_m")]
+    cut = each.select("track_id", "split", own.alias("dm"), time.alias("us"), *none)
+    steps = placed.select("track_id", "event_id", "b").join(climbed_steps(rows), ["track_id", "event_id"])
+    cut = cut.unionByName(steps.select("track_id", F.floor(F.col("b") / length_dm).alias("split"), F.lit(0).cast("long").alias("dm"), F.lit(0).cast("long").alias("us"), "up_m", "down_m"))
+    found = cut.groupBy("track_id", "split").agg(F.sum("dm").alias("dm"), F.sum("us").alias("us"), F.sum("up_m").alias("up"), F.sum("down_m").alias("down"))
+    ends = found.groupBy("track_id").agg(F.max("split").alias("last"), F.max_by("dm", "split").alias("tail"))
+    folded = (F.col("last") > 0) & (F.col("tail") < SHORTEST_SPLIT_DM)
+    ends = ends.select("track_id", (F.col("last") - folded.cast("int")).alias("last"))
+    held = found.join(ends, "track_id").groupBy("track_id", F.least("split", "last").alias("split")).agg(*[F.sum(c).alias(c) for c in ("dm", "us", "up", "down")])
+    every = ends.select("track_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("split"))
+    listed = every.join(held, ["track_id", "split"], "left").fillna(0, ["dm", "us", "up", "down"])
+    partial = (F.col("split") == F.col("last")) & (F.col("dm") < length_dm - 10)
+    return listed.select("track_id", "split", F.col("dm").alias("distance_dm"), F.col("us").alias("moving_us"), F.col("up").alias("ascent_m"), F.col("down").alias("descent_m"), partial.alias("partial"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import climbs, lines
+from ..operators import tracks as T
 from ..sources.adapters import PLACES_SQL, TRACK_POINTS_SQL, places, table, track_points
 from .tracks import _HAVERSINE, _RIDDEN, _ridden
 
@@ -80,7 +81,16 @@ def win_13_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("line_id", "nth", F.floor(F.col("along") * 100).cast("long").alias("along_mm"), F.floor(F.col("ele") * 1000 + 1e-6).cast("long").alias("ele_mm"))
 
 
-QUERIES = {f.__name__: f for f in (join_14_chunks, join_20_slices, win_13_resampled, join_13_corridor, join_13_ahead, win_16_simplified, win_19_chains, win_08_climbs, srt_08_biggest_climbs)}
+SPLIT_DM = 100_000
+
+
+def agg_05_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of 10 km with their climb, all of them."""
+    found = T.whole_splits(_ridden(spark, sf_dir), SPLIT_DM)
+    return found.withColumn("ascent_m", F.col("ascent_m").cast("long")).withColumn("descent_m", F.col("descent_m").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (agg_05_splits, join_14_chunks, join_20_slices, win_13_resampled, join_13_corridor, join_13_ahead, win_16_simplified, win_19_chains, win_08_climbs, srt_08_biggest_climbs)}
 
 _LINES = f"""{TRACK_POINTS_SQL}, pts AS (SELECT track_id AS line_id, row_number() OVER (PARTITION BY track_id ORDER BY ts_us, event_id)::INT AS seq, lat, lon FROM points)"""
 _SEGMENTS = f"""{_LINES}, two AS (SELECT line_id, seq - 1 AS segment, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM pts WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
@@ -124,6 +134,20 @@ _CLIMBS = f"""{_RIDDEN}, high AS (SELECT *, lag(ele) OVER w AS ele0, row_number(
     FROM listed LEFT JOIN steepest USING (track_id, climb) LEFT JOIN ridden_ USING (track_id, climb))"""
 
 ORACLE = {
+    "agg_05_splits": f"""{_RIDDEN}, n AS (SELECT *, row_number() OVER w AS nth, coalesce(sum(CASE WHEN ridden THEN dm END) OVER w, 0)::BIGINT AS b FROM legs WINDOW w AS (PARTITION BY track_id ORDER BY ts_us, event_id)),
+      walk AS (SELECT track_id, nth, b, ele AS anchor, 0 AS up, 0 AS down FROM n WHERE nth = 1
+        UNION ALL SELECT n.track_id, n.nth, n.b, CASE WHEN ele IS NULL THEN anchor WHEN anchor IS NULL OR NOT ridden OR abs(ele - anchor) >= 3 THEN ele ELSE anchor END,
+          CASE WHEN ridden AND ele - anchor >= 3 THEN ele - anchor ELSE 0 END, CASE WHEN ridden AND anchor - ele >= 3 THEN anchor - ele ELSE 0 END FROM walk JOIN n ON n.track_id = walk.track_id AND n.nth = walk.nth + 1),
+      legs_ AS (SELECT *, b - dm AS a FROM n WHERE ridden AND dm > 0),
+      e AS (SELECT *, unnest(range(a // {SPLIT_DM}, (b - 1) // {SPLIT_DM} + 1)) AS split FROM legs_),
+      o AS (SELECT *, least(b, (split + 1) * {SPLIT_DM}) - greatest(a, split * {SPLIT_DM}) AS own FROM e),
+      c AS (SELECT track_id, split, own AS dm, CASE WHEN moving THEN CAST(floor(dur_us * own / dm::DOUBLE + 0.5) AS BIGINT) ELSE 0 END AS us, 0 AS up, 0 AS down FROM o
+        UNION ALL SELECT track_id, b // {SPLIT_DM}, 0, 0, up, down FROM walk WHERE up + down > 0),
+      f AS (SELECT track_id, split, sum(dm)::BIGINT AS dm, sum(us)::BIGINT AS us, sum(up)::BIGINT AS up, sum(down)::BIGINT AS down FROM c GROUP BY ALL),
+      l AS (SELECT track_id, max(split) AS top, arg_max(dm, split) AS tail FROM f GROUP BY track_id), z AS (SELECT track_id, CASE WHEN top > 0 AND tail < 100 THEN top - 1 ELSE top END AS last FROM l),
+      h AS (SELECT track_id, least(split, last) AS split, sum(dm)::BIGINT AS dm, sum(us)::BIGINT AS us, sum(up)::BIGINT AS up, sum(down)::BIGINT AS down FROM f JOIN z USING (track_id) GROUP BY ALL),
+      g AS (SELECT track_id, last, unnest(range(0, last + 1)) AS split FROM z)
+      SELECT track_id, split, coalesce(dm, 0) AS distance_dm, coalesce(us, 0) AS moving_us, coalesce(up, 0) AS ascent_m, coalesce(down, 0) AS descent_m, split = last AND coalesce(dm, 0) < {SPLIT_DM} - 10 AS partial FROM g LEFT JOIN h USING (track_id, split)""",
     "join_14_chunks": f"""WITH RECURSIVE {_SEGMENTS}, span AS (SELECT *, end_mm - mm AS start_mm FROM seg),
       c AS (SELECT line_id, segment, end_mm, start_mm AS begin, 0 AS chunk FROM span WHERE segment = 0
         UNION ALL SELECT s.line_id, s.segment, s.end_mm, CASE WHEN c.end_mm - begin >= 20000000 THEN c.end_mm ELSE begin END, CASE WHEN c.end_mm - begin >= 20000000 THEN chunk + 1 ELSE chunk END FROM c JOIN span s ON s.line_id = c.line_id AND s.segment = c.segment + 1),
