@@ -77,3 +77,30 @@ def test_the_fit_against_a_second_optimiser():
         p = p - step
     got = np.concatenate([model.weights, model.bounds])
     assert got == pytest.approx(np.concatenate([p[:3], [p[3], p[3] + np.exp(p[4])]]), abs=0.02)
+
+
+def test_near_copies_of_templates_against_all_pairs(spark):
+    """Keys of more documents than a run holds, so that groups are compared block by block."""
+    import random
+    import re
+
+    from trailframe.llm import jaccard
+
+    draw = random.Random(9)
+    templates = [[f"{t}w{i}" for i in range(60)] for t in range(6)]
+    texts = []
+    for i in range(180):
+        words = list(templates[i % 6])
+        for _ in range(draw.randrange(5)):
+            words[draw.randrange(60)] = f"x{draw.randrange(40)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (re.split(r"\s+", t) for t in texts)]
+    label = list(range(len(sets)))
+    for _ in range(6):
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    found = jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(x), label[i]) for i, x in enumerate(sets)}
+    assert len(set(label)) > 6

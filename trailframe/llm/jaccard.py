@@ -407,6 +407,8 @@ def allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                     apart = np.bitwise_count(left.rows(some, k) ^ right.rows(some, k)).sum(axis=1, dtype=np.int64)
                     keep[some] = 7 * apart <= n[some] + m[some]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            del batch, left, right
+            give_back()
 
     a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -427,6 +429,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if linked(own, other):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            del batch
+            give_back()
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = materialize(docs.join(hint_small(involved), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("k")), "texts")
@@ -455,14 +459,15 @@ def _block_pairs(nearest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in (0, 1):
-                values, offsets = batch.column(c).flatten(), np.concatenate([[0], np.cumsum(np.asarray(batch.column(c).value_lengths().fill_null(0)))])
-                sides.append((offsets, *(np.asarray(values.field(i)) for i in range(3)), _Sketches(values.field(3))))
-            (oa, da, la, na, sa), (ob, db, lb, nb, sb) = sides
             for row in range(batch.num_rows):
-                mine, others = np.arange(oa[row], oa[row + 1]), np.arange(ob[row], ob[row + 1])
-                once = np.array_equal(da[mine], db[others])  # a block with itself
+                # a pair of blocks at a time: only the batch itself is held whole
+                sides = []
+                for c in (0, 1):
+                    fields = batch.column(c).slice(row, 1).flatten().flatten()
+                    sides.append((*(np.asarray(f) for f in fields[:3]), _Sketches(fields[3])))
+                (da, la, na, sa), (db, lb, nb, sb) = sides
+                mine, others = np.arange(len(da)), np.arange(len(db))
+                once = np.array_equal(da, db)  # a block with itself
                 # sizes within 3/4 of each other are of one band or of neighbouring ones
                 for wa in np.unique(sa.width[mine]).tolist():
                     for wb in np.unique(sb.width[others]).tolist():
@@ -486,6 +491,8 @@ def _block_pairs(nearest: bool):
                                 i, j = i[some], j[some]
                             if len(i):
                                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da[x[i]], db[y[j]])), pa.array(np.maximum(da[x[i]], db[y[j]]))], names=["a", "b"])
+            del batch
+            give_back()
 
     return run
 
