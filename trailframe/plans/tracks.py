@@ -155,3 +155,11 @@ ORACLE = {
     "box_points": f"WITH {TRACK_POINTS_SQL} SELECT track_id, event_id FROM points WHERE lat BETWEEN 32.61 AND 32.62 AND lon BETWEEN -16.99 AND -16.97",
     "power_quantiles": f"WITH {TRACK_POINTS_SQL} SELECT kind, " + ", ".join(f"CAST(floor(quantile_cont(pwr, {q}) * 100 + 0.5) AS BIGINT) AS q{i + 1}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8))) + " FROM points GROUP BY kind",
 }
+
+_TOTALS = ORACLE["ride_totals"][len(_RIDDEN) :]
+ORACLE["ride_statistics"] = _RIDDEN + f""", totals AS ({_TOTALS}), held AS (SELECT track_id, ele, row_number() OVER (PARTITION BY track_id ORDER BY ts_us, event_id) AS n FROM accepted WHERE ele IS NOT NULL),
+  rise AS (SELECT track_id, n, CAST(ele AS BIGINT) AS anchor, 0::BIGINT AS up, 0::BIGINT AS down FROM held WHERE n = 1
+    UNION ALL SELECT f.track_id, x.n, CASE WHEN abs(x.ele - f.anchor) >= 3 THEN x.ele ELSE f.anchor END, f.up + greatest(0, CASE WHEN abs(x.ele - f.anchor) >= 3 THEN x.ele - f.anchor ELSE 0 END),
+      f.down + greatest(0, CASE WHEN abs(x.ele - f.anchor) >= 3 THEN f.anchor - x.ele ELSE 0 END) FROM rise f JOIN held x ON x.track_id = f.track_id AND x.n = f.n + 1),
+  climbed AS (SELECT track_id, max_by(up, n)::DOUBLE AS ascent_m, max_by(down, n)::DOUBLE AS descent_m FROM rise GROUP BY track_id)
+  SELECT totals.*, coalesce(ascent_m, 0) AS ascent_m, coalesce(descent_m, 0) AS descent_m FROM totals LEFT JOIN climbed USING (track_id)"""
