@@ -113,3 +113,29 @@ def test_packed_tracks_of_both_versions_and_torn_ends(spark):
     blobs = [(1, b"\1" + old.tobytes()), (2, b"\2" + whole.tobytes()[:-1]), (3, b"\2" + whole.tobytes() + b"torn"), (4, b"\7"), (5, b""), (6, None)]
     found = G.unpacked_tracks(spark.createDataFrame(blobs, "track_id long, packed binary")).orderBy("track_id", "seq").collect()
     assert [(r.track_id, r.seq, r.lat, r.ele, r.hr) for r in found] == [(1, 0, 3.0, None, None), (2, 0, 0.0, 0.0, 0), (3, 0, 0.0, 0.0, 0), (3, 1, 0.0, 0.0, None)]
+
+
+def test_waypoints_and_tracks_before_routes(spark):
+    from trailframe.sources import track_files as G
+
+    both = '<gpx><wpt lat="1" lon="2"><name>Tap</name><sym>Water</sym><ele>5</ele></wpt><wpt lat="3"/><rte><rtept lat="5" lon="6"/></rte><trk><trkseg><trkpt lat="7" lon="8"/></trkseg></trk></gpx>'
+    files = spark.createDataFrame([("a", both.encode()), ("b", b'<gpx><rte><rtept lat="5" lon="6"/></rte></gpx>')], "path string, content binary")
+    assert [(r.path, r.nth, r.name, r.sym, r.type, r.lat, r.lon, r.ele) for r in G.read_waypoints(files).collect()] == [("a", 0, "Tap", "Water", None, 1.0, 2.0, 5.0)]
+    assert sorted((r.path, r.form, r.lat) for r in G.preferred(G.read_gpx(files)).collect()) == [("a", "track", 7.0), ("b", "route", 5.0)]
+
+
+def test_points_appended_to_packed_tracks(spark):
+    from pyspark.sql import functions as F
+    import numpy as np
+    from trailframe.sources import track_files as G
+
+    old, new = np.zeros(1, G.PACKED_BEFORE), np.zeros(2, G.PACKED)
+    old["lat"], new["lat"] = 3.0, (1.0, 2.0)
+    held = spark.createDataFrame([(1, b"\1" + old.tobytes()), (2, b"\2" + new.tobytes() + b"torn"), (3, b"\2" + new.tobytes()), (5, b"\7"), (6, None)], "track_id long, packed binary")
+    more = spark.createDataFrame([(k, 0, 9.0 + k) for k in (1, 2, 4)], "track_id long, seq int, lat double")
+    for name in ("lon", "ele", "time_ms", "speed", "accuracy", "hr", "cad", "pwr"):
+        kind = dict(x.split() for x in G.POINT.split(", "))[name]
+        more = more.withColumn(name, F.lit(None).cast(kind))
+    found = G.unpacked_tracks(G.appended(held, more))
+    assert sorted((r.track_id, r.seq, r.lat) for r in found.collect()) == [(1, 0, 3.0), (1, 1, 10.0), (2, 0, 1.0), (2, 1, 2.0), (2, 2, 11.0), (3, 0, 1.0), (3, 1, 2.0), (4, 0, 13.0)]
+    assert {r.track_id: r.n for r in held.select("track_id", G.packed_points(F.col("packed")).alias("n")).collect()} == {1: 1, 2: 2, 3: 2, 5: None, 6: None}

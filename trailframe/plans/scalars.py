@@ -328,16 +328,37 @@ def src_01_gpx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("track_id"), "seq", "name", geo.whole(F.col("lat"), 1e7).alias("lat_e7"), geo.whole(F.col("lon"), 1e7).alias("lon_e7"), F.col("ele").cast("int").alias("ele"), F.unix_seconds("time").alias("s"), "hr", "cad", "pwr")
 
 
-def src_10_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-10: each track packed and unpacked."""
+def _packable(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("float")
-    p = _recorded(spark, sf_dir).select("track_id", "seq", "lat", "lon", F.col("ele").cast("float").alias("ele"), F.floor(F.col("ts_us") / 1000).alias("time_ms"), none.alias("speed"), none.alias("accuracy"), "hr", "cad", "pwr")
-    found = track_files.unpacked_tracks(track_files.packed_tracks(p))
+    return _recorded(spark, sf_dir).select("track_id", "seq", "lat", "lon", F.col("ele").cast("float").alias("ele"), F.floor(F.col("ts_us") / 1000).alias("time_ms"), none.alias("speed"), none.alias("accuracy"), "hr", "cad", "pwr")
+
+
+def _unpacked(found: DataFrame) -> DataFrame:
+    found = track_files.unpacked_tracks(found)
     return found.select("track_id", "seq", geo.whole(F.col("lat"), 1e7).alias("lat_e7"), geo.whole(F.col("lon"), 1e7).alias("lon_e7"), F.col("ele").cast("int").alias("ele"), "time_ms", "hr", "cad", "pwr")
 
 
+def src_10_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10: each track packed and unpacked."""
+    return _unpacked(track_files.packed_tracks(_packable(spark, sf_dir)))
+
+
+def src_10_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10: the first part of each track packed, the rest appended, and all of it unpacked."""
+    p = _packable(spark, sf_dir)
+    return _unpacked(track_files.appended(track_files.packed_tracks(p.filter("seq < 20 + track_id % 7")), p.filter("seq >= 20 + track_id % 7")))
+
+
+def src_02_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-02, SRC-09: each track written as a route and read back."""
+    p = _recorded(spark, sf_dir).withColumn("time", F.timestamp_micros("ts_us")).withColumn("name", F.lit("a < b & c"))
+    found = track_files.read_gpx(track_files.gpx_documents(p, route=True).select(F.col("track_id").cast("string").alias("path"), F.col("gpx").cast("binary").alias("content")))
+    found = track_files.preferred(found).filter("form = 'route'")
+    return found.select(F.col("path").cast("long").alias("track_id"), "seq", "name", geo.whole(F.col("lat"), 1e7).alias("lat_e7"), geo.whole(F.col("lon"), 1e7).alias("lon_e7"), F.col("ele").cast("int").alias("ele"), F.unix_seconds("time").alias("s"), "hr", "cad", "pwr")
+
+
 QUERIES = {f.__name__: f for f in (
-    geo_03_destinations, geo_06_turns, geo_10_rings, geo_11_retries, num_01_classes, num_05_nanos, dtm_01_quarters, dtm_02_durations, dtm_03_daylight, map_01_tags, prj_08_surface_kinds, prj_05_importance,
+    src_10_appended, src_02_routes, geo_03_destinations, geo_06_turns, geo_10_rings, geo_11_retries, num_01_classes, num_05_nanos, dtm_01_quarters, dtm_02_durations, dtm_03_daylight, map_01_tags, prj_08_surface_kinds, prj_05_importance,
     src_08_formats, src_22_file_names, str_02_match_forms, str_13_names, agg_10_best_power, agg_16_worst_offset, agg_03_geometry, agg_19_duplicates, agg_20_counts, agg_22_departure_scores, agg_27_digest,
     agg_28_latest, arr_01_dominant, join_01_names, join_02_known, join_19_crossed, join_26_attached, join_28_reconciled, set_08_versions, set_13_retention, srt_01_library, srt_08_largest, win_06_range_means,
     jsn_01_decoded, stm_03_fused, stm_04_counters, src_01_gpx, src_10_packed)}
@@ -360,6 +381,8 @@ _RECORDED = _POINTS + """ SELECT track_id, CAST(row_number() OVER (PARTITION BY
 ORACLE = {
     "src_01_gpx": _RECORDED.format("'a < b & c' AS name,", "ts_us // 1000000 AS s"),
     "src_10_packed": _RECORDED.format("", "ts_us // 1000 AS time_ms"),
+    "src_10_appended": _RECORDED.format("", "ts_us // 1000 AS time_ms"),
+    "src_02_routes": _RECORDED.format("'a < b & c' AS name,", "ts_us // 1000000 AS s"),
     "geo_03_destinations": _POINTS + ", src AS (SELECT event_id, lat, lon, ele * 3.0::DOUBLE AS b, pwr * 100.0::DOUBLE AS m FROM points)" + _DESTINATION
     + " SELECT event_id, CAST(floor(y * 1e6 + 0.5) AS BIGINT) AS lat_e6, CAST(floor(e * 1e6 + 0.5) AS BIGINT) AS lon_e6 FROM d",
     "geo_06_turns": _LEGS + """, b AS (SELECT track_id, ts_us, event_id, degrees(atan2(sin(radians(lon - lon0)) * cos(radians(lat)), cos(radians(lat0)) * sin(radians(lat)) - sin(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0)))) + 360 AS b0 FROM legs WHERE dm > 0),

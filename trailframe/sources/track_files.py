@@ -25,6 +25,13 @@ def _xml_point() -> str:
     return f"struct<_lat:double,_lon:double,ele:double,time:string,extensions:struct<{inner}>>"
 
 
+def _gpx(files: DataFrame, path: str, content: str, schema: str) -> DataFrame:
+    """``(path, x)`` of the GPX files, without namespace prefixes."""
+    text = F.regexp_replace(F.decode(F.col(content), "UTF-8"), r"(</?)[A-Za-z_][\w.\-]*:", "$1")
+    body = F.regexp_replace(text, r"^\s*\x{FEFF}?\s*<\?xml[^>]*\?>", "")
+    return files.filter(F.decode(F.col(content), "UTF-8").rlike(r"<(?:[A-Za-z_][\w.\-]*:)?gpx[\s>]")).select(F.col(path).alias("path"), F.from_xml(body, schema, {"mode": "PERMISSIVE"}).alias("x"))
+
+
 def read_gpx(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``(path, form, line, part, seq, name, lat, lon, ele, time, hr, cad, pwr)`` of every track and route point (SRC-01, SRC-09).
 
@@ -33,9 +40,7 @@ def read_gpx(files: DataFrame, path: str = "path", content: str = "content") ->
     """
     point = _xml_point()
     schema = f"trk array<struct<name:string,trkseg:array<struct<trkpt:array<{point}>>>>>, rte array<struct<name:string,rtept:array<{point}>>>"
-    text = F.regexp_replace(F.decode(F.col(content), "UTF-8"), r"(</?)[A-Za-z_][\w.\-]*:", "$1")
-    body = F.regexp_replace(text, r"^\s*\x{FEFF}?\s*<\?xml[^>]*\?>", "")
-    gpx = files.filter(F.decode(F.col(content), "UTF-8").rlike(r"<(?:[A-Za-z_][\w.\-]*:)?gpx[\s>]")).select(F.col(path).alias("path"), F.from_xml(body, schema, {"mode": "PERMISSIVE"}).alias("x"))
+    gpx = _gpx(files, path, content, schema)
     tracks = gpx.select("path", F.posexplode("x.trk").alias("line", "t")).select("path", F.lit("track").alias("form"), "line", "t.name", F.posexplode("t.trkseg").alias("part", "s")).select("path", "form", "line", "part", "name", F.posexplode("s.trkpt").alias("seq", "p"))
     routes = gpx.select("path", F.posexplode("x.rte").alias("line", "t")).select("path", F.lit("route").alias("form"), "line", F.lit(0).alias("part"), "t.name", F.posexplode("t.rtept").alias("seq", "p"))
     e = lambda *names: F.coalesce(*[F.col(f"p.extensions.{n}") for n in names])
@@ -46,33 +51,48 @@ def read_gpx(files: DataFrame, path: str = "path", content: str = "content") ->
     return points.filter("lat IS NOT NULL AND lon IS NOT NULL")
 
 
+def read_waypoints(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``(path, nth, name, sym, type, cmt, desc, lat, lon, ele)`` of the waypoints of GPX files; ones without a position are left out (SRC-01)."""
+    schema = "wpt array<struct<_lat:double,_lon:double,ele:double,name:string,sym:string,type:string,cmt:string,desc:string>>"
+    found = _gpx(files, path, content, schema).select("path", F.posexplode("x.wpt").alias("nth", "w"))
+    return found.select("path", "nth", *[F.col(f"w.{c}").alias(c) for c in ("name", "sym", "type", "cmt", "desc")], F.col("w._lat").alias("lat"), F.col("w._lon").alias("lon"), F.col("w.ele").alias("ele")).filter("lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def preferred(points: DataFrame) -> DataFrame:
+    """Of the points of ``read_gpx`` those of tracks, and of routes only where a file has no track (SRC-09)."""
+    tracked = points.filter("form = 'track'").select("path").distinct()
+    return points.filter("form = 'track'").unionByName(points.filter("form = 'route'").join(tracked, "path", "left_anti").select(*points.columns))
+
+
 def _escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def gpx_documents(points: DataFrame, key: str = "track_id") -> DataFrame:
-    """``(key, gpx)``: one GPX document a track of ``points(key, seq, name, lat, lon, ele, time, hr, cad, pwr)`` (SRC-02).
+def gpx_documents(points: DataFrame, key: str = "track_id", route: bool = False) -> DataFrame:
+    """``(key, gpx)``: one GPX document a track, or a route, of ``points(key, seq, name, lat, lon, ele, time, hr, cad, pwr)`` (SRC-02).
 
     Times are UTC in whole seconds; the sensor namespace stands only where a track has sensor values.
     """
+    tag, outer, inner = ("rtept", "rte", "") if route else ("trkpt", "trk", "trkseg")
+    opened, closed = (f"<{inner}>", f"</{inner}>") if inner else ("", "")
     element = lambda tag, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{tag}>"), F.col(c).cast("string"), F.lit(f"</{tag}>")))
     sensors = F.concat_ws("", element("gpxtpx:hr", "hr"), element("gpxtpx:cad", "cad"))
     extension = F.concat_ws("", element("power", "pwr"), F.when(sensors != "", F.concat(F.lit("<gpxtpx:TrackPointExtension>"), sensors, F.lit("</gpxtpx:TrackPointExtension>"))))
     time = F.when(F.col("time").isNotNull(), F.concat(F.lit("<time>"), F.date_format(F.to_utc_timestamp("time", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</time>")))
     point = F.concat(
-        F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('">'),
-        F.concat_ws("", element("ele", "ele"), time, F.when(extension != "", F.concat(F.lit("<extensions>"), extension, F.lit("</extensions>")))), F.lit("</trkpt>"),
+        F.lit(f'<{tag} lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('">'),
+        F.concat_ws("", element("ele", "ele"), time, F.when(extension != "", F.concat(F.lit("<extensions>"), extension, F.lit("</extensions>")))), F.lit(f"</{tag}>"),
     )
     rows = points.select(key, "name", F.struct("seq", point.alias("x")).alias("p"), (sensors != "").alias("sensed"))
     whole = rows.groupBy(key).agg(F.first("name", ignorenulls=True).alias("name"), F.sort_array(F.collect_list("p")).alias("p"), F.max("sensed").alias("sensed"))
     head = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="trailframe" xmlns="http://www.topografix.com/GPX/1/1"'),
-        F.when(F.col("sensed"), ' xmlns:gpxtpx="http://www.garmin.com/xmlschemas/TrackPointExtension/v1"').otherwise(""), F.lit("><trk>"),
+        F.when(F.col("sensed"), ' xmlns:gpxtpx="http://www.garmin.com/xmlschemas/TrackPointExtension/v1"').otherwise(""), F.lit(f"><{outer}>"),
     )
     name = F.when(F.col("name").isNotNull(), F.concat(F.lit("<name>"), _escaped(F.col("name")), F.lit("</name>"))).otherwise("")
-    return whole.select(key, F.concat(head, name, F.lit("<trkseg>"), F.array_join("p.x", ""), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+    return whole.select(key, F.concat(head, name, F.lit(opened), F.array_join("p.x", ""), F.lit(f"{closed}</{outer}></gpx>")).alias("gpx"))
 
 
 def packed_tracks(points: DataFrame, key: str = "track_id") -> DataFrame:
@@ -124,6 +144,28 @@ def unpacked_tracks(packed: DataFrame, key: str = "track_id", content: str = "pa
     return packed.select(key, content).mapInArrow(run, f"{key} {packed.schema[key].dataType.simpleString()}, {POINT}")
 
 
+def packed_points(packed: Column) -> Column:
+    """How many whole points a packed track holds; null for a null blob or an unknown version (SRC-10)."""
+    version = F.hex(F.substring(packed, 1, 1))
+    held = lambda kind: F.floor((F.octet_length(packed) - 1) / kind.itemsize).cast("int")
+    return F.when(version == "01", held(PACKED_BEFORE)).when(version == "02", held(PACKED))
+
+
+def appended(packed: DataFrame, points: DataFrame, key: str = "track_id") -> DataFrame:
+    """``(key, packed)``: packed tracks with the points of their keys after those that they hold (SRC-10).
+
+    A torn record at the end is dropped first; a track of the older version is written anew; a key without a track begins one.
+    """
+    own = packed.select(key, "packed")
+    whole = F.substring("packed", F.lit(1), F.lit(1) + packed_points(F.col("packed")) * PACKED.itemsize)
+    ready = own.filter(F.hex(F.substring("packed", 1, 1)) == "02").select(key, whole.alias("held"))
+    older = packed_tracks(unpacked_tracks(own.filter(F.hex(F.substring("packed", 1, 1)) == "01"), key), key).select(key, F.col("packed").alias("held"))
+    more = packed_tracks(points, key).select(key, F.col("packed").alias("more"))
+    met = ready.unionByName(older).join(more, key, "full")
+    rest = F.substring("more", F.lit(2), F.octet_length("more"))
+    return met.select(key, F.when(F.col("held").isNull(), F.col("more")).when(F.col("more").isNull(), F.col("held")).otherwise(F.concat("held", rest)).alias("packed"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, content)`` of every file under ``path``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
