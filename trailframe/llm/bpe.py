@@ -212,6 +212,8 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
         literal_ints(merged).alias("merged"),
         literal_ints([ranks[bytes([b & 255])] for b in range(-128, 128)]).alias("of_byte"),
     )
+    del shift, owner, merged
+    give_back()  # what laid the pairs out is several times the table, and this is the driver
     words = distinct_words(docs, id_col, text_col, rank_path, chunk_bytes)
     tokens = let(tables, lambda t: F.transform(F.col("words"), lambda w: fold_merges(w, t)))
     # written, so that the splitting and the laying out do not hold Python workers in one task, and a lost task folds nothing twice
