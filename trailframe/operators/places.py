@@ -1,7 +1,6 @@
 """Place index operators: grid joins, merging, vocabulary, ranked search, checks.
 
-A distance join explodes the *queries* over the neighbouring cells and meets places by an equi-join on the cell;
-AQE splits a crowded cell. Nothing is cross joined.
+The nearest place is found by branch and bound over cells (``nearest``). Nothing is cross joined.
 """
 
 from __future__ import annotations
@@ -11,25 +10,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import METERS_PER_DEG_LAT, flat_m, whole
+from .nearest import nearest
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius_m: int) -> DataFrame:
     """``(id, near_id, distance_mm)``: the nearest place of ``right`` strictly within ``radius_m``, never itself (JOIN-05).
 
-    Distances are flat, with the cosine of the left latitude. A cell is a radius high; a left row visits the columns
-    that its radius reaches at its latitude.
+    Distances are flat, with the cosine of the left latitude. The two nearest are asked for, since one of them may be the row itself.
     """
-    high = radius_m / METERS_PER_DEG_LAT * 1e7
-    cell = lambda c: F.floor(c / high).cast("long")
-    lat, lon = F.col("lat_e7"), F.col("lon_e7")
-    reach = high / F.greatest(F.cos(F.radians(lat / 1e7)), F.lit(0.01))
-    here = left.select("id", "lat_e7", "lon_e7", F.explode(F.sequence(cell(lat) - 1, cell(lat) + 1)).alias("cy"), cell(lon - reach).alias("lo"), cell(lon + reach).alias("hi"))
-    here = here.withColumn("cx", F.explode(F.sequence("lo", "hi")))
-    there = right.select(F.col("id").alias("near_id"), F.col("lat_e7").alias("y"), F.col("lon_e7").alias("x"), cell(lat).alias("cy"), cell(lon).alias("cx"))
-    metres = flat_m(lat / 1e7, lon / 1e7, F.col("y") / 1e7, F.col("x") / 1e7)
-    met = here.join(there, ["cy", "cx"]).withColumn("distance_mm", whole(metres, 1000.0)).filter((F.col("distance_mm") < radius_m * 1000) & (F.col("id") != F.col("near_id")))
-    best = met.groupBy("id").agg(F.min(F.struct("distance_mm", "near_id")).alias("best"))
+    met = nearest(left, right, 2, reach_m=radius_m).filter((F.col("mm") < radius_m * 1000) & (F.col("id") != F.col("near_id")))
+    best = met.groupBy("id").agg(F.min(F.struct(F.col("mm").alias("distance_mm"), "near_id")).alias("best"))
     return best.select("id", "best.near_id", "best.distance_mm")
 
 
