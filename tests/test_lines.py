@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from trailframe.operators import climbs, lines
 from trailframe.sources import shared
 
@@ -208,3 +210,25 @@ def test_splits_by_hand(spark):
     got = [tuple(r)[1:] for r in tracks.whole_splits(df, 10_000).orderBy("split").collect()]
     # the second leg does not move, so that only the share of the others counts; 4 m up at 1.2 km, 10 m down at 2.4 km
     assert got == [(0, 10000, 100_000_000, 0.0, 0.0, False), (1, 10000, 100 * 10**6 + 33_333_333, 4.0, 0.0, False), (2, 10050, 66_666_667 + 99_173_554 + 826_446, 0.0, 10.0, False)]
+
+
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """Files that compress well look small to Spark; a broadcast of them takes the driver's memory."""
+    from trailframe.operators import lines, readings
+    from trailframe.sources import shared
+
+    plans, plain = [], shared.Rounds.next
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(shared.Rounds, "next", lambda self, df: (plan(df), plain(self, df))[1])
+    at = lambda n, *more: spark.range(n).selectExpr("id % 3 AS line_id", "id AS seq", "32 + id / 1e4 AS lat", "16 + id / 1e4 AS lon", *more)
+    points = at(60)
+    stops = spark.createDataFrame([(1, 32.001, 16.001), (2, 32.001, 16.001), (3, 40.0, 16.0)], "stop_id long, lat double, lon double")
+    along = lines.stops_along(points, stops)
+    assert sorted((r.line_id, r.stop_id) for r in along.collect()) == [(line, stop) for line in (0, 1, 2) for stop in (1, 2)]  # two stops at one position
+    plan(along)
+    plan(lines.slices(points, spark.createDataFrame([(1, 0, 0, 5000)], "span_id long, line_id long, from_mm long, to_mm long")))
+    route = points.select(F.col("line_id").alias("route_id"), "lat", "lon")
+    far = readings.worst_offset(route.withColumn("waypoint", F.monotonically_increasing_id()).withColumn("lat", F.col("lat") + 0.01), route)
+    assert far.count() == 3
+    plan(far)
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)

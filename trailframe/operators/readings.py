@@ -83,13 +83,13 @@ def worst_offset(waypoints: DataFrame, route: DataFrame, cell_m: float = 200.0)
 
     Route points are thinned to the distinct positions of each route and laid on cells; a waypoint looks around itself, and
     what it does not find it looks for in cells four times as large, until a nearest point lies within the cells' reach. Points
-    of one cell are met only by the waypoints near it. Waypoints and points with a null are left out, as are routes that have only one of both. Cells do not wrap at the date line.
+    of one cell are met only by the waypoints near it. Joins are hinted, since files that compress well look small enough to broadcast. Waypoints and points with a null are left out, as are routes that have only one of both. Cells do not wrap at the date line.
     """
     spark = route.sparkSession
     rounds, done = Rounds(spark, "open-waypoints"), Rounds(spark, "near-waypoints", keep=1 << 30)
     points = Rounds(spark, "route-points").next(route.select("route_id", F.col("lat").alias("y"), F.col("lon").alias("x")).dropna().distinct())
     has = points.select("route_id").distinct()
-    todo = rounds.next(waypoints.select("route_id", "waypoint", "lat", "lon").dropna().join(has, "route_id", "left_semi"))
+    todo = rounds.next(waypoints.select("route_id", "waypoint", "lat", "lon").dropna().join(has.hint("merge"), "route_id", "left_semi"))
     found = []
     while not todo.isEmpty():
         high = cell_m / METERS_PER_DEG_LAT
@@ -99,12 +99,12 @@ def worst_offset(waypoints: DataFrame, route: DataFrame, cell_m: float = 200.0)
         reach = high / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + high, F.lit(89.0)))), F.lit(0.01))
         here = todo.withColumn("cy", F.explode(F.sequence(cell(F.col("lat") - high), cell(F.col("lat") + high)))).withColumn("cx", F.explode(F.sequence(cell(F.col("lon") - reach), cell(F.col("lon") + reach))))
         there = points.withColumn("cy", cell(F.col("y"))).withColumn("cx", cell(F.col("x")))
-        met = here.join(there, ["route_id", "cy", "cx"]).withColumn("dm", whole(haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")), 10.0))
+        met = here.join(there.hint("merge"), ["route_id", "cy", "cx"]).withColumn("dm", whole(haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")), 10.0))
         near = met.groupBy("route_id", "waypoint").agg(F.min("dm").alias("dm"))
         # nearer than a cell is high: no point outside the cells looked at can be nearer
         near = near if whole_globe else near.filter(F.col("dm") <= cell_m * 10 * 0.99)
         found.append(done.next(near))
-        todo = rounds.next(todo.join(found[-1], ["route_id", "waypoint"], "left_anti"))
+        todo = rounds.next(todo.join(found[-1].hint("merge"), ["route_id", "waypoint"], "left_anti"))
         cell_m *= 4
     if not found:
         return spark.createDataFrame([], waypoints.select("route_id").schema.add("worst_dm", "bigint"))
