@@ -65,28 +65,30 @@ def stops_along(points: DataFrame, stops: DataFrame, corridor_m: float = CORRIDO
     """``(line_id, stop_id, at_dm, off_mm)`` of ``stops (stop_id, lat, lon)`` within ``corridor_m`` of a line (JOIN-13).
 
     A stop is placed where the first contiguous stretch of segments beside it comes nearest. ``ahead (line_id, from_mm,
-    to_mm)`` keeps to a part of each line; lines that it does not list are left out. Stops with a null are left out.
+    to_mm)`` keeps to a part of each line; lines that it does not list are left out. Stops with a null are left out. Stops at one
+    position are placed once, and their ids put to it at the end.
     """
     rows = segments(points)
     if ahead is None:
         rows = rows.withColumn("from_mm", F.lit(0).cast("long")).withColumn("to_mm", F.lit(None).cast("long"))
     else:
-        rows = rows.join(ahead.select("line_id", "from_mm", "to_mm"), "line_id").filter("end_mm > from_mm AND start_mm < to_mm")
+        rows = rows.join(ahead.select("line_id", "from_mm", "to_mm").hint("merge"), "line_id").filter("end_mm > from_mm AND start_mm < to_mm")
     high = corridor_m / METERS_PER_DEGREE
-    there = stops.select("stop_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).dropna()
-    there = there.withColumn("cy", F.floor(F.col("s_lat") / high).cast("long")).withColumn("cx", F.floor(F.col("s_lon") / high).cast("long"))
-    met = on_cells(rows, corridor_m).join(there, ["cy", "cx"])
+    known = stops.select("stop_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).dropna()
+    there = known.select("s_lat", "s_lon").distinct().withColumn("cy", F.floor(F.col("s_lat") / high).cast("long")).withColumn("cx", F.floor(F.col("s_lon") / high).cast("long"))
+    met = on_cells(rows, corridor_m).join(there.hint("merge"), ["cy", "cx"])
     length = F.col("end_mm") - F.col("start_mm")
     share = lambda mm, bare: F.when(length > 0, (mm - F.col("start_mm")) / length).otherwise(bare)
     least = F.greatest(F.lit(0.0), share(F.col("from_mm"), 0.0))
     most = F.least(F.lit(1.0), F.coalesce(share(F.col("to_mm"), 1.0), F.lit(1.0)))
     t, off = foot(F.col("s_lat"), F.col("s_lon"), least, most)
     placed = met.withColumn("t", t).withColumn("off_mm", whole(off, 1000.0)).filter(F.col("off_mm") <= corridor_m * 1000)
-    placed = placed.select("line_id", "stop_id", "segment", "off_mm", whole((F.col("start_mm") + length * F.col("t")) / 100).alias("at_dm"))
-    by = Window.partitionBy("line_id", "stop_id")
+    placed = placed.select("line_id", "s_lat", "s_lon", "segment", "off_mm", whole((F.col("start_mm") + length * F.col("t")) / 100).alias("at_dm"))
+    by = Window.partitionBy("line_id", "s_lat", "s_lon")
     stretch = placed.withColumn("nth", F.row_number().over(by.orderBy("segment"))).withColumn("first", F.min("segment").over(by))
     stretch = stretch.filter(F.col("segment") - F.col("first") == F.col("nth") - 1)
-    return stretch.groupBy("line_id", "stop_id").agg(F.min_by("at_dm", F.struct("off_mm", "segment")).alias("at_dm"), F.min("off_mm").alias("off_mm"))
+    met = stretch.groupBy("line_id", "s_lat", "s_lon").agg(F.min_by("at_dm", F.struct("off_mm", "segment")).alias("at_dm"), F.min("off_mm").alias("off_mm"))
+    return met.join(known.hint("merge"), ["s_lat", "s_lon"]).select("line_id", "stop_id", "at_dm", "off_mm")
 
 
 def simplified(points: DataFrame, tolerance: float) -> DataFrame:
@@ -217,8 +219,8 @@ def slices(points: DataFrame, spans: DataFrame) -> DataFrame:
     rows = segments(points).withColumn("block", F.explode(F.sequence(at("start_mm"), at("end_mm"))))
     wanted = spans.dropna(subset=["line_id", "from_mm", "to_mm"]).filter("from_mm < to_mm").withColumn("from_mm", F.greatest("from_mm", F.lit(0)))
     ends = segments(points).groupBy("line_id").agg(F.max("end_mm").alias("length"))
-    wanted = wanted.join(ends, "line_id").withColumn("to_mm", F.least("to_mm", "length")).filter("from_mm < to_mm").withColumn("block", F.explode(F.sequence(at("from_mm"), at("to_mm"))))
-    met = rows.join(wanted.select("span_id", "line_id", "from_mm", "to_mm", "block"), ["line_id", "block"]).filter("start_mm < to_mm AND end_mm > from_mm")
+    wanted = wanted.join(ends.hint("merge"), "line_id").withColumn("to_mm", F.least("to_mm", "length")).filter("from_mm < to_mm").withColumn("block", F.explode(F.sequence(at("from_mm"), at("to_mm"))))
+    met = rows.join(wanted.select("span_id", "line_id", "from_mm", "to_mm", "block").hint("merge"), ["line_id", "block"]).filter("start_mm < to_mm AND end_mm > from_mm")
     met = met.drop("block").dropDuplicates(["span_id", "line_id", "segment"])
     share = lambda mm: (mm - F.col("start_mm")) / (F.col("end_mm") - F.col("start_mm"))
     a, b = F.greatest(share(F.col("from_mm")), F.lit(0.0)), F.least(share(F.col("to_mm")), F.lit(1.0))
