@@ -6,8 +6,12 @@ A line is never gathered into one row or task. ``points (line_id, seq, lat, lon)
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.geo import haversine_m, whole
 from ..sources.shared import Rounds
@@ -91,18 +95,32 @@ def stops_along(points: DataFrame, stops: DataFrame, corridor_m: float = CORRIDO
     return met.join(known.hint("merge"), ["s_lat", "s_lon"]).select("line_id", "stop_id", "at_dm", "off_mm")
 
 
+@F.pandas_udf(DoubleType())
+def _cosine(angle: pd.Series) -> pd.Series:
+    """Cosines of the C library, whose last bits are not those of the JVM."""
+    return pd.Series([math.cos(v) for v in angle.tolist()], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _square_of(u: pd.Series, v: pd.Series) -> pd.Series:
+    """``u^2 + v^2`` by the C library's power, which a product misses by the last bit at times."""
+    return pd.Series([math.pow(a, 2.0) + math.pow(b, 2.0) for a, b in zip(u.tolist(), v.tolist(), strict=True)], dtype="float64")
+
+
 def simplified(points: DataFrame, tolerance: float) -> DataFrame:
     """The ``(line_id, seq)`` to keep, so that no line strays more than ``tolerance`` micro-degrees of latitude from its points (WIN-16).
 
     All lines are split at once: each round takes the farthest point of every open stretch (the first of equals), keeps it if
     it is too far, and splits the stretch there. A stretch's rows are spread over tasks; its farthest point is a
     combined aggregate. As many rounds as the deepest split. Longitudes shrink by the cosine of the line's first latitude.
+    Points on a grid are often equally far, so that the last bit of a distance chooses: cosines and squares are those of the
+    C library, as SQL engines take them.
     """
     spark = points.sparkSession
     by = Window.partitionBy("line_id").orderBy("seq")
     micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5)
-    ends = _known(points).groupBy("line_id").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.min_by("lat", "seq").alias("lat0"))
-    flat = _known(points).join(ends, "line_id").select("line_id", "seq", "a", "b", (micro("lon") * F.cos(F.radians("lat0"))).alias("x"), micro("lat").cast("double").alias("y"))
+    ends = _known(points).groupBy("line_id").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), _cosine(F.radians(F.min_by("lat", "seq"))).alias("shrunk"))
+    flat = _known(points).join(ends, "line_id").select("line_id", "seq", "a", "b", (micro("lon") * F.col("shrunk")).alias("x"), micro("lat").cast("double").alias("y"))
     flat = Rounds(spark, "flat-points").next(flat)
     kept = flat.filter("seq = a OR seq = b").select("line_id", "seq")
     if tolerance <= 0:
@@ -113,10 +131,10 @@ def simplified(points: DataFrame, tolerance: float) -> DataFrame:
     dx, dy, px, py = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
     square = dx * dx + dy * dy
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / square))
-    away = F.when(square == 0, px * px + py * py).otherwise((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
+    away = _square_of(F.when(square == 0, px).otherwise(px - t * dx), F.when(square == 0, py).otherwise(py - t * dy))
     while not open_.isEmpty():
-        farthest = F.max(F.struct(away.alias("away"), (-F.col("seq")).alias("seq"), "x", "y")).alias("far")
-        split = open_.groupBy("line_id", "a").agg(farthest).filter(F.col("far.away") > tolerance * tolerance)
+        farthest = F.max(F.struct("away", (-F.col("seq")).alias("seq"), "x", "y")).alias("far")
+        split = open_.withColumn("away", away).groupBy("line_id", "a").agg(farthest).filter(F.col("far.away") > tolerance * tolerance)
         split = found.next(split.select("line_id", "a", (-F.col("far.seq")).alias("at"), F.col("far.x").alias("fx"), F.col("far.y").alias("fy")))
         left = F.col("seq") < F.col("at")
         side = lambda yes, no, name: F.when(left, F.col(yes)).otherwise(F.col(no)).alias(name)
