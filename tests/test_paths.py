@@ -72,3 +72,16 @@ def test_paths_of_many_requests(spark):
         assert [p for p, *_ in way] == list(range(len(way))) and way[0][1:] == (src, 0) and way[-1][1:] == (dst, want[dst])
         assert all(b[2] - a[2] == least[a[1], b[1]] for a, b in zip(way, way[1:], strict=False))
     assert len(ways) > 40
+
+
+def test_requests_of_the_same_ends_are_one_search(spark):
+    # 300 requests of three pairs of ends, one without a source; an edge that starts where none ends is on no path
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 5), (1, 2, 4), (9, 2, 1), (3, 3, 1)], EDGES)
+    asked = spark.createDataFrame([(i, *((1, 3), (1, 2), (3, 1))[i % 3]) for i in range(300)] + [(300, None, 1)], REQUESTS)
+    found = paths.searches(asked).collect()
+    assert sorted((r.request_id, r.search_id) for r in found) == [(i, i % 3) for i in range(300)]
+    once = paths.searches(asked).filter("request_id = search_id").select("request_id", "src", "dst")
+    kept = paths.usable(edges, once)
+    assert sorted(map(tuple, kept.collect())) == [(1, 2, 4), (2, 3, 5)]
+    costs = paths.least_costs(edges, once)
+    assert costs.count() == 6 and {(r.request_id, r.node): r.cost for r in costs.collect()}[0, 3] == 9
