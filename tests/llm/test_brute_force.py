@@ -155,3 +155,17 @@ def test_toxic_documents_are_found_on_held_out_labels(spark):
     held = toxicity.score(docs, model).withColumnRenamed("toxic", "found").join(labels.filter("doc_id % 4 = 0"), "doc_id")
     r = held.selectExpr("count_if(found and toxic = 1) / greatest(1, count_if(toxic = 1)) AS recall", "count_if(found and toxic = 0) / greatest(1, count_if(toxic = 0)) AS wrong").first()
     assert r.recall >= 0.8 and r.wrong <= 0.05
+
+
+def test_bpe_takes_a_word_that_is_a_token_whole(spark, tmp_path):
+    import base64
+
+    from trailframe.llm import bpe
+
+    # no merge gives "abcd": the library looks whole words up first
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abcd", b"abc"]
+    path = tmp_path / "ranks.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens) if t != b"abc"))
+    docs = spark.createDataFrame([(1, "abcd abcd"), (2, "abcdabcd"), (3, "abcd"), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r.ids for r in bpe.encode(docs, str(path)).collect()}
+    assert found == {1: [257, 32, 256, 99, 100], 2: [256, 99, 100, 256, 99, 100], 3: [257], 4: []}

@@ -10,6 +10,9 @@ The rank map is the vocabulary file's, so its size is fixed. A map lookup in Spa
 is therefore laid out as arrays: the pair (left id, right id) sits in slot ``(shift[left] + right) % slots``,
 whose owner must be ``left``.
 
+A word that is itself a token has that token's id and is not merged: the library looks whole words up first, and for
+a vocabulary with tokens that no merge gives this is a different result.
+
 Null texts encode as empty (no ids). Empty texts give no ids. Repeated rows and repeated ids are encoded
 row by row. Words over ``LONG_WORD`` bytes (runs without any break) are merged with a heap in the Arrow
 task, because the fold copies its arrays at each merge; the result is the same.
@@ -38,7 +41,7 @@ SLOTS = 1 << 19
 ID_BITS = 20
 NO_RANK = 1 << 20
 
-CHUNK_SCHEMA = "ids array<bigint>, counts binary, codes binary, words array<array<tinyint>>, long_codes array<int>, long_tokens array<array<int>>"
+CHUNK_SCHEMA = "ids array<bigint>, counts binary, codes binary, words array<array<tinyint>>, long_codes array<int>, long_tokens array<array<int>>, whole_codes array<int>, whole_ids array<int>"
 
 
 @lru_cache(maxsize=4)
@@ -47,6 +50,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=1)
+def whole_tokens(path: str) -> tuple[pa.Array, np.ndarray]:
+    """All tokens and their ids: a word that is a token has its id and is not merged, as in the library."""
+    ranks = load_ranks(path)
+    return pa.array(list(ranks), pa.large_binary()), np.fromiter(ranks.values(), np.int32, len(ranks))
+
+
 def pair_table(ranks: dict[bytes, int], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shift by left id, owner by slot, merged id by slot) of every pair of tokens that forms a token."""
     rows: dict[int, dict[int, int]] = {}
@@ -152,13 +162,17 @@ def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str,
             words = c["words"]
             bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
             sizes = np.diff(bounds)
-            late = np.flatnonzero(sizes > LONG_WORD)
+            tokens, token_ids = whole_tokens(rank_path)
+            found = pc.index_in(words.cast(pa.large_binary()), value_set=tokens)
+            whole = np.asarray(found.is_valid())
+            whole_codes, whole_ids = np.flatnonzero(whole), token_ids[np.asarray(found.drop_null())]
+            late = np.flatnonzero((sizes > LONG_WORD) & ~whole)
             fixed: list[list[int]] = []
             if len(late):
                 ranks = load_ranks(rank_path)
                 fixed = [merge_long(words[int(i)].as_py(), ranks) for i in late]
-                words = pc.if_else(pa.array(sizes > LONG_WORD), pa.scalar(b"", words.type), words)
-                bounds = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+            words = pc.if_else(pa.array(whole | (sizes > LONG_WORD)), pa.scalar(b"", words.type), words)
+            bounds = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
             body = words.buffers()[2]
             flat = np.frombuffer(body, np.int8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.int8)
             column = pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(flat))
@@ -171,10 +185,12 @@ def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str,
                     pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column),
                     one([int(i) for i in late], pa.int32()),
                     one(fixed, pa.list_(pa.int32())),
+                    one(whole_codes, pa.int32()),
+                    one(whole_ids, pa.int32()),
                 ],
-                names=["ids", "counts", "codes", "words", "long_codes", "long_tokens"],
+                names=["ids", "counts", "codes", "words", "long_codes", "long_tokens", "whole_codes", "whole_ids"],
             )
-            del c, words, bounds, sizes, body, flat, column
+            del c, words, bounds, sizes, body, flat, column, found, whole
             give_back()
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, CHUNK_SCHEMA)
@@ -190,6 +206,9 @@ def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.asarray(tokens.flatten()).astype(np.int32, copy=False)
             lens = np.asarray(tokens.value_lengths()).astype(np.int32)
             starts = np.concatenate([[0], np.cumsum(lens[:-1], dtype=np.int64)]) if len(lens) else np.zeros(0, np.int64)
+            whole, whole_ids = (np.asarray(col[n].values) for n in ("whole_codes", "whole_ids"))
+            starts[whole], lens[whole] = len(flat) + np.arange(len(whole)), 1
+            flat = np.concatenate([flat, whole_ids.astype(np.int32, copy=False)])
             for code, fixed in zip(col["long_codes"].as_py(), col["long_tokens"].as_py(), strict=True):
                 starts[code], lens[code] = len(flat), len(fixed)
                 flat = np.concatenate([flat, np.array(fixed, np.int32)])
@@ -217,7 +236,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
     words = distinct_words(docs, id_col, text_col, rank_path, chunk_bytes)
     tokens = let(tables, lambda t: F.transform(F.col("words"), lambda w: fold_merges(w, t)))
     # written, so that the splitting and the laying out do not hold Python workers in one task, and a lost task folds nothing twice
-    laid = materialize(words.select("ids", "counts", "codes", tokens.alias("tokens"), "long_codes", "long_tokens"), "folded")
+    laid = materialize(words.select("ids", "counts", "codes", tokens.alias("tokens"), "long_codes", "long_tokens", "whole_codes", "whole_ids"), "folded")
     return laid.mapInArrow(_lay_out, "id bigint, ids array<int>").select(F.col("id").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
