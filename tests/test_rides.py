@@ -55,6 +55,16 @@ def test_jumps_and_fixes_back_in_time_are_dropped(spark):
     assert [s for s, what, *_ in got if what == "fix"] == [0, 1, 2, 4] and got[-1][2] == 20.0  # of the fixes at 1 s and 2 s one each
 
 
+def test_rides_of_one_task_are_folded_one_after_the_other_in_batches(spark):
+    df = events(spark, [*STAND, *MANUAL, *ODD, *ride(4, (0, "fix", 0), (1, "fix", 5))], EVENT)
+    whole = told(rides.recorded(df, until_us=(1_000_000 + 60) * S))
+    for key, own in ((1, STAND), (2, MANUAL), (3, ODD)):
+        assert whole[key] == told(rides.recorded(events(spark, own, EVENT), until_us=(1_000_000 + 60) * S))[key]
+    assert (14, "auto-paused") in [x[:2] for x in whole[3]] and whole[4][-1][:2] == (11, "auto-paused")
+    asked = rides.recorded(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in asked and "FlatMapGroups" not in asked  # a group a ride costs a frame a ride
+
+
 def test_the_clock_after_the_last_event(spark):
     df = events(spark, ride(4, (0, "fix", 0), (1, "fix", 5)), EVENT)
     assert len(told(rides.recorded(df))[4]) == 2

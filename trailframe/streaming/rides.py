@@ -14,6 +14,7 @@ from math import asin, cos, isfinite, radians, sin, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -155,17 +156,32 @@ def _events(events: DataFrame, *columns: str) -> DataFrame:
 def recorded(events: DataFrame, until_us: int | None = None) -> DataFrame:
     """What the recorder writes for a whole table of ``EVENTS``: accepted fixes and changes of status, with the totals so far.
 
-    ``until_us`` is how long the clock goes on after the last event of each ride (null: not at all).
+    ``until_us`` is how long the clock goes on after the last event of each ride (null: not at all). A task folds its
+    sorted rides one after the other and holds the state of one and the rows of a batch, however many or long they are.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ride = Recording()
-        out = _take_all(ride, rows)
-        if until_us is not None:
-            out += ride.tick(until_us)
-        return _frame(key[0], out, RECORDED)
-
-    return _events(events, *_KEPT).groupBy("ride_id").applyInPandas(run, RECORDED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ride = None, None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            out = []
+            for ride_id, at_us, what, lat, lon, speed in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ride_id", "at_us", *_KEPT[1:])), strict=True):
+                if ride_id != own or ride is None:
+                    if ride is not None and until_us is not None:
+                        out += [(own, *r) for r in ride.tick(until_us)]
+                    own, ride = ride_id, Recording()
+                out += [(own, *r) for r in ride.take(at_us, what, lat, lon, speed)]
+            if out:
+                yield told(out)
+        if ride is not None and until_us is not None and (last := [(own, *r) for r in ride.tick(until_us)]):
+            yield told(last)
+
+    names, kinds = zip(*((n, {"bigint": pa.int64(), "string": pa.string()}[kind]) for n, kind in (x.split() for x in RECORDED.split(", "))), strict=True)
+    dealt = _events(events, *_KEPT).drop("at").repartition("ride_id")
+    return dealt.sortWithinPartitions("ride_id", "at_us", F.col("seq").asc_nulls_last()).mapInArrow(run, RECORDED)
 
 
 class _Recorder(StatefulProcessor):
