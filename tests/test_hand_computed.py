@@ -115,6 +115,21 @@ def test_packed_tracks_of_both_versions_and_torn_ends(spark):
     assert [(r.track_id, r.seq, r.lat, r.ele, r.hr) for r in found] == [(1, 0, 3.0, None, None), (2, 0, 0.0, 0.0, 0), (3, 0, 0.0, 0.0, 0), (3, 1, 0.0, 0.0, None)]
 
 
+def test_tracks_longer_than_batches_are_packed_without_gathering_their_points(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from trailframe.sources import track_files as G
+
+    none = lambda kind: F.lit(None).cast(kind)
+    points = spark.range(25_000).select((F.col("id") % 3).alias("track_id"), (25_000 - F.col("id")).cast("int").alias("seq"), F.col("id").cast("double").alias("lat"), none("double").alias("lon"))
+    points = points.select("*", *[none(kind).alias(n) for n, kind in (x.split() for x in G.POINT.split(", ")) if n not in ("seq", "lat", "lon")])
+    packed = G.packed_tracks(points)
+    assert "collect_list" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert {r.track_id: r.n for r in packed.select("track_id", G.packed_points(F.col("packed")).alias("n")).collect()} == {0: 8334, 1: 8333, 2: 8333}
+    monkeypatch.setattr(G, "BATCH_BYTES", 50_000)  # several slices of one track, and several tracks to a batch
+    found = sorted((r.track_id, r.seq, r.lat, r.hr) for r in G.unpacked_tracks(packed).collect())
+    assert found == [(t, i, float(v), None) for t in range(3) for i, v in enumerate(sorted((v for v in range(25_000) if v % 3 == t), reverse=True))]
+
+
 def test_waypoints_and_tracks_before_routes(spark):
     from trailframe.sources import track_files as G
 

@@ -17,6 +17,8 @@ PACKED_VERSION = 2
 PACKED = np.dtype([("lat", "<f8"), ("lon", "<f8"), ("ele", "<f4"), ("time_ms", "<i8"), ("speed", "<f4"), ("accuracy", "<f4"), ("hr", "<u2"), ("cad", "<u2"), ("pwr", "<u2")])
 PACKED_BEFORE = np.dtype(PACKED.descr[:6])
 ABSENT = 0xFFFF
+#: What a task gathers of packed tracks, or of their points, before it hands them on.
+BATCH_BYTES = 1 << 20
 POINT = "seq int, lat double, lon double, ele float, time_ms bigint, speed float, accuracy float, hr int, cad int, pwr int"
 
 
@@ -97,22 +99,41 @@ def gpx_documents(points: DataFrame, key: str = "track_id", route: bool = False)
 
 def packed_tracks(points: DataFrame, key: str = "track_id") -> DataFrame:
     """``(key, packed)``: one binary track of the points of each key, in the order of ``seq`` (SRC-10)."""
-    fields = ["seq", *PACKED.names]
-    grouped = points.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("p"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for points_ in batch.column(1):
-                values = points_.values
-                data = np.zeros(len(values), PACKED)
-                for name in PACKED.names:
-                    empty = {"f": np.nan, "i": 0, "u": ABSENT}[PACKED[name].kind]
-                    data[name] = values.field(name).fill_null(empty).to_numpy(zero_copy_only=False)
-                out.append(bytes([PACKED_VERSION]) + data.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "packed"])
+        # the track at hand, and whole ones until they are BATCH_BYTES
+        own, parts, begun, keys_out, packed_out, held = None, [], False, [], [], 0
+        kind = None
 
-    return grouped.mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, packed binary")
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys_out, kind), pa.array(packed_out, pa.binary())], names=[key, "packed"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, keys = batch.column(0).type, batch.column(0).to_pylist()
+            data = np.zeros(batch.num_rows, PACKED)
+            for i, name in enumerate(PACKED.names, 1):
+                empty = {"f": np.nan, "i": 0, "u": ABSENT}[PACKED[name].kind]
+                data[name] = batch.column(i).fill_null(empty).to_numpy(zero_copy_only=False)
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if begun and keys[a] != own:
+                    keys_out.append(own)
+                    packed_out.append(bytes([PACKED_VERSION]) + b"".join(parts))
+                    parts, held = [], held + len(packed_out[-1])
+                    if held >= BATCH_BYTES:
+                        yield told()
+                        keys_out, packed_out, held = [], [], 0
+                own, begun = keys[a], True
+                parts.append(data[a:b].tobytes())
+        if begun:
+            keys_out.append(own)
+            packed_out.append(bytes([PACKED_VERSION]) + b"".join(parts))
+            yield told()
+
+    # flat rows in order within a task, so that it holds a batch of points and one track's bytes, and not a batch of whole tracks
+    dealt = points.select(key, "seq", *PACKED.names).repartition(key).sortWithinPartitions(key, "seq", *PACKED.names)
+    return dealt.drop("seq").mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, packed binary")
 
 
 def unpacked_tracks(packed: DataFrame, key: str = "track_id", content: str = "packed") -> DataFrame:
@@ -121,25 +142,41 @@ def unpacked_tracks(packed: DataFrame, key: str = "track_id", content: str = "pa
     A null or empty blob and one of an unknown version give no rows.
     """
 
+    def points(blobs: pa.Array) -> Iterator[tuple[int, np.dtype, int, np.ndarray]]:
+        """(row, layout, first seq, points) of the blobs, of long ones ``BATCH_BYTES`` at a time."""
+        for row in range(len(blobs)):
+            blob = memoryview(blobs[row].as_buffer() or b"")
+            kind = {1: PACKED_BEFORE, PACKED_VERSION: PACKED}.get(blob[0] if len(blob) else 0)
+            if kind is not None:
+                data, step = np.frombuffer(blob, kind, (len(blob) - 1) // kind.itemsize, 1), BATCH_BYTES // kind.itemsize
+                yield from ((row, kind, at, data[at : at + step]) for at in range(0, len(data), step))
+
+    def told(owners: pa.Array, found: list[tuple[int, np.dtype, int, np.ndarray]]) -> pa.RecordBatch:
+        kind, data = found[0][1], np.concatenate([d for *_, d in found])
+        rows = np.repeat([row for row, *_ in found], [len(d) for *_, d in found])
+        columns = [owners.take(pa.array(rows)), pa.array(np.concatenate([np.arange(at, at + len(d), dtype=np.int32) for _, _, at, d in found]))]
+        for name in PACKED.names:
+            if name not in kind.names:
+                columns.append(pa.nulls(len(data), pa.int32()))
+            elif PACKED[name].kind == "u":
+                columns.append(pa.array(data[name].astype(np.int32), mask=data[name] == ABSENT))
+            elif name == "time_ms":
+                columns.append(pa.array(data[name], mask=data[name] == 0))
+            else:
+                columns.append(pa.array(data[name], mask=np.isnan(data[name])))
+        return pa.RecordBatch.from_arrays(columns, names=[key, "seq", *PACKED.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owner, blob in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                kind = {1: PACKED_BEFORE, PACKED_VERSION: PACKED}.get(blob[0] if blob else 0)
-                if kind is None:
-                    continue
-                n = (len(blob) - 1) // kind.itemsize
-                data = np.frombuffer(blob, kind, n, 1)
-                columns = [pa.array([owner.as_py()] * n, batch.column(0).type), pa.array(np.arange(n, dtype=np.int32))]
-                for name in PACKED.names:
-                    if name not in kind.names:
-                        columns.append(pa.nulls(n, pa.int32()))
-                    elif PACKED[name].kind == "u":
-                        columns.append(pa.array(data[name].astype(np.int32), mask=data[name] == ABSENT))
-                    elif name == "time_ms":
-                        columns.append(pa.array(data[name], mask=data[name] == 0))
-                    else:
-                        columns.append(pa.array(data[name], mask=np.isnan(data[name])))
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "seq", *PACKED.names])
+            found, held = [], 0
+            for one in points(batch.column(1)):
+                if found and (one[1] is not found[0][1] or held + one[3].nbytes > BATCH_BYTES):
+                    yield told(batch.column(0), found)
+                    found, held = [], 0
+                found.append(one)
+                held += one[3].nbytes
+            if found:
+                yield told(batch.column(0), found)
 
     return packed.select(key, content).mapInArrow(run, f"{key} {packed.schema[key].dataType.simpleString()}, {POINT}")
 
