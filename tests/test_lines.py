@@ -153,6 +153,23 @@ def test_chains_rings_and_forks(spark, monkeypatch):
     assert 14 <= asked.count("ranks") <= 26  # 14 doublings of the chain, then those of the rings
 
 
+def test_finished_pieces_of_chains_are_written_once(spark, monkeypatch):
+    pieces = [(i, "a", i, i + 1, 1) for i in range(64)] + [(1000 + i, "b", 2 * i, 2 * i + 1, 1) for i in range(500)]
+    rows = []
+    plain = shared.Rounds.next
+
+    def counted(self, df):
+        found = plain(self, df)
+        if self.name == "ranks":
+            rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(shared.Rounds, "next", counted)
+    found = {tuple(r) for r in lines.chained(spark.createDataFrame(pieces, "piece_id long, attrs string, start long, end long, weight long")).collect()}
+    assert found == chains(pieces)
+    assert rows == [564, 63, 62, 60, 56, 48, 32]  # the one chain halves; the 500 pieces are not written again
+
+
 def hill(spark, profile, track=1, seconds=10, hr=None, ridden=True):
     """Legs of a track through (metres along, height), a fix every ``seconds``."""
     rows = []

@@ -170,27 +170,36 @@ def chained(pieces: DataFrame) -> DataFrame:
 
 def _ranked(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(pieces with their head, place and weights before; pieces of rings with the smallest of their ring, if any)."""
-    rounds = Rounds(nodes.sparkSession, "ranks")
+    spark = nodes.sparkSession
     before = nodes.select(F.col("piece_id").alias("prev"), F.col("weight").alias("w"))
     state = nodes.join(before, "prev", "left").select(
         "piece_id", F.col("prev").alias("to"), F.when(F.col("prev").isNotNull(), 1).otherwise(0).cast("long").alias("place"), F.coalesce("w", F.lit(0)).alias("before"),
         F.when(F.col("prev").isNull(), F.col("piece_id")).alias("head"), F.least("piece_id", F.coalesce("prev", "piece_id")).alias("least"), F.lit(True).alias("moved"),
     )
-    state = rounds.next(state)
+
+    rounds = Rounds(spark, "ranks", final="finished")
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The finished and the other pieces; finished ones are not written again."""
+        found = rounds.next(rows.withColumn("finished", F.col("to").isNull()))
+        return found.filter("finished").drop("finished"), found.filter("NOT finished").drop("finished")
+
+    done, going = parted(state)
     unfinished = None
     while True:
-        left, moved = state.filter("to IS NOT NULL").agg(F.count("*"), F.count_if("moved")).first()
+        left, moved = going.agg(F.count("*"), F.count_if("moved")).first()
         if not left:
-            return state.select("piece_id", "head", "place", "before"), None
+            return done.select("piece_id", "head", "place", "before"), None
         if left == unfinished and not moved:  # every chain gains finished pieces in a round, so these are rings
-            return state.filter("to IS NULL").select("piece_id", "head", "place", "before"), state.filter("to IS NOT NULL").select("piece_id", "least")
+            return done.select("piece_id", "head", "place", "before"), going.select("piece_id", "least")
         unfinished = left
-        up = state.select(F.col("piece_id").alias("to"), F.col("to").alias("to2"), F.col("place").alias("place2"), F.col("before").alias("before2"), F.col("head").alias("head2"), F.col("least").alias("least2"))
-        going = state.filter("to IS NOT NULL").join(up, "to").select(
+        up = done.unionByName(going).select(F.col("piece_id").alias("to"), F.col("to").alias("to2"), F.col("place").alias("place2"), F.col("before").alias("before2"), F.col("head").alias("head2"), F.col("least").alias("least2"))
+        step = going.join(up, "to").select(
             "piece_id", F.col("to2").alias("to"), (F.col("place") + F.col("place2")).alias("place"), (F.col("before") + F.col("before2")).alias("before"), F.col("head2").alias("head"),
             F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved"),
         )
-        state = rounds.next(state.filter("to IS NULL").unionByName(going))
+        more, going = parted(step)
+        done = done.unionByName(more)
 
 
 def chunk_boxes(points: DataFrame, chunk_m: float = 5000.0, pad_m: float = CORRIDOR_M) -> DataFrame:

@@ -32,17 +32,21 @@ def delete(spark: SparkSession, *paths: str) -> None:
 
 
 class Rounds:
-    """Tables of an iteration: each is written and read back, which cuts its lineage and outlives lost executors; older ones are deleted."""
+    """Tables of an iteration: each is written and read back, which cuts its lineage and outlives lost executors; older ones are deleted.
 
-    def __init__(self, spark: SparkSession, name: str, keep: int = 1):
-        self.spark, self.name, self.keep, self.paths = spark, name, keep, []
+    With ``final``, a boolean column that is never null, the rows for which it is true stay when their table is deleted.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, keep: int = 1, final: str | None = None):
+        self.spark, self.name, self.keep, self.final, self.paths = spark, name, keep, final, []
 
     def next(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*([self.final] if self.final else [])).parquet(path)
         self.paths.append(path)
         while len(self.paths) > self.keep:
-            delete(self.spark, self.paths.pop(0))
+            older = self.paths.pop(0)
+            delete(self.spark, f"{older}/{self.final}=false" if self.final else older)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
