@@ -3,13 +3,17 @@
 Encoding: Arrow tasks cut whole texts into words and keep each chunk's distinct words as byte arrays;
 ``aggregate`` folds the ranked merges over the byte array of every distinct word, reading a literal rank
 map; the word ids are then laid out along the documents. Decoding looks every id's bytes up in a literal
-array and concatenates the pieces. No shuffle is needed: chunks are independent, so the plan is two stages
+array and concatenates the pieces. Chunks are independent, so the plan over all rows is two stages
 without an exchange at any input size, with the chunks' codes and folded words written in between.
 
 The rank map is the vocabulary file's, so its size is fixed. A map lookup in Spark walks all keys; the map
 is therefore laid out as arrays: the pair (left id, right id) sits in slot ``(shift[left] + right) % slots``,
 whose owner must be ``left``.
 
+Words that occur in several chunks are merged once: of a table of more than ``SAMPLE_BYTES`` of text, the ``KNOWN_WORDS``
+most frequent words of a sample of that size are folded first and their ids broadcast to the tasks that cut words, which
+look them up. Which words these are changes the cost only, never the result.
+
 A word that is itself a token has that token's id and is not merged: the library looks whole words up first, and for
 a vocabulary with tokens that no merge gives this is a different result.
 
@@ -40,8 +44,11 @@ LONG_WORD = 256
 SLOTS = 1 << 19
 ID_BITS = 20
 NO_RANK = 1 << 20
+#: The sample whose frequent words are merged before all others, and how many of them: some 10 MB in every task.
+SAMPLE_BYTES = 64 << 20
+KNOWN_WORDS = 250_000
 
-CHUNK_SCHEMA = "ids array<bigint>, counts binary, codes binary, words array<array<tinyint>>, long_codes array<int>, long_tokens array<array<int>>, whole_codes array<int>, whole_ids array<int>"
+CHUNK_SCHEMA = "ids array<bigint>, counts binary, codes binary, words array<array<tinyint>>, long_codes array<int>, long_tokens array<array<int>>, whole_codes array<int>, whole_lens array<int>, whole_ids array<int>"
 
 
 @lru_cache(maxsize=4)
@@ -154,8 +161,28 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row a chunk: document ids, words of each, word codes, and the chunk's distinct words as byte arrays."""
+def known_words(docs: DataFrame, rank_path: str, tables: Column, id_col: str, text_col: str, sample_bytes: int) -> tuple[pa.Array, np.ndarray, np.ndarray] | None:
+    """(words, ends of their ids, ids) of the words that a sample holds in more than one chunk; None for a table no larger than the sample."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    if total <= sample_bytes:
+        return None
+    cut = distinct_words(docs.sample(sample_bytes / total, seed=1), id_col, text_col, rank_path)
+    often = cut.select(F.explode("words").alias("word")).filter(F.size("word") > 0).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    often = often.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word")
+    folded = often.select("word", let(tables, lambda t: fold_merges(F.col("word"), t)).alias("ids")).toArrow()
+    words, ids = folded["word"].combine_chunks(), folded["ids"].combine_chunks()
+    if not len(words):
+        return None
+    ends = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()), dtype=np.int64)])
+    as_bytes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words.flatten()))])
+    return as_bytes, np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()), dtype=np.int64)]), np.asarray(ids.flatten()).astype(np.int32)
+
+
+def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str, chunk_bytes: int = CHUNK_BYTES, known=None) -> DataFrame:
+    """One row a chunk: document ids, words of each, word codes, and the chunk's distinct words as byte arrays.
+
+    Words that are tokens, and those of ``known`` (a broadcast of ``known_words``), have their ids beside and are left empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, id_col, text_col, chunk_bytes):
@@ -166,6 +193,17 @@ def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str,
             found = pc.index_in(words.cast(pa.large_binary()), value_set=tokens)
             whole = np.asarray(found.is_valid())
             whole_codes, whole_ids = np.flatnonzero(whole), token_ids[np.asarray(found.drop_null())]
+            whole_lens = np.ones(len(whole_codes), np.int32)
+            if known is not None:
+                listed, ends, ids = known.value
+                found = pc.index_in(words.cast(pa.large_binary()), value_set=listed)
+                more = np.asarray(found.is_valid()) & ~whole
+                at = np.asarray(found.fill_null(0))[more]
+                lens = ends[at + 1] - ends[at]
+                step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+                whole_codes, whole_lens = np.concatenate([whole_codes, np.flatnonzero(more)]), np.concatenate([whole_lens, lens.astype(np.int32)])
+                whole_ids = np.concatenate([whole_ids, ids[np.repeat(ends[at], lens) + step]])
+                whole |= more
             late = np.flatnonzero((sizes > LONG_WORD) & ~whole)
             fixed: list[list[int]] = []
             if len(late):
@@ -186,9 +224,10 @@ def distinct_words(docs: DataFrame, id_col: str, text_col: str, rank_path: str,
                     one([int(i) for i in late], pa.int32()),
                     one(fixed, pa.list_(pa.int32())),
                     one(whole_codes, pa.int32()),
+                    one(whole_lens, pa.int32()),
                     one(whole_ids, pa.int32()),
                 ],
-                names=["ids", "counts", "codes", "words", "long_codes", "long_tokens", "whole_codes", "whole_ids"],
+                names=["ids", "counts", "codes", "words", "long_codes", "long_tokens", "whole_codes", "whole_lens", "whole_ids"],
             )
             del c, words, bounds, sizes, body, flat, column, found, whole
             give_back()
@@ -206,8 +245,8 @@ def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.asarray(tokens.flatten()).astype(np.int32, copy=False)
             lens = np.asarray(tokens.value_lengths()).astype(np.int32)
             starts = np.concatenate([[0], np.cumsum(lens[:-1], dtype=np.int64)]) if len(lens) else np.zeros(0, np.int64)
-            whole, whole_ids = (np.asarray(col[n].values) for n in ("whole_codes", "whole_ids"))
-            starts[whole], lens[whole] = len(flat) + np.arange(len(whole)), 1
+            whole, whole_lens, whole_ids = (np.asarray(col[n].values) for n in ("whole_codes", "whole_lens", "whole_ids"))
+            starts[whole], lens[whole] = len(flat) + np.cumsum(whole_lens, dtype=np.int64) - whole_lens, whole_lens
             flat = np.concatenate([flat, whole_ids.astype(np.int32, copy=False)])
             for code, fixed in zip(col["long_codes"].as_py(), col["long_tokens"].as_py(), strict=True):
                 starts[code], lens[code] = len(flat), len(fixed)
@@ -221,7 +260,7 @@ def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             give_back()
 
 
-def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``(id_col, ids array<int>)`` of every row: the ids of its whole text by the ranks in ``rank_path``."""
     ranks = load_ranks(rank_path)
     shift, owner, merged = pair_table(ranks)
@@ -233,10 +272,13 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
     )
     del shift, owner, merged
     give_back()  # what laid the pairs out is several times the table, and this is the driver
-    words = distinct_words(docs, id_col, text_col, rank_path, chunk_bytes)
+    known = known_words(docs, rank_path, tables, id_col, text_col, sample_bytes)
+    known = known and docs.sparkSession.sparkContext.broadcast(known)
+    give_back()
+    words = distinct_words(docs, id_col, text_col, rank_path, chunk_bytes, known)
     tokens = let(tables, lambda t: F.transform(F.col("words"), lambda w: fold_merges(w, t)))
     # written, so that the splitting and the laying out do not hold Python workers in one task, and a lost task folds nothing twice
-    laid = materialize(words.select("ids", "counts", "codes", tokens.alias("tokens"), "long_codes", "long_tokens", "whole_codes", "whole_ids"), "folded")
+    laid = materialize(words.select("ids", "counts", "codes", tokens.alias("tokens"), "long_codes", "long_tokens", "whole_codes", "whole_lens", "whole_ids"), "folded")
     return laid.mapInArrow(_lay_out, "id bigint, ids array<int>").select(F.col("id").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
