@@ -249,3 +249,36 @@ def test_growing_tables_are_not_broadcast(spark, monkeypatch):
     assert far.count() == 3
     plan(far)
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def sliced(points, a, b):
+    """The pieces of a line between two distances, as (lat, lon, lat2, lon2)."""
+    out, along = [], 0
+    ways = [(p, q, int(haversine(*p, *q) * 1000 + 0.5)) for p, q in zip(points, points[1:], strict=False)]
+    a, b = max(a, 0), min(b, sum(mm for *_, mm in ways))
+    for p, q, mm in ways:
+        if a < b and along < b and along + mm > a:
+            s, t = (max((a - along) / mm, 0), min((b - along) / mm, 1)) if mm else (0, 1)
+            out.append((p[0] + (q[0] - p[0]) * s, p[1] + (q[1] - p[1]) * s, p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t))
+        along += mm
+    return out
+
+
+def test_slices_of_lines_that_stand_still(spark):
+    # points that lie on one another, at the ends and between, and lines of one point and of one place
+    draw = random.Random(5)
+    tracks = {line: [p for p in ((47 + draw.random() / 100, 8 + draw.random() / 100) for _ in range(12)) for _ in range(draw.choice((1, 1, 2, 3)))] for line in range(4)}
+    tracks |= {4: [(47.0, 8.0)], 5: [(47.0, 8.0)] * 3, 6: [(47.0, 8.0)] * 2 + [(47.01, 8.0)] * 2}
+    length = int(haversine(47.0, 8.0, 47.01, 8.0) * 1000 + 0.5)
+    spans = [(i, draw.randrange(8), a := draw.randrange(-500_000, 12_000_000), a + draw.randrange(-1000, 9_000_000)) for i in range(200)]
+    spans += [(200, 6, 0, length), (201, 6, 0, length + 1), (202, 6, -5, 1), (203, 6, length, length + 9), (204, 6, length - 1, length), (205, None, 0, 9), (206, 6, None, 9)]
+    asked = spark.createDataFrame(spans, "span_id long, line_id long, from_mm long, to_mm long")
+    want = {i: found for i, line, a, b in spans if line in tracks and a is not None and (found := sliced(tracks[line], a, b))}
+    got = {}
+    for r in lines.slices(frame(spark, tracks), asked).orderBy("span_id", "piece").collect():
+        assert r.piece == len(got.setdefault(r.span_id, []))
+        got[r.span_id].append((r.lat, r.lon, r.lat2, r.lon2))
+    assert got.keys() == want.keys() and len(got) > 40
+    assert all(len(got[i]) == len(want[i]) and all(v == pytest.approx(w, abs=1e-9) for v, w in zip(got[i], want[i], strict=True)) for i in want)
+    ends = {r.span_id: (r.pieces, r.lat, r.lon, r.lat2, r.lon2) for r in lines.slice_ends(frame(spark, tracks), asked).collect()}
+    assert ends == {i: (len(v), *v[0][:2], *v[-1][2:]) for i, v in got.items()}

@@ -235,25 +235,62 @@ def chunk_boxes(points: DataFrame, chunk_m: float = 5000.0, pad_m: float = CORRI
     return box.select("line_id", "chunk", (F.col("s") - dlat).alias("south"), (F.col("w") - dlon).alias("west"), (F.col("n") + dlat).alias("north"), (F.col("e") + dlon).alias("east"))
 
 
-def slices(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``(span_id, piece, lat, lon, lat2, lon2)``: what lies of each line between two distances of ``spans (span_id, line_id, from_mm, to_mm)`` (JOIN-20).
+def _between(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(span_id, line_id, from_mm, to_mm, first, last)``: the first and the last of the ``segments`` that each span meets.
 
-    Spans meet the segments by blocks of the way, so that a span is paired with the segments beside it only. Ends are
-    interpolated; a span beyond its line is cut, one without length has no pieces.
+    Segments and the ends of spans are counted in one order along each line, so that a span costs two rows, however many
+    segments it meets. Segments without length count where they lie within a span, not at its ends. Spans that meet none are left out.
     """
-    block = 1_000_000
-    at = lambda c: F.floor(F.col(c) / block)
-    rows = segments(points).withColumn("block", F.explode(F.sequence(at("start_mm"), at("end_mm"))))
     wanted = spans.dropna(subset=["line_id", "from_mm", "to_mm"]).filter("from_mm < to_mm").withColumn("from_mm", F.greatest("from_mm", F.lit(0)))
-    ends = segments(points).groupBy("line_id").agg(F.max("end_mm").alias("length"))
-    wanted = wanted.join(ends.hint("merge"), "line_id").withColumn("to_mm", F.least("to_mm", "length")).filter("from_mm < to_mm").withColumn("block", F.explode(F.sequence(at("from_mm"), at("to_mm"))))
-    met = rows.join(wanted.select("span_id", "line_id", "from_mm", "to_mm", "block").hint("merge"), ["line_id", "block"]).filter("start_mm < to_mm AND end_mm > from_mm")
-    met = met.drop("block").dropDuplicates(["span_id", "line_id", "segment"])
-    share = lambda mm: (mm - F.col("start_mm")) / (F.col("end_mm") - F.col("start_mm"))
-    a, b = F.greatest(share(F.col("from_mm")), F.lit(0.0)), F.least(share(F.col("to_mm")), F.lit(1.0))
+    ends = rows.groupBy("line_id").agg(F.max("end_mm").alias("length"))
+    wanted = wanted.join(ends.hint("merge"), "line_id").withColumn("to_mm", F.least("to_mm", "length")).filter("from_mm < to_mm").select("span_id", "line_id", "from_mm", "to_mm")
+    # at one distance: segments that end there, spans that begin, spans that end, segments that begin
+    mark = lambda at, kind: F.struct(F.col(at).cast("long").alias("at"), F.lit(kind).alias("kind"))
+    ways = rows.select("line_id", F.explode(F.array(mark("end_mm", 0), mark("start_mm", 3))).alias("m"))
+    marks = wanted.select("*", F.explode(F.array(mark("from_mm", 1), mark("to_mm", 2))).alias("m")).unionByName(ways, allowMissingColumns=True)
+    by = Window.partitionBy("line_id").orderBy("m.at", "m.kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.withColumn("ended", F.count_if(F.col("m.kind") == 0).over(by)).withColumn("begun", F.count_if(F.col("m.kind") == 3).over(by)).filter("m.kind IN (1, 2)")
+    found = met.groupBy("span_id", "line_id", "from_mm", "to_mm").agg(F.min("ended").alias("first"), (F.max("begun") - 1).alias("last"))
+    return found.filter("first <= last")
+
+
+def _share(mm: str, bare: float) -> Column:
+    """How far along its segment a distance lies; ``bare`` for a segment without length."""
+    length = F.col("end_mm") - F.col("start_mm")
+    return F.when(length > 0, (F.col(mm) - F.col("start_mm")) / length).otherwise(bare)
+
+
+def _cut() -> tuple[Column, Column, Column, Column]:
+    """Where the segment of a row begins and ends within its span: lat, lon, lat2, lon2."""
+    a, b = F.greatest(_share("from_mm", 0.0), F.lit(0.0)), F.least(_share("to_mm", 1.0), F.lit(1.0))
     on = lambda c, t: F.col(c) + (F.col(f"{c}2") - F.col(c)) * t
-    piece = F.row_number().over(Window.partitionBy("span_id").orderBy("segment")) - 1
-    return met.select("span_id", piece.alias("piece"), on("lat", a).alias("lat"), on("lon", a).alias("lon"), on("lat", b).alias("lat2"), on("lon", b).alias("lon2"))
+    return on("lat", a), on("lon", a), on("lat", b), on("lon", b)
+
+
+def slices(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(span_id, piece, lat, lon, lat2, lon2)``: what lies of each line between two distances of ``spans (span_id, line_id, from_mm, to_mm)`` (JOIN-20).
+
+    Ends are interpolated; a span beyond its line is cut, one without length has no pieces. Ids of spans are unique.
+    """
+    rows = segments(points)
+    each = _between(rows, spans).withColumn("segment", F.explode(F.sequence("first", "last")))
+    met = rows.join(each.hint("merge"), ["line_id", "segment"])
+    return met.select("span_id", (F.col("segment") - F.col("first")).cast("int").alias("piece"), *[c.alias(name) for c, name in zip(_cut(), ("lat", "lon", "lat2", "lon2"), strict=True)])
+
+
+def slice_ends(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(span_id, pieces, lat, lon, lat2, lon2)``: how many ``slices`` a span has, where its first one begins and where its last one ends.
+
+    The pieces between are counted, not made.
+    """
+    rows = segments(points)
+    between = _between(rows, spans)
+    ends = between.withColumn("segment", F.explode(F.array_distinct(F.array("first", "last"))))
+    met = rows.join(ends.hint("merge"), ["line_id", "segment"])
+    lat, lon, lat2, lon2 = _cut()
+    at = lambda end, v, w: F.max(F.when(F.col("segment") == F.col(end), F.struct(v.alias("lat"), w.alias("lon"))))
+    found = met.groupBy("span_id", "first", "last").agg(at("first", lat, lon).alias("a"), at("last", lat2, lon2).alias("b"))
+    return found.select("span_id", (F.col("last") - F.col("first") + 1).alias("pieces"), "a.lat", "a.lon", F.col("b.lat").alias("lat2"), F.col("b.lon").alias("lon2"))
 
 
 def resampled(rows: DataFrame, most: int, *values: str) -> DataFrame:

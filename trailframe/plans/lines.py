@@ -67,9 +67,9 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_20_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One slice of a track an order: its pieces, and where it begins and ends."""
-    found = lines.slices(_track_lines(spark, sf_dir), _spans(spark, sf_dir))
-    q = lambda c: F.floor(c * 1e5).cast("long")
-    return found.groupBy("span_id").agg(F.count("*").alias("pieces"), q(F.min_by("lat", "piece")).alias("lat_q"), q(F.max_by("lon2", "piece")).alias("lon_q"))
+    found = lines.slice_ends(_track_lines(spark, sf_dir), _spans(spark, sf_dir))
+    q = lambda c: F.floor(F.col(c) * 1e5).cast("long")
+    return found.select("span_id", "pieces", q("lat").alias("lat_q"), q("lon2").alias("lon_q"))
 
 
 def win_13_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
