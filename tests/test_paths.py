@@ -85,3 +85,21 @@ def test_requests_of_the_same_ends_are_one_search(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, 2, 4), (2, 3, 5)]
     costs = paths.least_costs(edges, once)
     assert costs.count() == 6 and {(r.request_id, r.node): r.cost for r in costs.collect()}[0, 3] == 9
+
+
+def test_reached_nodes_are_not_broadcast(spark, monkeypatch):
+    """Written costs compress well and look small to Spark; a broadcast of them takes the driver's memory."""
+    from trailframe.sources import shared
+
+    plans, plain = [], shared.Rounds.next
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(shared.Rounds, "next", lambda self, df: (plan(df), plain(self, df))[1])
+    monkeypatch.setattr(paths, "FEW_EDGES", 0)  # as if edges were many
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 5), (1, 3, 11)], EDGES)
+    asked = paths.searches(spark.createDataFrame([(1, 1, 3), (2, 1, 3)], REQUESTS))
+    plan(asked)
+    costs = paths.least_costs(edges, asked.filter("request_id = search_id"))
+    way = paths.paths(costs, asked.filter("request_id = search_id"))
+    assert sorted((r.request_id, r.place, r.node, r.cost) for r in way.collect()) == [(1, 0, 1, 0), (1, 1, 2, 5), (1, 2, 3, 10)]
+    plan(way)
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)

@@ -2,7 +2,8 @@
 
 Each round joins the reached (request, node) with the edges that leave it, keeps the least cost a request and node by a
 hashed aggregate, and goes on with what became cheaper. Where the edges are few, each task holds them all and the rows of its
-requests, and only the reached nodes are shuffled. Predecessors are taken once, from the costs at the end. A node whose cost, plus the least cost that the air distance
+requests, and only the reached nodes are shuffled. Written tables compress well and look small to Spark, so that those which
+grow are joined by merging: a broadcast of them takes the driver's memory. Predecessors are taken once, from the costs at the end. A node whose cost, plus the least cost that the air distance
 to its target allows, is above the cost already found for the target is left out of the frontier.
 Requests of the same ends are best asked as one (``searches``), so that the reached nodes grow with the different ends only.
 Rounds are as many as the longest cheapest path has edges; all requests share them.
@@ -24,7 +25,7 @@ FEW_EDGES = 200_000
 def searches(requests: DataFrame) -> DataFrame:
     """``(request_id, search_id, src, dst)``: requests from one place to another share one search, named by the smallest of them."""
     known = requests.dropna(subset=["request_id", "src", "dst"]).select("request_id", "src", "dst")
-    return known.join(known.groupBy("src", "dst").agg(F.min("request_id").alias("search_id")), ["src", "dst"]).select("request_id", "search_id", "src", "dst")
+    return known.join(known.groupBy("src", "dst").agg(F.min("request_id").alias("search_id")).hint("merge"), ["src", "dst"]).select("request_id", "search_id", "src", "dst")
 
 
 def usable(edges: DataFrame, requests: DataFrame) -> DataFrame:
@@ -35,6 +36,7 @@ def usable(edges: DataFrame, requests: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     known = edges.dropna(subset=["src", "dst", "cost"]).filter("src <> dst").select("src", "dst", F.col("cost").cast("long").alias("cost"))
     begins = Rounds(spark, "begins").next(edges.select(F.col("dst").alias("src")).union(requests.select("src")).dropna().distinct())
+    begins = begins.hint("broadcast" if begins.count() <= FEW_EDGES else "merge")
     return Rounds(spark, "edges").next(known.join(begins, "src", "left_semi").groupBy("src", "dst").agg(F.min("cost").alias("cost")))
 
 
@@ -54,8 +56,8 @@ def least_costs(edges: DataFrame, requests: DataFrame, nodes: DataFrame | None =
     target = asked.select("request_id", F.col("src").alias("origin"), F.col("dst").alias("target"))
     if nodes is not None and cost_per_m > 0:
         at = lambda key, name: nodes.dropna().select(F.col("node").alias(key), F.struct("lat", "lon").alias(name))
-        cheapest = cheapest.join(at("dst", "here"), "dst", "left").select("src", "dst", "step", "here")
-        target = target.join(at("target", "there"), "target", "left")
+        cheapest = cheapest.join(at("dst", "here").hint("merge"), "dst", "left").select("src", "dst", "step", "here")
+        target = target.join(at("target", "there").hint("merge"), "target", "left")
         air = haversine_m(F.col("here.lat"), F.col("here.lon"), F.col("there.lat"), F.col("there.lon"))
         # a little less, so that rounding cuts no cheapest path off
         bound = F.coalesce(F.floor(air * cost_per_m * (1 - 1e-9)).cast("long"), F.lit(0).cast("long"))
@@ -70,8 +72,8 @@ def least_costs(edges: DataFrame, requests: DataFrame, nodes: DataFrame | None =
 
     def onward(state: DataFrame, going: Column) -> DataFrame:
         """The rows of ``state``, and those that edges lead to from the ones ``going`` on and that may be on a path to the target."""
-        goal = target.join(state.select("request_id", F.col("node").alias("target"), F.col("cost").alias("most")), ["request_id", "target"], "left").drop("target")
-        rows = (state.repartition(parts, "request_id") if few else state).join(goal, "request_id")
+        goal = target.join(state.select("request_id", F.col("node").alias("target"), F.col("cost").alias("most")).hint("merge"), ["request_id", "target"], "left").drop("target")
+        rows = (state.repartition(parts, "request_id") if few else state).join(goal.hint("merge"), "request_id")
         rows = rows.join(dealt, (F.col("node") == F.col("src")) & (going | (F.col("src") == F.col("dst"))), "left").withColumn("sum", F.col("cost") + F.coalesce("step", F.lit(0)))
         return rows.filter(itself | F.col("most").isNull() | (F.col("sum") + bound <= F.col("most")))
 
@@ -95,20 +97,20 @@ def paths(costs: DataFrame, requests: DataFrame) -> DataFrame:
     """
     spark = costs.sparkSession
     # nodes beyond the target are on no path to it
-    most = requests.select("request_id", F.col("dst").alias("node")).join(costs, KEY).select("request_id", F.col("cost").alias("most"))
-    jumps = [costs.filter("prev IS NOT NULL").join(most, "request_id").filter("cost <= most").select(*KEY, F.col("prev").alias("back"))]
+    most = requests.select("request_id", F.col("dst").alias("node")).join(costs.hint("merge"), KEY).select("request_id", F.col("cost").alias("most"))
+    jumps = [costs.filter("prev IS NOT NULL").join(most.hint("merge"), "request_id").filter("cost <= most").select(*KEY, F.col("prev").alias("back"))]
     kept = Rounds(spark, "jumps", keep=1 << 30)
     while True:
         jumps[-1] = kept.next(jumps[-1])
         far = jumps[-1].select("request_id", F.col("node").alias("back"), F.col("back").alias("farther"))
-        farther = jumps[-1].join(far, ["request_id", "back"]).select(*KEY, F.col("farther").alias("back"))
+        farther = jumps[-1].join(far.hint("merge"), ["request_id", "back"]).select(*KEY, F.col("farther").alias("back"))
         if farther.isEmpty():
             break
         jumps.append(farther)
-    ends = requests.select("request_id", F.col("dst").alias("node")).join(costs.select(*KEY), KEY)
+    ends = requests.select("request_id", F.col("dst").alias("node")).join(costs.select(*KEY).hint("merge"), KEY)
     found = ends.withColumn("left", F.lit(0).cast("long"))
     for k in range(len(jumps) - 1, -1, -1):
-        found = found.unionByName(found.join(jumps[k], KEY).select("request_id", F.col("back").alias("node"), (F.col("left") + (1 << k)).alias("left")))
+        found = found.unionByName(found.join(jumps[k].hint("merge"), KEY).select("request_id", F.col("back").alias("node"), (F.col("left") + (1 << k)).alias("left")))
     length = found.groupBy("request_id").agg(F.max("left").alias("length"))
-    placed = found.join(length, "request_id").select("request_id", (F.col("length") - F.col("left")).alias("place"), "node")
-    return placed.join(costs.select(*KEY, "cost"), KEY).select("request_id", "place", "node", "cost")
+    placed = found.join(length.hint("merge"), "request_id").select("request_id", (F.col("length") - F.col("left")).alias("place"), "node")
+    return placed.join(costs.select(*KEY, "cost").hint("merge"), KEY).select("request_id", "place", "node", "cost")
