@@ -85,3 +85,38 @@ def test_places_of_equal_ranks(spark):
     rows = spark.createDataFrame([(1, 5, 10), (1, 4, 10), (1, 6, 11), (2, 9, 1)], "query_id int, id int, rank_e6 long")
     got = [(r.query_id, r.place, r.id) for r in postings.best(rows, F.col("id"), limit=2).orderBy("query_id", "place").collect()]
     assert got == [(1, 1, 6), (1, 2, 4), (2, 1, 9)]
+
+
+def test_words_met_are_shuffled_once(spark):
+    path = index(spark)
+    df = postings.search_index(spark, path, spark.createDataFrame([(1, "park"), (2, "am str")], "query_id long, text string"), buckets=4)
+    assert sorted((r.query_id, r.id) for r in df.collect()) == [(1, 1), (1, 2), (1, 3), (1, 5), (2, 1)]
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+    dealt = [line for line in final if "Exchange hashpartitioning(id" in line]
+    assert len(dealt) == 2 and sum("ReusedExchange" in line for line in dealt) == 1
+
+
+def test_ranks_against_a_plain_loop(spark, monkeypatch):
+    draw = random.Random(3)
+    terms = ["park", "par", "parkway", "see", "seeweg", "am", "berg", "bergpark"]
+    rows = [(i, " ".join(draw.choice(terms) for _ in range(draw.randrange(12)))) for i in range(60)]
+    queries = [(q, " ".join(draw.choice(terms) for _ in range(draw.randrange(1, 4)))[: draw.randrange(2, 14)]) for q in range(25)]
+    path = new_path(spark, "postings")
+    postings.write_index(spark.createDataFrame(rows, "id long, name string"), path, "id", "name", buckets=8)
+    held = {i: text.split() for i, text in rows}
+    mean = sum(map(len, held.values())) / len(held)
+    want = {}
+    for q, text in queries:
+        typed = text.split()
+        n = [{i: c for i, ws in held.items() if (c := sum(t.startswith(w) if k + 1 == len(typed) else t == w for t in ws))} for k, w in enumerate(typed)]
+        idf = [math.log((len(rows) - len(d) + 0.5) / (len(d) + 0.5)) for d in n]
+        for i, ws in held.items():
+            if all(i in d for d in n):
+                parts = [(x if x > 0 else 1e-6) * d[i] * 2.2 / (d[i] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for x, d in zip(idf, n, strict=True)]
+                want[q, i] = (len(ws), sum(int(p * 1e6 + 0.5) for p in parts))
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    for few in (postings.FEW_SLOTS, 20):  # 20: words are merged and queries taken in passes
+        monkeypatch.setattr(postings, "FEW_SLOTS", few)
+        got = {(r.query_id, r.id): (r["words"], r.rank_e6) for r in postings.search_index(spark, path, asked, b=0.75, buckets=8).collect()}
+        assert got.keys() == want.keys() and len(got) > 100
+        assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 3 for k in want)
