@@ -282,3 +282,23 @@ def test_slices_of_lines_that_stand_still(spark):
     assert all(len(got[i]) == len(want[i]) and all(v == pytest.approx(w, abs=1e-9) for v, w in zip(got[i], want[i], strict=True)) for i in want)
     ends = {r.span_id: (r.pieces, r.lat, r.lon, r.lat2, r.lon2) for r in lines.slice_ends(frame(spark, tracks), asked).collect()}
     assert ends == {i: (len(v), *v[0][:2], *v[-1][2:]) for i, v in got.items()}
+
+
+def test_stretches_of_segments_meet_the_stops(spark, monkeypatch):
+    """Only different cells of stretches are dealt out by their cells, not each cell of every segment."""
+    draw = random.Random(8)
+    tracks = {line: [(46.99 + draw.random() / 50, 7.99 + draw.random() / 50) for _ in range(n)] for line, n in ((1, 150), (2, 1), (3, 2), (4, 40))}
+    tracks[4] = [p for p in tracks[4] for _ in range(3)]
+    stops = [(i, 46.98 + draw.random() / 25, 7.98 + draw.random() / 25) for i in range(40)]
+    want = {(line, i): found for line, points in tracks.items() for i, *stop in stops if (found := placed(points, tuple(stop), 300.0))}
+    asked = spark.createDataFrame(stops, "stop_id long, lat double, lon double")
+    for together, cells in ((lines.TOGETHER, lines.CELLS), (1, 1), (7, 3)):
+        monkeypatch.setattr(lines, "TOGETHER", together)
+        monkeypatch.setattr(lines, "CELLS", cells)
+        df = lines.stops_along(frame(spark, tracks), asked)
+        got = {(r.line_id, r.stop_id): (r.at_dm, r.off_mm) for r in df.collect()}
+        assert got.keys() == want.keys() and len(got) > 20
+        assert all(abs(got[k][1] - want[k][1] * 1000) <= 1 and abs(got[k][0] - want[k][0] * 10) <= 1 for k in want)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    dealt = [k for k, line in enumerate(plan) if "Exchange hashpartitioning(cy" in line]
+    assert dealt and not any("lat2" in plan[k + 1] for k in dealt)

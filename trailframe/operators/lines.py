@@ -19,6 +19,9 @@ from ..sources.shared import Rounds
 #: Fixed values of the corridor: metres of a degree, and how far from a line a stop may lie.
 METERS_PER_DEGREE = 111195.0
 CORRIDOR_M = 300.0
+#: Segments that look for stops together, and how many times the corridor the cells are high in which they do.
+TOGETHER = 64
+CELLS = 4
 
 
 def _known(points: DataFrame) -> DataFrame:
@@ -42,25 +45,36 @@ def foot(lat: Column, lon: Column, least: Column | float = 0.0, most: Column | f
     t = F.when(square == 0, 0.0).otherwise((px * bx + py * by) / square)
     wrap = lambda v: v if isinstance(v, Column) else F.lit(v)
     t = F.least(F.greatest(t, wrap(least)), wrap(most))
-    return t, haversine_m(lat, lon, F.col("lat") + by * t, F.col("lon") + (F.col("lon2") - F.col("lon")) * t)
+    return t, _off(lat, lon, t)
 
 
-def on_cells(rows: DataFrame, reach_m: float) -> DataFrame:
-    """``segments`` laid on all cells within ``reach_m`` of them, as ``cy`` and ``cx``; a cell is ``reach_m`` high.
+def _off(lat: Column, lon: Column, t: Column) -> Column:
+    """Metres from ``(lat, lon)`` to the point of a segment at a share of its way."""
+    return haversine_m(lat, lon, F.col("lat") + (F.col("lat2") - F.col("lat")) * t, F.col("lon") + (F.col("lon2") - F.col("lon")) * t)
+
+
+def _wide(reach: float) -> Column:
+    """Degrees of longitude that ``reach`` degrees of latitude are, at most, beside a segment."""
+    return reach / F.greatest(F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("lat2")) + 2 * reach)), F.lit(1e-6)) * 1.001
+
+
+def on_cells(rows: DataFrame, reach_m: float, times: int = 1) -> DataFrame:
+    """``segments`` laid on all cells within ``reach_m`` of them, as ``cy`` and ``cx``; a cell is ``times`` as high.
 
     A segment takes, band by band, the columns between where it enters and where it leaves the band, so that the cells of a
     long one grow with its length and not with its box.
     """
-    high = reach_m / METERS_PER_DEGREE
+    reach = reach_m / METERS_PER_DEGREE
+    high = reach * times
     south, north = F.least("lat", "lat2"), F.greatest("lat", "lat2")
     cell = lambda c: F.floor(c / high).cast("long")
-    banded = rows.withColumn("cy", F.explode(F.sequence(cell(south - high), cell(north + high))))
+    banded = rows.withColumn("cy", F.explode(F.sequence(cell(south - reach), cell(north + reach))))
     slope = F.when(F.col("lat2") != F.col("lat"), (F.col("lon2") - F.col("lon")) / (F.col("lat2") - F.col("lat")))
     # a foot within reach of a point of the band lies within a band more on either side
     at = lambda band: F.col("lon") + slope * (F.least(F.greatest(band * high, south), north) - F.col("lat"))
     a, b = at(F.col("cy") - 1), at(F.col("cy") + 2)
     west, east = F.coalesce(F.least(a, b), F.least("lon", "lon2")), F.coalesce(F.greatest(a, b), F.greatest("lon", "lon2"))
-    wide = high / F.greatest(F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("lat2")) + 2 * high)), F.lit(1e-6)) * 1.001
+    wide = _wide(reach)
     # cells at high latitudes are as narrow in metres as they are there; their number a segment is bounded by 1e-6 above
     return banded.withColumn("cx", F.explode(F.sequence(cell(west - wide), cell(east + wide))))
 
@@ -70,23 +84,31 @@ def stops_along(points: DataFrame, stops: DataFrame, corridor_m: float = CORRIDO
 
     A stop is placed where the first contiguous stretch of segments beside it comes nearest. ``ahead (line_id, from_mm,
     to_mm)`` keeps to a part of each line; lines that it does not list are left out. Stops with a null are left out. Stops at one
-    position are placed once, and their ids put to it at the end.
+    position are placed once, and their ids put to it at the end. Not the segments but stretches of some of them are laid on cells
+    and meet the stops there, so that what is shuffled does not grow with the cells of every segment.
     """
     rows = segments(points)
     if ahead is None:
         rows = rows.withColumn("from_mm", F.lit(0).cast("long")).withColumn("to_mm", F.lit(None).cast("long"))
     else:
         rows = rows.join(ahead.select("line_id", "from_mm", "to_mm").hint("merge"), "line_id").filter("end_mm > from_mm AND start_mm < to_mm")
-    high = corridor_m / METERS_PER_DEGREE
+    reach = corridor_m / METERS_PER_DEGREE
+    high = reach * CELLS
     known = stops.select("stop_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).dropna()
     there = known.select("s_lat", "s_lon").distinct().withColumn("cy", F.floor(F.col("s_lat") / high).cast("long")).withColumn("cx", F.floor(F.col("s_lon") / high).cast("long"))
-    met = on_cells(rows, corridor_m).join(there.hint("merge"), ["cy", "cx"])
+    rows = rows.withColumn("together", F.floor(F.col("segment") / TOGETHER))
+    beside = on_cells(rows, corridor_m, CELLS).select("line_id", "together", "cy", "cx").distinct().join(there.hint("merge"), ["cy", "cx"]).drop("cy", "cx")
+    near = lambda stop, a, b, by: (F.col(stop) >= F.least(a, b) - by) & (F.col(stop) <= F.greatest(a, b) + by)
+    boxed = rows.withColumn("wide", _wide(reach)).hint("merge")
+    met = beside.join(boxed, ["line_id", "together"]).filter(near("s_lat", "lat", "lat2", reach * 1.001) & near("s_lon", "lon", "lon2", F.col("wide")))
     length = F.col("end_mm") - F.col("start_mm")
     share = lambda mm, bare: F.when(length > 0, (mm - F.col("start_mm")) / length).otherwise(bare)
     least = F.greatest(F.lit(0.0), share(F.col("from_mm"), 0.0))
     most = F.least(F.lit(1.0), F.coalesce(share(F.col("to_mm"), 1.0), F.lit(1.0)))
-    t, off = foot(F.col("s_lat"), F.col("s_lon"), least, most)
-    placed = met.withColumn("t", t).withColumn("off_mm", whole(off, 1000.0)).filter(F.col("off_mm") <= corridor_m * 1000)
+    t, _ = foot(F.col("s_lat"), F.col("s_lon"), least, most)
+    # exploded one by one, so that Spark does not copy them into the join's condition, whose loop would be too long for the JVM to compile
+    placed = met.withColumn("t", F.explode(F.array(t))).withColumn("off_mm", F.explode(F.array(whole(_off(F.col("s_lat"), F.col("s_lon"), F.col("t")), 1000.0))))
+    placed = placed.filter(F.col("off_mm") <= corridor_m * 1000)
     placed = placed.select("line_id", "s_lat", "s_lon", "segment", "off_mm", whole((F.col("start_mm") + length * F.col("t")) / 100).alias("at_dm"))
     by = Window.partitionBy("line_id", "s_lat", "s_lon")
     stretch = placed.withColumn("nth", F.row_number().over(by.orderBy("segment"))).withColumn("first", F.min("segment").over(by))
